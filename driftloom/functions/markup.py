@@ -41,30 +41,47 @@ _ATTRIBUTE = re.compile(
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
     start: int
+    first_piece: int
     attrs: dict
     last: int = -1
     end: int = -1
-    first_piece: int = 0
     end_piece: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Page:
     html: str
     nodes: list = field(default_factory=list)
     pieces: list = field(default_factory=list)
+    index: dict | None = None
 
     def text(self, i: int) -> str | None:
         """Stripped text pieces of the element joined by one blank; NULL when there are none."""
         node = self.nodes[i]
         own = node.tag if node.tag in RAW_TEXT else None
         parts = self.pieces[node.first_piece : node.end_piece]
-        return " ".join(text for kind, text in parts if kind == own) or None
+        return " ".join([text for kind, text in parts if kind == own]) or None
+
+    def among(self, test: tuple):
+        """Positions that can pass a tag, id or class test, in document order; all for others."""
+        if self.index is None:
+            self.index = {}
+            for i, node in enumerate(self.nodes):
+                self.index.setdefault(("tag", node.tag, None), []).append(i)
+                if node.attrs:
+                    ident = node.attrs.get("id")
+                    if ident is not None:
+                        self.index.setdefault(("=", "id", ident), []).append(i)
+                    for name in set(node.attrs.get("class", "").split()):
+                        self.index.setdefault(("~=", "class", name), []).append(i)
+        if test[:2] in (("=", "id"), ("~=", "class")) or test[0] == "tag" and test[1] != "*":
+            return self.index.get(test, ())
+        return range(len(self.nodes))
 
 
 def _attributes(source: str) -> dict:
@@ -76,12 +93,16 @@ def _attributes(source: str) -> dict:
     return found
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
+_NOTHING: dict = {}
+
+
 def read_page(html: str) -> Page:
     """Flat tree in document order; ``last`` and ``end`` close each element's range."""
     page = Page(html)
     nodes, pieces = page.nodes, page.pieces
     stack: list[int] = []
-    cursor = 0
+    cursor = 0  # end of the markup read so far
 
     def add_text(upto: int, kind: str | None = None) -> None:
         text = html[cursor:upto].strip()
@@ -95,40 +116,37 @@ def read_page(html: str) -> Page:
             node = nodes[stack.pop()]
             node.last, node.end, node.end_piece = len(nodes) - 1, at, len(pieces)
 
-    position = 0
-    while (m := _MARKUP.search(html, position)) is not None:
-        position = m.end()
-        add_text(m.start())
-        cursor = position
-        if m.group(2) is None:
+    for m in _MARKUP.finditer(html):
+        start, end = m.span()
+        if start < cursor:
+            continue  # inside the raw text of a script or style
+        if start > cursor:
+            add_text(start)
+        cursor = end
+        closing, tag, source = m.groups()
+        if tag is None:
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
+        tag = tag.lower()
+        if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if nodes[stack[depth]].tag == tag:
-                    close(depth + 1, m.start())
-                    close(depth, m.end())
+                    close(depth + 1, start)
+                    close(depth, end)
                     break
             continue
         while stack and tag in ENDED_BY.get(nodes[stack[-1]].tag, ()):
-            close(len(stack) - 1, m.start())
-        source = m.group(3)
-        node = Node(
-            tag,
-            stack[-1] if stack else -1,
-            m.start(),
-            _attributes(source) if source else {},
-            first_piece=len(pieces),
-        )
-        nodes.append(node)
+            close(len(stack) - 1, start)
+        parent = stack[-1] if stack else -1
+        attrs = _attributes(source) if source else _NOTHING
+        nodes.append(Node(tag, parent, start, len(pieces), attrs))
         stack.append(len(nodes) - 1)
-        if tag in VOID or source.endswith("/"):
-            close(len(stack) - 1, position)
+        if tag in VOID or source[-1:] == "/":
+            close(len(stack) - 1, end)
         elif tag in RAW_TEXT:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, position)
+            stop = _RAW_END[tag].search(html, end)
             add_text(stop.start() if stop else len(html), tag)
-            cursor = position = stop.end() if stop else len(html)
-            close(len(stack) - 1, position)
+            cursor = stop.end() if stop else len(html)
+            close(len(stack) - 1, cursor)
     add_text(len(html))
     close(0, len(html))
     return page
@@ -242,11 +260,14 @@ def _matches(page: Page, i: int, steps: tuple) -> bool:
 
 def select_first(page: Page, selector: str) -> int | None:
     """Index of the first element in document order that the selector matches."""
-    alternatives = compile_selector(selector)
-    for i in range(len(page.nodes)):
-        if any(_matches(page, i, steps) for steps in alternatives):
-            return i
-    return None
+    found = []
+    for steps in compile_selector(selector):
+        # Any test of the last step narrows the search; the first is tag, id or class as a rule.
+        for i in page.among(steps[-1][1][0]):
+            if _matches(page, i, steps):
+                found.append(i)
+                break
+    return min(found, default=None)
 
 
 def extract_fields(page: Page, selectors: dict) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.functions import quality
+from driftloom.functions.times import older_than
 from driftloom.operators.skew import latest_per_key
 
 SCHEMA = (
@@ -29,8 +30,7 @@ SCHEMA = (
 
 def is_expired(created_at: Column, ttl_seconds: Column, now: Column) -> Column:
     """Older than the lifetime, strictly."""
-    age = F.timestamp_diff("MICROSECOND", created_at, now)
-    return age > ttl_seconds * F.lit(1_000_000)
+    return older_than(created_at, ttl_seconds, now)
 
 
 def lookup(visits: DataFrame, registry: DataFrame, at: str = "crawled_at") -> DataFrame:

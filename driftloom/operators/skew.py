@@ -41,16 +41,20 @@ def hot_keys(df: DataFrame, key: str, segment_rows: int) -> list[tuple]:
 
 
 def split_segments(
-    df: DataFrame, key: str, order: list[str], segment_rows: int = SEGMENT_ROWS
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys), both with a segment number.
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    segment_rows: int = SEGMENT_ROWS,
+    counted: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys with their segment number).
 
-    Either side is None when it has no rows to add: the common case, no hot key, costs one
-    narrow count and changes nothing in the plan that follows.
+    The second is None in the common case, no hot key: that costs one narrow count and changes
+    nothing in the plan that follows. ``counted`` is a cheaper table with the same keys.
     """
-    hot = hot_keys(df, key, segment_rows)
+    hot = hot_keys(df if counted is None else counted, key, segment_rows)
     if not hot:
-        return df.withColumn(SEGMENT, F.lit(0)), None
+        return df, None
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     names = [k for k, _ in hot]
@@ -65,7 +69,7 @@ def split_segments(
         .withColumn(SEGMENT, F.spark_partition_id())
         .checkpoint()
     )
-    return df.filter(~is_hot).withColumn(SEGMENT, F.lit(0)), cut
+    return df.filter(~is_hot), cut
 
 
 def _tails(cut: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
@@ -102,24 +106,25 @@ def window_over_key(
     look_back: int,
     columns: dict[str, callable],
     segment_rows: int = SEGMENT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns that look at most ``look_back`` rows back in the order of the key.
 
     ``columns`` maps a name to a function of the ordered window. Exact for hot keys too: their
     segments are windows of their own, with the rows they look back on in front.
     """
-    plain, cut = split_segments(df, key, order, segment_rows)
+    plain, cut = split_segments(df, key, order, segment_rows, counted)
 
     def add(rows: DataFrame, by: list[str]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumns({name: make(window) for name, make in columns.items()})
 
     if cut is None:
-        return add(plain.drop(SEGMENT), [key])
+        return add(plain, [key])
     halo = _tails(cut, key, order, look_back).withColumn(HALO, F.lit(True))
     segments = cut.withColumn(HALO, F.lit(False)).unionByName(halo)
     hot = add(segments, [key, SEGMENT]).filter(~F.col(HALO)).drop(HALO)
-    return add(plain, [key]).unionByName(hot).drop(SEGMENT)
+    return add(plain, [key]).unionByName(hot.drop(SEGMENT))
 
 
 def previous(column: str) -> callable:

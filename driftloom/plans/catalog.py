@@ -18,6 +18,8 @@ from driftloom.operators.replay import replay
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
 from driftloom.sources import snapshots, tables
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
+from driftloom.streaming import replay_stream as streams
+from driftloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -118,14 +120,14 @@ def _lines(pages: DataFrame) -> DataFrame:
 @query
 def dom_skeleton(t: DerivedTables) -> DataFrame:
     lines = F.col("lines")
-    return _lines(t.table("pages")).select(
+    return _lines(t.pages()).select(
         "page_id", F.size(lines).alias("n_lines"), dom.skeleton_text(lines).alias("skeleton")
     )
 
 
 @query
 def dom_shingles(t: DerivedTables) -> DataFrame:
-    sets = _lines(t.table("pages")).select("page_id", dom.shingles(F.col("lines")).alias("s"))
+    sets = _lines(t.pages()).select("page_id", dom.shingles(F.col("lines")).alias("s"))
     return sets.select(
         "page_id",
         F.size("s").alias("n_shingles"),
@@ -161,13 +163,13 @@ def visual_similarity(t: DerivedTables) -> DataFrame:
 
 @query
 def drift_vs_previous(t: DerivedTables) -> DataFrame:
-    visits = snapshots.site_visits(t.table("pages"))
+    visits = snapshots.site_visits(t.pages())
     return drift.drift_vs_previous(visits, "host", ["page_id"]).select("page_id", "host", *drift.REPORT_COLUMNS)
 
 
 @query
 def drift_vs_first(t: DerivedTables) -> DataFrame:
-    visits = snapshots.site_visits(t.table("pages"))
+    visits = snapshots.site_visits(t.pages())
     return drift.drift_vs_first(visits, "host", ["page_id"]).select("page_id", "host", *drift.REPORT_COLUMNS)
 
 
@@ -175,7 +177,7 @@ def drift_vs_first(t: DerivedTables) -> DataFrame:
 def structural_similarity(t: DerivedTables) -> DataFrame:
     from driftloom.operators.skew import previous, window_over_key
 
-    visits = snapshots.site_visits(t.table("pages"))
+    visits = snapshots.site_visits(t.pages())
     printed = drift.fingerprint(visits, text_shingles=True).select("page_id", "host", "shingles")
     pairs = window_over_key(printed, "host", ["page_id"], 1, {"before": previous("shingles")})
     pairs = pairs.filter(F.col("before").isNotNull())
@@ -198,7 +200,7 @@ def drift_report(t: DerivedTables) -> DataFrame:
 
 @query
 def drift_diff(t: DerivedTables) -> DataFrame:
-    return drift.drift_diff(snapshots.site_visits(t.table("pages")).drop("url"), "host", ["page_id"])
+    return drift.drift_diff(snapshots.site_visits(t.pages()).drop("url"), "host", ["page_id"])
 
 
 # ------------------------------------------------------------------ field parsers
@@ -311,13 +313,13 @@ def page_nodes(t: DerivedTables) -> DataFrame:
 
 @query
 def clean_html(t: DerivedTables) -> DataFrame:
-    done = extraction.content_sections(t.table("pages"))
+    done = extraction.content_sections(t.pages())
     return done.select("page_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("digest"))
 
 
 @query
 def content_section(t: DerivedTables) -> DataFrame:
-    done = extraction.content_sections(t.table("pages"))
+    done = extraction.content_sections(t.pages())
     return done.select("page_id", "section_selector", F.length("section").alias("n_chars"), F.md5("section").alias("digest"))
 
 
@@ -460,6 +462,50 @@ def audit_log(t: DerivedTables) -> DataFrame:
     return tables.audit_log(tables.records(_replay(t)))
 
 
+@query
+def replay_stream(t: DerivedTables) -> DataFrame:
+    """The same history as a stream: three arrivals, one stateful job resumed for each."""
+    folder = snapshots.work_folder(t.spark)
+    visits, answers = t.shop_visits(), t.shop_responses()
+    arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
+    for low, high in ((1, 3), (4, 6), (7, t.VISITS)):
+        arrived.filter(F.col("visit").between(low, high)).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(arrived.schema).parquet(f"{folder}/in")
+        outcomes = streams.replay_stream(stream, answers)
+        streams.write_outcomes(outcomes, folder, f"{folder}/state").awaitTermination()
+    return streams.read_table(t.spark, folder, "audit_log").select(*tables.AUDIT)
+
+
+@query
+def audit_windows_stream(t: DerivedTables) -> DataFrame:
+    folder = snapshots.work_folder(t.spark)
+    log = t.crawl_log()
+    log.write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+    counts = windows.audit_windows_stream(stream, "1 day")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    job = counts.writeStream.outputMode("complete").foreachBatch(save)
+    job = job.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query
+def scan_html_files(t: DerivedTables) -> DataFrame:
+    """Every page as a file of its own, read back as whole documents."""
+    folder = snapshots.work_folder(t.spark)
+    pages = t.table("pages").select("page_id", F.col("html").alias("value"))
+    pages.write.partitionBy("page_id").text(folder)
+    files = snapshots.read_html_files(t.spark, f"{folder}/page_id=*")
+    page_id = F.regexp_extract("url", r"page_id=(\d+)", 1).cast("bigint")
+    # The text writer ends each document with a newline of its own.
+    html = F.left("html", F.length("html") - 1)
+    return files.select(page_id.alias("page_id"), F.length(html).alias("n_chars"), F.md5(html).alias("digest"))
+
+
 # ------------------------------------------------------------------ analytics
 
 

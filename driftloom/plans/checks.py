@@ -381,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
     history = _history()
     cache_events = derived.cache_events_sql(WORDS)
 
-    return {
+    checks = {
         "scan_pages": "SELECT page_id, url, CAST(length(html) AS INT) AS n_chars, md5(html) AS digest FROM pages",
         "page_rejects": f"""SELECT visit_id, url, crawled_at, 'error' AS method, 'empty page' AS error
             FROM ({shop_all}) AS s WHERE html IS NULL OR html = ''""",
@@ -424,11 +424,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE b IS NOT NULL""",
         "drift_report": _drift_report(),
         "drift_diff": f"""
-            WITH l AS (SELECT page_id, {_host('url')} AS host, list_distinct({_lines('html')}) AS lines FROM pages),
-              p AS (SELECT *, lag(lines) OVER (PARTITION BY host ORDER BY page_id) AS before FROM l)
-            SELECT host, page_id, 'added' AS change, unnest(list_filter(lines, lambda x: NOT list_contains(before, x))) AS line
+            WITH p AS (SELECT *, lag(shingles) OVER (PARTITION BY host ORDER BY page_id) AS before FROM ({sites}) AS s)
+            SELECT host, page_id, 'added' AS change, unnest(list_filter(shingles, lambda x: NOT list_contains(before, x))) AS piece
             FROM p WHERE before IS NOT NULL UNION ALL
-            SELECT host, page_id, 'removed' AS change, unnest(list_filter(before, lambda x: NOT list_contains(lines, x))) AS line
+            SELECT host, page_id, 'removed' AS change, unnest(list_filter(before, lambda x: NOT list_contains(shingles, x))) AS piece
             FROM p WHERE before IS NOT NULL""",
         "parse_text": f"""SELECT part_key, left({_strip('title')}, 500) AS title, left({_strip('brand')}, 200) AS brand,
               left({_strip('sku')}, 100) AS sku, left({_strip('description')}, 1000) AS description FROM ({raw}) AS r""",
@@ -558,4 +557,9 @@ def oracle_sql() -> dict[str, str]:
         "audit_windows": f"""SELECT date_trunc('day', crawled_at)::TIMESTAMP AS window_start, method, count(*) AS visits,
               count(*) FILTER (WHERE drift_detected) AS drift_events, CAST(sum(llm_tokens_used) AS BIGINT) AS tokens
             FROM ({log}) AS l GROUP BY 1, 2""",
+        "scan_html_files": """SELECT page_id, CAST(length(html) AS INT) AS n_chars, md5(html) AS digest FROM pages""",
     }
+    # The streams must end where the batch jobs do.
+    checks["replay_stream"] = checks["audit_log"]
+    checks["audit_windows_stream"] = checks["audit_windows"]
+    return checks

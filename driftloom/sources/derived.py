@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.sources.snapshots import spread
+
 # Dialect words: one row per value, 64-bit integer division, a timestamp some seconds after the
 # epoch of the derived tables, microseconds since 1970.
 SPARK_WORDS = {
     "each": lambda values: f"explode(array({', '.join(map(str, values))}))",
     "idiv": lambda a, b: f"(({a}) div ({b}))",
     "at": lambda secs: f"timestampadd(SECOND, CAST({secs} AS BIGINT), TIMESTAMP_NTZ '2024-03-01 00:00:00')",
-    "micros": lambda ts: f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})",
+    "micros": lambda ts: (
+        f"(CAST(unix_date(to_date({ts})) * 1440L + hour({ts}) * 60 + minute({ts}) AS BIGINT) * 60000000 "
+        f"+ CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT))"
+    ),
 }
 ANSI_WORDS = {
     "each": lambda values: f"unnest([{', '.join(map(str, values))}])",
@@ -231,9 +236,16 @@ class DerivedTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _sql(self, text: str, *tables: str) -> DataFrame:
+    def pages(self) -> DataFrame:
+        """Crawled pages, spread over all cores for per-page work."""
+        return spread(self.table("pages"))
+
+    def _sql(self, text: str, *tables: str, fan_out: bool = False) -> DataFrame:
         # Named parameters keep the session's catalog untouched.
         frames = {name: self.table(name) for name in tables}
+        if fan_out:
+            # Small rows become whole pages, so they are spread before they grow.
+            frames = {name: spread(frame) for name, frame in frames.items()}
         for name in tables:
             text = text.replace(f"FROM {name}\n", f"FROM {{{name}}}\n").replace(
                 f"FROM {name} ", f"FROM {{{name}}} "
@@ -241,10 +253,10 @@ class DerivedTables:
         return self.spark.sql(_escape(text, tables), **frames)
 
     def shop_visits(self, visits: int = VISITS) -> DataFrame:
-        return self._sql(shop_visits_sql(SPARK_WORDS, visits), "part")
+        return self._sql(shop_visits_sql(SPARK_WORDS, visits), "part", fan_out=True)
 
     def shop_responses(self, visits: int = VISITS) -> DataFrame:
-        return self._sql(shop_responses_sql(SPARK_WORDS, visits), "part")
+        return self._sql(shop_responses_sql(SPARK_WORDS, visits), "part", fan_out=True)
 
     def raw_fields(self) -> DataFrame:
         return self._sql(raw_fields_sql(SPARK_WORDS), "part")

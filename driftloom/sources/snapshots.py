@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import keys
+from driftloom.operators.skew import ensure_checkpoint_dir
 from driftloom.params import DEFAULT_SCHEMA_NAME
 
 
@@ -26,6 +29,15 @@ def read_html_files(spark: SparkSession, path: str, schema_name: str = DEFAULT_S
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work a task per core when the input comes in fewer splits.
+
+    Large inputs have more splits than the cluster has cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_unusable() -> Column:
     return F.coalesce(F.col("html") == "", F.lit(True))
 
@@ -46,3 +58,9 @@ def rejects(visits: DataFrame) -> DataFrame:
 def site_visits(pages: DataFrame) -> DataFrame:
     """Crawled pages as visits under their host: one site template per host."""
     return pages.select("page_id", "url", keys.host(F.col("url")).alias("host"), "html")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new, empty folder all executors share, for tables a job writes along the way."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
