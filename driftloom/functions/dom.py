@@ -18,25 +18,28 @@ KEPT_ATTRIBUTES = ("aria-label", "class", "data-testid", "id", "name", "role", "
 def subtree_pattern(tags: tuple[str, ...]) -> str:
     """Pattern that swallows comments and whole elements of the given tags in one scan."""
     elements = "|".join(
-        rf"<{tag}(?:\s+(?:[^>]*[^>/\s]\s*)?)?>.*?(?:</{tag}\s*>|\z)" for tag in tags
+        rf"{tag}(?:\s+(?:[^>]*[^>/\s]\s*)?)?>.*?(?:</{tag}\s*>|\z)" for tag in tags
     )
-    return rf"(?is)<!--.*?(?:-->|\z)|{elements}"
+    # One leading character for all alternatives, so other text is passed over quickly.
+    return rf"(?is)<(?:!--.*?(?:-->|\z)|{elements})"
 
 
 # Possessive throughout, so a long tag cannot exhaust the matcher's stack.
-START_TAG = r"""<[a-zA-Z][^\s/>]*+(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>"""
+START_TAG = (
+    r"""(?i)<(?!(?:%s)[\s/>])[a-z][^\s/>]*+(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>"""
+    % "|".join(REMOVED_TAGS)
+)
 ATTRIBUTE = r"""[^\s=/"'>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+_BLANKS = " \t\n\r\f"
 _MENTIONS_KEPT = r"""(?i)[\s"'/](?:%s)[\s=/>]""" % "|".join(KEPT_ATTRIBUTES)
 
 
 def start_tags(html: Column) -> Column:
     """All start tags outside removed subtrees, as source text in document order."""
-    # img is void: it has no subtree, so it is dropped by name below.
+    # img is void: it has no subtree, and like all removed tags it is no start tag here.
     tags = tuple(t for t in REMOVED_TAGS if t != "img")
     visible = F.regexp_replace(html, F.lit(subtree_pattern(tags)), F.lit(""))
-    found = F.regexp_extract_all(visible, F.lit(START_TAG), F.lit(0))
-    dropped = r"(?i)^<(?:%s)[\s/>]" % "|".join(REMOVED_TAGS)
-    return F.filter(found, lambda tag: ~F.rlike(tag, F.lit(dropped)))
+    return F.regexp_extract_all(visible, F.lit(START_TAG), F.lit(0))
 
 
 def _bind(value: Column, body) -> Column:
@@ -46,29 +49,41 @@ def _bind(value: Column, body) -> Column:
 
 def _kept(tag: Column) -> Column:
     """(name, place, value) of the kept attributes of one tag, by name and place."""
-    source = F.regexp_extract(tag, r"(?s)^<[^\s/>]+(.*)>$", 1)
-
-    def pair(attribute: Column, place: Column) -> Column:
-        raw = F.regexp_extract(attribute, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
-        return F.struct(
-            F.lower(F.regexp_extract(attribute, r"^[^\s=]+", 0)).alias("name"),
-            place.alias("place"),
-            F.regexp_replace(raw, r"""^["']|["']$""", "").alias("value"),
-        )
+    # The tag's own name comes out first, as "<name", and is not among the kept ones.
+    found = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+
+    def named(attribute: Column, place: Column) -> Column:
+        name = F.rtrim(F.substring_index(attribute, "=", 1), F.lit(_BLANKS))
+        return F.struct(F.lower(name).alias("name"), place.alias("place"), attribute.alias("source"))
+
+    def valued(entry: Column) -> Column:
+        source = entry["source"]
+        after = F.substring(source, F.instr(source, F.lit("=")) + 1, F.length(source))
+        raw = F.when(F.contains(source, F.lit("=")), F.ltrim(after, F.lit(_BLANKS))).otherwise(F.lit(""))
+        return F.struct(entry["name"].alias("name"), entry["place"].alias("place"), _unquoted(raw).alias("value"))
+
+    kept = F.filter(F.transform(found, named), lambda e: e["name"].isin(*KEPT_ATTRIBUTES))
+    return _bind(
+        F.transform(kept, valued), lambda k: F.when(F.size(k) > 1, F.array_sort(k)).otherwise(k)
+    )
+
 
-    pairs = F.transform(F.regexp_extract_all(source, F.lit(ATTRIBUTE), F.lit(0)), pair)
-    return F.array_sort(F.filter(pairs, lambda p: p["name"].isin(*KEPT_ATTRIBUTES)))
+def _unquoted(raw: Column) -> Column:
+    quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
+    return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
 def _shown(pair: Column) -> Column:
     """``"name": value``; classes as a sorted list, an empty list as nothing."""
-    classes = F.array_join(
-        F.array_sort(F.filter(F.split(pair["value"], r"\s+"), lambda c: c != "")), '", "'
+    value = pair["value"]
+    several = F.array_join(
+        F.array_sort(F.filter(F.split(value, r"\s+"), lambda c: c != "")), '", "'
     )
+    classes = F.when(F.rlike(value, F.lit(r"\s")), several).otherwise(value)
     return F.when(
         pair["name"] == "class",
         _bind(classes, lambda c: F.when(c != "", F.concat(F.lit('"class": ["'), c, F.lit('"]')))),
-    ).otherwise(F.concat(F.lit('"'), pair["name"], F.lit('": "'), pair["value"], F.lit('"')))
+    ).otherwise(F.concat(F.lit('"'), pair["name"], F.lit('": "'), value, F.lit('"')))
 
 
 def _attributes(tag: Column) -> Column:

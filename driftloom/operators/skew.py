@@ -7,29 +7,16 @@ run per segment, with the few rows they look back on copied in front of each seg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.storage import settle
+
 SEGMENT_ROWS = 200_000
 SEGMENT = "_segment"
 HALO = "_halo"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is set (tests, one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="driftloom-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
 def hot_keys(df: DataFrame, key: str, segment_rows: int) -> list[tuple]:
     """Keys with more than ``segment_rows`` rows, with their counts.
 
@@ -55,21 +42,18 @@ def split_segments(
     hot = hot_keys(df if counted is None else counted, key, segment_rows)
     if not hot:
         return df, None
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     names = [k for k, _ in hot]
     is_hot = F.coalesce(F.col(key).isin(names), F.lit(False))
     if None in names:
         is_hot = is_hot | F.col(key).isNull()
     pieces = sum(-(-n // segment_rows) for _, n in hot)
-    # The range cuts are sampled, so they are fixed by a checkpoint before anything relies on them.
     cut = (
         df.filter(is_hot)
         .repartitionByRange(pieces, key, *order)
         .withColumn(SEGMENT, F.spark_partition_id())
-        .checkpoint()
     )
-    return df.filter(~is_hot), cut
+    # The range cuts are sampled, so they are written down before anything relies on them.
+    return df.filter(~is_hot), settle(cut)
 
 
 def _tails(cut: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:

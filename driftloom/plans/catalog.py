@@ -17,6 +17,7 @@ from driftloom.operators.canary import canary
 from driftloom.operators.replay import replay
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
 from driftloom.sources import snapshots, tables
+from driftloom.storage import work_folder
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
 from driftloom.streaming import replay_stream as streams
 from driftloom.streaming import windows
@@ -465,7 +466,7 @@ def audit_log(t: DerivedTables) -> DataFrame:
 @query
 def replay_stream(t: DerivedTables) -> DataFrame:
     """The same history as a stream: three arrivals, one stateful job resumed for each."""
-    folder = snapshots.work_folder(t.spark)
+    folder = work_folder(t.spark)
     visits, answers = t.shop_visits(), t.shop_responses()
     arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
     for low, high in ((1, 3), (4, 6), (7, t.VISITS)):
@@ -478,7 +479,7 @@ def replay_stream(t: DerivedTables) -> DataFrame:
 
 @query
 def audit_windows_stream(t: DerivedTables) -> DataFrame:
-    folder = snapshots.work_folder(t.spark)
+    folder = work_folder(t.spark)
     log = t.crawl_log()
     log.write.parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(log.schema).parquet(f"{folder}/in")
@@ -496,7 +497,7 @@ def audit_windows_stream(t: DerivedTables) -> DataFrame:
 @query
 def scan_html_files(t: DerivedTables) -> DataFrame:
     """Every page as a file of its own, read back as whole documents."""
-    folder = snapshots.work_folder(t.spark)
+    folder = work_folder(t.spark)
     pages = t.table("pages").select("page_id", F.col("html").alias("value"))
     pages.write.partitionBy("page_id").text(folder)
     files = snapshots.read_html_files(t.spark, f"{folder}/page_id=*")

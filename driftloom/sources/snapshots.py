@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import keys
-from driftloom.operators.skew import ensure_checkpoint_dir
 from driftloom.params import DEFAULT_SCHEMA_NAME
 
 
@@ -58,9 +55,3 @@ def rejects(visits: DataFrame) -> DataFrame:
 def site_visits(pages: DataFrame) -> DataFrame:
     """Crawled pages as visits under their host: one site template per host."""
     return pages.select("page_id", "url", keys.host(F.col("url")).alias("host"), "html")
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new, empty folder all executors share, for tables a job writes along the way."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
