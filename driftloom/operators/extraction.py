@@ -6,6 +6,7 @@ small columns travel on. Which selectors a page gets is decided by a join before
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -128,6 +129,27 @@ def request_text(url: Column, section: Column) -> Column:
     return F.concat(F.lit("Page address: "), url, F.lit("\n\n"), section)
 
 
+def run_extractor(
+    queue: DataFrame, function: Callable[[str, str], tuple[dict, dict, int, int]]
+) -> DataFrame:
+    """Answers of a user's extractor for a work queue of ``url`` and ``html``.
+
+    ``function(html, url)`` gives (fields, selectors, input tokens, output tokens). What it
+    raises becomes an answer that is no JSON, so it is recorded as an error of that visit.
+    """
+
+    def answer(html, url):
+        try:
+            fields, selectors, given, made = function(html, url)
+        except Exception as problem:  # noqa: BLE001 - one page must not end the job
+            return f"extractor failed: {problem}", 0, 0
+        return json.dumps({"extracted": fields, "selectors": selectors}), given, made
+
+    count = T.LongType()
+    outputs = [("raw_text", T.StringType()), ("input_tokens", count), ("output_tokens", count)]
+    return _per_row(queue, ["html", "url"], outputs, answer, ("html",))
+
+
 # Rank of a candidate selector by how it starts: ids, then data attributes, then classes.
 _PREFERENCE = (("#", 1), ("[", 2), (".", 3))
 

@@ -7,7 +7,7 @@ run per segment, with the few rows they look back on copied in front of each seg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.storage import settle
@@ -27,6 +27,42 @@ def hot_keys(df: DataFrame, key: str, segment_rows: int) -> list[tuple]:
     return [tuple(r) for r in counts.filter(F.col("n") > segment_rows).collect()]
 
 
+def _cut_points(narrow: DataFrame, key: str, order: list[str], pieces: int) -> DataFrame:
+    """For each hot key, the order values at which its segments start, ascending.
+
+    Only key and order columns are sorted into ranges. One value per range reaches the driver,
+    hot rows / segment rows of them, and from there they are fixed for all that follows.
+    """
+    ranges = narrow.select(key, *order).repartitionByRange(pieces, key, *order)
+    firsts = ranges.groupBy(key, F.spark_partition_id().alias("_range")).agg(
+        F.min(F.struct(*order)).alias("_at")
+    )
+    cuts = firsts.groupBy(key).agg(F.array_sort(F.collect_list("_at")).alias("_cuts"))
+    return _local(narrow.sparkSession, cuts)
+
+
+def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A small result, computed once and kept as local rows."""
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
+def _segment_number(cuts: Column, at: Column, pieces: int) -> Column:
+    """How many cuts are not after ``at``, by binary search."""
+
+    def narrow(span: Column, _: Column) -> Column:
+        low, high = span["low"], span["high"]
+        middle = F.shiftright(low + high, 1)
+        return (
+            F.when(low >= high, F.struct(low.alias("low"), high.alias("high")))
+            .when(F.get(cuts, middle) <= at, F.struct((middle + 1).alias("low"), high.alias("high")))
+            .otherwise(F.struct(low.alias("low"), middle.alias("high")))
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(pieces.bit_length() + 1))
+    return F.aggregate(steps, start, narrow, lambda span: span["low"])
+
+
 def split_segments(
     df: DataFrame,
     key: str,
@@ -37,9 +73,11 @@ def split_segments(
     """(rows of ordinary keys, rows of hot keys with their segment number).
 
     The second is None in the common case, no hot key: that costs one narrow count and changes
-    nothing in the plan that follows. ``counted`` is a cheaper table with the same keys.
+    nothing in the plan that follows. ``counted`` is a cheaper table with the same key and
+    order columns.
     """
-    hot = hot_keys(df if counted is None else counted, key, segment_rows)
+    narrow = df if counted is None else counted
+    hot = hot_keys(narrow, key, segment_rows)
     if not hot:
         return df, None
     names = [k for k, _ in hot]
@@ -47,13 +85,12 @@ def split_segments(
     if None in names:
         is_hot = is_hot | F.col(key).isNull()
     pieces = sum(-(-n // segment_rows) for _, n in hot)
-    cut = (
-        df.filter(is_hot)
-        .repartitionByRange(pieces, key, *order)
-        .withColumn(SEGMENT, F.spark_partition_id())
-    )
-    # The range cuts are sampled, so they are written down before anything relies on them.
-    return df.filter(~is_hot), settle(cut)
+    cuts = _cut_points(narrow.filter(is_hot), key, order, pieces).withColumnRenamed(key, "_key")
+    # Broadcast: its size is the number of segments, not of rows.
+    marked = df.filter(is_hot).join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_key")))
+    number = _segment_number(F.col("_cuts"), F.struct(*order), pieces + len(hot))
+    # Several steps read these rows; they are computed once.
+    return df.filter(~is_hot), settle(marked.withColumn(SEGMENT, number).drop("_key", "_cuts"))
 
 
 def _tails(cut: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:

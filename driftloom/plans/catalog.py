@@ -6,6 +6,7 @@ them (see ``sources.derived``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from driftloom.operators import analytics, drift, extraction, registry
 from driftloom.operators.canary import canary
 from driftloom.operators.replay import replay
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
+from driftloom.session import stateful_session
 from driftloom.sources import snapshots, tables
 from driftloom.storage import work_folder
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
@@ -334,6 +336,23 @@ def extraction_requests(t: DerivedTables) -> DataFrame:
     return done.select("visit_id", F.length(request).alias("n_chars"), F.md5(request).alias("digest"))
 
 
+def _page_heading(html: str, url: str) -> tuple[dict, dict, int, int]:
+    """A stand-in extractor: the first heading of a page, and the length of what it read."""
+    match = re.search(r"<h1[^>]*>([^<]*)</h1>", html)
+    if match is None:
+        raise ValueError(f"no heading at {url}")
+    return {"title": match.group(1)}, {"title": "h1"}, len(html), 1
+
+
+@query
+def extractor_run(t: DerivedTables) -> DataFrame:
+    """A user's extractor over the work queue, its answers ingested like any others."""
+    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "url", "key", "crawled_at", "html")
+    queue = registry.extraction_queue(visits, t.registry()).select("visit_id", "url", "html")
+    parsed = responses.parse_responses(extraction.run_extractor(queue, _page_heading))
+    return parsed.select("visit_id", "ok", F.try_element_at("extracted", F.lit("title")).alias("title"), "tokens")
+
+
 @query
 def selector_induction(t: DerivedTables) -> DataFrame:
     known = {"title": F.col("title"), "price": F.concat(F.lit("$"), F.col("price")), "in_stock": F.col("stock"),
@@ -467,11 +486,13 @@ def audit_log(t: DerivedTables) -> DataFrame:
 def replay_stream(t: DerivedTables) -> DataFrame:
     """The same history as a stream: three arrivals, one stateful job resumed for each."""
     folder = work_folder(t.spark)
-    visits, answers = t.shop_visits(), t.shop_responses()
+    job = stateful_session(t.spark, t.table("part").rdd.getNumPartitions())
+    source = DerivedTables(job, t.folder)
+    visits, answers = source.shop_visits(), source.shop_responses()
     arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
     for low, high in ((1, 3), (4, 6), (7, t.VISITS)):
         arrived.filter(F.col("visit").between(low, high)).write.mode("append").parquet(f"{folder}/in")
-        stream = t.spark.readStream.schema(arrived.schema).parquet(f"{folder}/in")
+        stream = job.readStream.schema(arrived.schema).parquet(f"{folder}/in")
         outcomes = streams.replay_stream(stream, answers)
         streams.write_outcomes(outcomes, folder, f"{folder}/state").awaitTermination()
     return streams.read_table(t.spark, folder, "audit_log").select(*tables.AUDIT)
@@ -480,9 +501,10 @@ def replay_stream(t: DerivedTables) -> DataFrame:
 @query
 def audit_windows_stream(t: DerivedTables) -> DataFrame:
     folder = work_folder(t.spark)
-    log = t.crawl_log()
+    session = stateful_session(t.spark, t.table("events").rdd.getNumPartitions())
+    log = DerivedTables(session, t.folder).crawl_log()
     log.write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+    stream = session.readStream.schema(log.schema).parquet(f"{folder}/in")
     counts = windows.audit_windows_stream(stream, "1 day")
 
     def save(batch: DataFrame, number: int) -> None:

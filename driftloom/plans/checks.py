@@ -471,6 +471,10 @@ def oracle_sql() -> dict[str, str]:
                   FROM ({_usable()}) AS v LEFT JOIN ({_registry()}) AS g
                     ON g.key = v.key AND NOT ({_expired('v.crawled_at')})
                   WHERE g.key IS NULL) AS q""",
+        "extractor_run": f"""
+            SELECT v.visit_id, true AS ok, v.title, length(v.html) + 1 AS tokens
+            FROM ({_usable()}) AS v LEFT JOIN ({_registry()}) AS g ON g.key = v.key AND NOT ({_expired('v.crawled_at')})
+            WHERE g.key IS NULL""",
         "selector_induction": f"""
             SELECT visit_id, {', '.join(
                 f"CASE design WHEN 1 THEN '#{i}' ELSE {two!r} END AS {f}" for f, i, two in (

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import warnings
+import json
 from collections import namedtuple
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftloom.operators.fold import dump_state, load_state
@@ -18,14 +18,10 @@ from driftloom.params import DriftParams, RegistryParams
 from driftloom.shipping import ship_package
 from driftloom.sources import tables
 
-
-def _plain(value):
-    """Python value of a pandas cell; missing is None."""
-    if isinstance(value, np.ndarray):
-        return value.tolist()
-    if value is None or value is pd.NaT or value != value:
-        return None
-    return value.item() if isinstance(value, np.generic) else value
+# As OUTCOME, with the time as text: JSON has no form for it that keeps every digit.
+_OUTCOME_TEXT = T.StructType(
+    [T.StructField(f.name, T.StringType() if f.name == "crawled_at" else f.dataType) for f in OUTCOME]
+)
 
 
 def replay_stream(
@@ -39,32 +35,38 @@ def replay_stream(
     Visits of a key must not arrive in a later micro-batch than newer ones, as in the batch
     order. Expiry is checked when a key is visited, so no timer is needed. What a key brings in
     one micro-batch is ordered in memory: limit the trigger (files or bytes) accordingly.
+
+    Visits and outcomes pass as one text column each: Spark builds a pandas frame per key here,
+    and its cost goes with the number of columns.
     """
     ship_package(visits.sparkSession)
     advance = make_advance(drift, registry)
     names = OUTCOME.fieldNames()
+    rows = fold_input(visits, responses, drift).withColumn("crawled_at", F.col("crawled_at").cast("string"))
+    record = namedtuple("record", rows.columns)
 
     def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Raised by the Arrow writer for columns that are empty in one key and not in another.
-        warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation")
         entry = load_state(state.get[0]) if state.exists else None
-        batch = pd.concat(list(chunks)).sort_values(["at_us", "visit_id"])
-        record = namedtuple("record", batch.columns)
-        rows = []
-        for values in zip(*(batch[c] for c in batch.columns)):
-            result, entry = advance(entry, record(*map(_plain, values)))
-            rows.append(result)
+        batch = [record(**json.loads(text)) for chunk in chunks for text in chunk["visit"]]
+        batch.sort(key=lambda row: (row.at_us, row.visit_id))
+        outcomes = []
+        for row in batch:
+            result, entry = advance(entry, row)
+            outcomes.append(json.dumps(dict(zip(names, result))))
         if entry is not None:
             state.update((dump_state(entry),))
         elif state.exists:
             state.remove()
-        out = pd.DataFrame(rows, columns=names, dtype=object)
-        yield out.astype({"crawled_at": "datetime64[ns]"})
+        yield pd.DataFrame({"outcome": outcomes})
 
-    keyed = fold_input(visits, responses, drift).groupBy("key")
-    return keyed.applyInPandasWithState(
-        update, OUTCOME, "entry string", "append", GroupStateTimeout.NoTimeout
+    packed = rows.select(
+        "key", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("visit")
+    )
+    done = packed.groupBy("key").applyInPandasWithState(
+        update, "outcome string", "entry string", "append", GroupStateTimeout.NoTimeout
     )
+    parsed = done.select(F.from_json("outcome", _OUTCOME_TEXT).alias("o")).select("o.*")
+    return parsed.withColumn("crawled_at", F.col("crawled_at").cast("timestamp_ntz"))
 
 
 def write_outcomes(outcomes: DataFrame, folder: str, checkpoint: str):
