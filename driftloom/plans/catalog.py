@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from driftloom.functions import dom, keys, parsing, quality, responses, similarity
 from driftloom.operators import analytics, drift, extraction, registry
 from driftloom.operators.canary import canary
-from driftloom.operators.replay import replay
+from driftloom.operators.replay import registry_after, replay
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
 from driftloom.session import stateful_session
 from driftloom.sources import snapshots, tables
-from driftloom.storage import work_folder
+from driftloom.storage import settle, work_folder
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
 from driftloom.streaming import replay_stream as streams
 from driftloom.streaming import windows
@@ -471,6 +471,18 @@ def four_run_demo(t: DerivedTables) -> DataFrame:
     )
 
 
+@query
+def registry_after_replay(t: DerivedTables) -> DataFrame:
+    outcomes = settle(_replay(t))
+    visits = snapshots.usable(t.shop_visits()).select("visit_id", "html")
+    left = registry_after(outcomes, drift.fingerprint(visits))
+    return left.select(
+        "key", "url_pattern", "schema_name", F.to_json("selectors").alias("selectors"), "structural_hash",
+        F.size("structural_shingles").alias("n_shingles"), "visual_hash", "created_at", "last_validated_at",
+        "hit_count", "miss_count", "llm_tokens_spent", "ttl_seconds",
+    )
+
+
 @query
 def extractions(t: DerivedTables) -> DataFrame:
     rows = tables.records(_replay(t))

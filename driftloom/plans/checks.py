@@ -535,6 +535,18 @@ def oracle_sql() -> dict[str, str]:
                    WHEN story = 1 THEN {_selector_text(3)} ELSE {_selector_text(1)} END AS selectors_used,
               CASE WHEN method = 'error' THEN concat('invalid JSON response: ', left(body, 500)) END AS error
             FROM ({_stored()}) AS s""",
+        "registry_after_replay": f"""{history},
+            last AS (SELECT * FROM run JOIN facts USING (visit_id) WHERE NOT blank
+                     QUALIFY row_number() OVER (PARTITION BY run.part_key ORDER BY run.visit DESC) = 1),
+            kept AS (SELECT shown_origin, hit_count, miss_count FROM last
+                     WHERE shown_origin IS NOT NULL AND ended IS DISTINCT FROM 'high_null_rate')
+            SELECT {_key('f.url')} AS key, f.url AS url_pattern, 'product_v1' AS schema_name,
+              CASE WHEN f.design = 2 THEN {_selector_text(2)} WHEN f.story = 1 THEN {_selector_text(3)}
+                   ELSE {_selector_text(1)} END AS selectors,
+              f.structural_hash, CAST(len(f.shingles) AS INT) AS n_shingles, f.visual_hash, f.crawled_at AS created_at,
+              f.crawled_at AS last_validated_at, kept.hit_count::BIGINT AS hit_count, kept.miss_count::BIGINT AS miss_count,
+              f.tokens AS llm_tokens_spent, 604800::BIGINT AS ttl_seconds
+            FROM kept JOIN facts AS f ON f.visit_id = kept.shown_origin""",
         "recent_extractions": f"""SELECT id, url, crawled_at, method, CAST(rn AS INT) AS recency
             FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) AS rn FROM ({log}) AS l)
             WHERE rn <= 10""",
