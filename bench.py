@@ -26,6 +26,7 @@ HEADLINE = (
     "drift_report",
     "drift_diff",
     "selector_extract",
+    "site_extract",
     "selector_induction",
     "content_section",
     "record_quality",
@@ -42,7 +43,7 @@ HEADLINE = (
 )
 
 # Pages each query reads, for pages per second: crawled pages, or visits to derived shop pages.
-CRAWLED = ("dom_skeleton", "drift_vs_previous", "drift_vs_first", "drift_diff", "content_section")
+CRAWLED = ("dom_skeleton", "drift_vs_previous", "drift_vs_first", "drift_diff", "site_extract", "content_section")
 SHOP = ("dom_fingerprint", "drift_report", "selector_extract", "selector_induction", "visit_replay")
 
 

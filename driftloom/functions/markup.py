@@ -101,53 +101,62 @@ def read_page(html: str) -> Page:
     """Flat tree in document order; ``last`` and ``end`` close each element's range."""
     page = Page(html)
     nodes, pieces = page.nodes, page.pieces
-    stack: list[int] = []
+    stack: list[Node] = []
+    places: list[int] = []  # positions of the nodes on the stack
+    count = 0
     cursor = 0  # end of the markup read so far
 
-    def add_text(upto: int, kind: str | None = None) -> None:
-        text = html[cursor:upto].strip()
-        if text:
-            if kind is None and "&" in text:
-                text = unescape(text).strip()
-            pieces.append((kind, text))
-
     def close(depth: int, at: int) -> None:
         while len(stack) > depth:
-            node = nodes[stack.pop()]
-            node.last, node.end, node.end_piece = len(nodes) - 1, at, len(pieces)
+            node = stack.pop()
+            places.pop()
+            node.last, node.end, node.end_piece = count - 1, at, len(pieces)
 
     for m in _MARKUP.finditer(html):
-        start, end = m.span()
-        if start < cursor:
-            continue  # inside the raw text of a script or style
+        start = m.start()
         if start > cursor:
-            add_text(start)
-        cursor = end
+            text = html[cursor:start].strip()
+            if "&" in text:
+                text = unescape(text).strip()
+            if text:
+                pieces.append((None, text))
+        elif start < cursor:
+            continue  # inside the raw text of a script or style
+        cursor = m.end()
         closing, tag, source = m.groups()
         if tag is None:
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if nodes[stack[depth]].tag == tag:
+            if stack and stack[-1].tag == tag:
+                close(len(stack) - 1, cursor)
+                continue
+            for depth in range(len(stack) - 2, -1, -1):
+                if stack[depth].tag == tag:
                     close(depth + 1, start)
-                    close(depth, end)
+                    close(depth, cursor)
                     break
             continue
-        while stack and tag in ENDED_BY.get(nodes[stack[-1]].tag, ()):
+        while stack and stack[-1].tag in ENDED_BY and tag in ENDED_BY[stack[-1].tag]:
             close(len(stack) - 1, start)
-        parent = stack[-1] if stack else -1
         attrs = _attributes(source) if source else _NOTHING
-        nodes.append(Node(tag, parent, start, len(pieces), attrs))
-        stack.append(len(nodes) - 1)
+        node = Node(tag, places[-1] if places else -1, start, len(pieces), attrs)
+        nodes.append(node)
+        count += 1
         if tag in VOID or source[-1:] == "/":
-            close(len(stack) - 1, end)
+            node.last, node.end, node.end_piece = count - 1, cursor, len(pieces)
         elif tag in RAW_TEXT:
-            stop = _RAW_END[tag].search(html, end)
-            add_text(stop.start() if stop else len(html), tag)
+            stop = _RAW_END[tag].search(html, cursor)
+            text = html[cursor : stop.start() if stop else len(html)].strip()
+            if text:
+                pieces.append((tag, text))
             cursor = stop.end() if stop else len(html)
-            close(len(stack) - 1, cursor)
-    add_text(len(html))
+            node.last, node.end, node.end_piece = count - 1, cursor, len(pieces)
+        else:
+            stack.append(node)
+            places.append(count - 1)
+    if cursor < len(html) and (text := unescape(html[cursor:]).strip()):
+        pieces.append((None, text))
     close(0, len(html))
     return page
 

@@ -291,6 +291,27 @@ def selector_extract(t: DerivedTables) -> DataFrame:
     return found.select("visit_id", *[F.try_element_at("raw", F.lit(f)).alias(f) for f in PRODUCT_FIELDS])
 
 
+# Selectors for the template the crawled pages share.
+SITE_SELECTORS = {
+    "title": "article > h1",
+    "brand": "div.ad",
+    "sku": "nav li:nth-child(2) a",
+    "description": "footer",
+    "price": ".price",
+}
+
+
+@query
+def site_extract(t: DerivedTables) -> DataFrame:
+    """Crawled pages under the selectors stored for their host."""
+    visits = snapshots.site_visits(t.pages()).select("page_id", "host", "html")
+    stored = snapshots.site_visits(t.table("pages")).select("host").distinct()
+    stored = stored.withColumn("selectors", _text_map(SITE_SELECTORS))
+    found = extraction.apply_selectors(visits.join(stored, "host"))
+    fields = [F.try_element_at("raw", F.lit(f)).alias(f) for f in SITE_SELECTORS]
+    return found.select("page_id", *fields)
+
+
 @query
 def selector_report(t: DerivedTables) -> DataFrame:
     report = _extracted(t).select("visit_id", F.explode(quality.validity_report(F.col("raw"))).alias("field", "r"))

@@ -188,6 +188,18 @@ _DESIGN_ONE_IDS = {
 }
 
 
+def _entities(text: str) -> str:
+    """Decoded text, with or without the closing semicolon as browsers do.
+
+    ``&amp;`` comes last, or what it leaves would be decoded again.
+    """
+    decoded = text
+    signs = {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "amp": "&"}
+    for name, sign in signs.items():
+        decoded = f"regexp_replace({decoded}, '&{name};?', '{sign}', 'g')"
+    return f"nullif(trim({decoded}), '')"
+
+
 def _by_id(ident: str) -> str:
     return f"nullif(regexp_extract(html, ' id=\"{ident}\">([^<]*)<', 1), '')"
 
@@ -451,6 +463,12 @@ def oracle_sql() -> dict[str, str]:
                 lambda k: k <> 'colour')), ',') ELSE '' END AS fields FROM ({answers}) AS a""",
         "selector_extract": f"""SELECT visit_id, {', '.join(_DESIGN_ONE_IDS)} FROM ({_extracted()}) AS e
             WHERE key IN (SELECT key FROM ({_registry()}) AS g)""",
+        "site_extract": f"""
+            SELECT page_id, {_entities("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)")} AS title,
+              {_entities("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS brand,
+              {_entities("regexp_extract(html, '<nav><ul><li>.*?</li><li><a[^>]*>([^<]*)</a>', 1)")} AS sku,
+              {_entities("regexp_extract(html, '<footer>([^<]*)</footer>', 1)")} AS description,
+              CAST(NULL AS VARCHAR) AS price FROM pages""",
         "selector_report": " UNION ALL ".join(
             f"SELECT visit_id, '{f}' AS field, {f} IS NOT NULL AS valid, {f} AS value FROM e" for f in _DESIGN_ONE_IDS
         ).join((f"WITH e AS MATERIALIZED ({_extracted()}) ", "")),

@@ -52,3 +52,9 @@ def test_never_raises(text):
     page = markup.read_page(text)
     assert all(i <= n.last < len(page.nodes) and n.start <= n.end for i, n in enumerate(page.nodes))
     markup.content_section(text, 50, 10)
+
+
+def test_entities_and_blank_pieces():
+    page = markup.read_page("<p>a&nbsp;b<i>&nbsp;</i> &lt;c&gt;<!-- x --> </p>tail &amp; end")
+    assert page.text(0) == "a\xa0b <c>" and page.text(1) is None
+    assert markup.read_page("only &amp; text").pieces == [(None, "only & text")]
