@@ -1,4 +1,4 @@
-"""Make this package importable in Python workers."""
+"""Prepare Python workers: the package on their path, batches of pages of a sane size."""
 
 from __future__ import annotations
 
@@ -10,9 +10,18 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SPARK_DEFAULT, PAGES_PER_BATCH = "10000", "500"
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, once per application."""
+    """Add the package to the application's Python files, once per application.
+
+    Arrow batches are counted in rows, and rows here are pages: ten thousand may be a gigabyte
+    in each task. Unless the session chose a number itself, batches get shorter.
+    """
+    if spark.conf.get(_BATCH_ROWS) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH_ROWS, PAGES_PER_BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
