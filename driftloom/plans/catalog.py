@@ -16,11 +16,12 @@ from driftloom.functions import dom, keys, parsing, quality, responses, similari
 from driftloom.operators import analytics, drift, extraction, registry
 from driftloom.operators.canary import canary
 from driftloom.operators.replay import registry_after, replay
+from driftloom.operators.skew import previous, window_over_key
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
 from driftloom.session import stateful_session
 from driftloom.sources import snapshots, tables
-from driftloom.storage import settle, work_folder
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
+from driftloom.storage import settle, work_folder
 from driftloom.streaming import replay_stream as streams
 from driftloom.streaming import windows
 
@@ -178,8 +179,6 @@ def drift_vs_first(t: DerivedTables) -> DataFrame:
 
 @query
 def structural_similarity(t: DerivedTables) -> DataFrame:
-    from driftloom.operators.skew import previous, window_over_key
-
     visits = snapshots.site_visits(t.pages())
     printed = drift.fingerprint(visits, text_shingles=True).select("page_id", "host", "shingles")
     pairs = window_over_key(printed, "host", ["page_id"], 1, {"before": previous("shingles")})
@@ -525,7 +524,7 @@ def replay_stream(t: DerivedTables) -> DataFrame:
     arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
     for low, high in ((1, 3), (4, 6), (7, t.VISITS)):
         arrived.filter(F.col("visit").between(low, high)).write.mode("append").parquet(f"{folder}/in")
-        stream = job.readStream.schema(arrived.schema).parquet(f"{folder}/in")
+        stream = snapshots.stream_snapshots(job, f"{folder}/in", arrived.schema)
         outcomes = streams.replay_stream(stream, answers)
         streams.write_outcomes(outcomes, folder, f"{folder}/state").awaitTermination()
     return streams.read_table(t.spark, folder, "audit_log").select(*tables.AUDIT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions import keys
 from driftloom.params import DEFAULT_SCHEMA_NAME
@@ -14,6 +15,18 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stream_snapshots(
+    spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = 16 << 30
+) -> DataFrame:
+    """Snapshots arriving as Parquet files.
+
+    ``max_bytes`` bounds a micro-batch, and with it what one key can bring into a task at once:
+    choose it so that a third of it fits in a worker's memory.
+    """
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
+    return stream.parquet(path)
+
+
 def read_html_files(spark: SparkSession, path: str, schema_name: str = DEFAULT_SCHEMA_NAME) -> DataFrame:
     """One snapshot per HTML file, whole text, under the file's own address."""
     files = spark.read.text(path, wholetext=True)

@@ -34,7 +34,7 @@ def replay_stream(
 
     Visits of a key must not arrive in a later micro-batch than newer ones, as in the batch
     order. Expiry is checked when a key is visited, so no timer is needed. What a key brings in
-    one micro-batch is ordered in memory: limit the trigger (files or bytes) accordingly.
+    one micro-batch is ordered in memory; ``snapshots.stream_snapshots`` bounds micro-batches.
 
     Visits and outcomes pass as one text column each: Spark builds a pandas frame per key here,
     and its cost goes with the number of columns.

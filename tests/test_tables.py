@@ -114,3 +114,27 @@ def test_preference_and_uniqueness(spark):
     text = '<p class="u" data-qa="q" id="i">v</p><p class="d" data-qa="r">w</p><b class="d u2">w2</b><i class="d">z</i>'
     df = spark.createDataFrame([(text, {"a": "v", "b": "w", "c": "w2", "d": "z"})], "html string, fields map<string,string>")
     assert extraction.induce_selectors(df).first().selectors == {"a": "#i", "b": '[data-qa="r"]', "c": ".u2", "d": None}
+
+
+def test_stream_in_several_batches_and_restarts(spark, folder, tmp_path):
+    """Small triggers, a stop in between and a repeated batch end where the batch job ends."""
+    from driftloom.streaming import replay_stream as streams
+
+    t = DerivedTables(spark, folder)
+    few = F.col("part_key") < 12
+    visits = t.shop_visits().filter(few)
+    answers = t.shop_responses().filter(few)
+    arrived = visits.select("visit_id", "url", "schema_name", "crawled_at", "html", "visual_hash", "visit")
+    where, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for first, last in ((1, 5), (6, 10)):
+        # One file per visit number, written in order: the source takes the oldest first.
+        for visit in range(first, last + 1):
+            arrived.filter(F.col("visit") == visit).coalesce(1).write.mode("append").parquet(where)
+        stream = snapshots.stream_snapshots(spark, where, arrived.schema, 1_000)
+        job = streams.write_outcomes(streams.replay_stream(stream, answers), out, state)
+        job.awaitTermination()
+        assert len(job.recentProgress) > 1
+    got = streams.read_table(spark, out, "audit_log").select(*tables.AUDIT)
+    expected = tables.audit_log(tables.records(replay(visits, answers)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert got.count() == 12 * 10 - 2 * 2
