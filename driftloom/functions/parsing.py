@@ -19,9 +19,16 @@ OUT_OF_STOCK = ("out of stock", "unavailable", "sold out")
 IN_STOCK = ("in stock", "available", "add to cart", "buy now")
 
 
+# The characters that count as white space at the ends of a text.
+_SPACE_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+                 (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
+                 (0x3000, 0x3000))
+WHITE_SPACE = "".join(chr(c) for low, high in _SPACE_RANGES for c in range(low, high + 1))
+
+
 def strip(text: Column) -> Column:
-    """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Remove all leading and trailing white space, not only blanks; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def parse_text(raw: Column, limit: int) -> Column:

@@ -259,7 +259,7 @@ class DerivedTables:
         return self._sql(shop_responses_sql(SPARK_WORDS, visits), "part", fan_out=True)
 
     def raw_fields(self) -> DataFrame:
-        return self._sql(raw_fields_sql(SPARK_WORDS), "part")
+        return self._sql(raw_fields_sql(SPARK_WORDS), "part", fan_out=True)
 
     def crawl_log(self) -> DataFrame:
         return self._sql(crawl_log_sql({**SPARK_WORDS, "ts_type": "TIMESTAMP_NTZ"}), "events")

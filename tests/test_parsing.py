@@ -40,6 +40,14 @@ def test_text_is_stripped_then_cut(spark):
     assert [r[0] for r in df.select(parsing.parse_text(F.col("raw"), 3)).collect()] == ["abé", "", None]
 
 
+def test_white_space_is_what_python_strips(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert sorted(parsing.WHITE_SPACE) == sorted(spaces)
+    texts = [f"{s}{s}a{s}é{s}" for s in spaces] + ["", "a", "é b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(parsing.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
 def test_quality_and_typed_values_pass(spark):
     df = spark.createDataFrame(
         [({"title": "x", "price": "$5", "in_stock": "maybe"}, None, None), ({"price": "7"}, -5.0, True), ({}, None, None)],
