@@ -4,13 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from driftloom.plans import catalog, checks
 from tests.conftest import SMALL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.queries(), checks.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,7 @@ def normal(rows, names):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
