@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import codes, packing, piecewise, simhash, substring_dedup
+from driftloom.llm import codes, packing, piecewise, quality, simhash, substring_dedup, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -27,6 +27,16 @@ def op5_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return piecewise.compare_with_next(table(spark, folder, "documents"))
 
 
+def op6_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False).drop("ids")
 
