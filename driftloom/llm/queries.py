@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import codes, packing, piecewise, quality, simhash, substring_dedup, toxicity
+from driftloom.llm import codes, packing, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -23,6 +23,10 @@ def op2_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.checksums(codes.read_documents(spark, path))
 
 
+def op4_template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract(table(spark, folder, "pages"))
+
+
 def op5_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return piecewise.compare_with_next(table(spark, folder, "documents"))
 
