@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftloom.llm import codes, packing, piecewise, quality, simhash, substring_dedup, templates, toxicity
+from driftloom.llm import codes, line_dedup, mixing, packing, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -23,6 +24,14 @@ def op2_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.checksums(codes.read_documents(spark, path))
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_lines, n_kept and the hash of what stays of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    n_lines = [F.size(F.split(F.coalesce(c, F.lit("")), "\n")).cast("long") for c in ("whole", "text")]
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return line_dedup.deduplicate(docs).select("doc_id", n_lines[0].alias("n_lines"), n_lines[1].alias("n_kept"), kept.alias("kept_sha256"))
+
+
 def op4_template_removal(spark: SparkSession, folder: str) -> DataFrame:
     return templates.extract(table(spark, folder, "pages"))
 
@@ -41,6 +50,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
 
 
+def op8_target_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan_of(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False).drop("ids")
 
@@ -70,10 +83,66 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def _divided_sql(name: str, nodes: str, parents: str, by: str, label: str, weights: dict[str, int]) -> str:
+    known = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
+    weight = f"CASE {label} {known} ELSE 1 END" if known else "1"
+    return f"""
+{name}_a AS (
+  SELECT n.*, p.whole, {weight} AS weight FROM {nodes} n JOIN {parents} p USING ({by})
+), {name}_b AS (
+  SELECT *, capacity * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (whole - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled
+  FROM {name}_a WINDOW w AS (PARTITION BY {by} ORDER BY CAST(capacity AS DOUBLE) / weight, {label})
+), {name} AS (
+  SELECT *, CASE WHEN filled THEN capacity ELSE
+    (weight * (whole - coalesce(sum(capacity) FILTER (filled) OVER (PARTITION BY {by}), 0)))
+    // sum(weight) FILTER (NOT filled) OVER (PARTITION BY {by}) END AS budget
+  FROM {name}_b
+)"""
+
+
+OP8_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    CASE WHEN left(md5(coalesce(source, '')), 1) < '4' THEN 'd0' WHEN left(md5(coalesce(source, '')), 1) < '8' THEN 'd1'
+         WHEN left(md5(coalesce(source, '')), 1) < 'c' THEN 'd2' ELSE 'd3' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, language, origin, sum(n_tokens) AS supply, sum(n_tokens) * {mixing.MAX_EPOCHS} AS capacity FROM docs GROUP BY ALL
+), families AS (
+  SELECT domain, language, sum(capacity) AS capacity FROM leaves GROUP BY ALL
+), domains AS (
+  SELECT 0 AS root, domain, sum(capacity) AS capacity FROM families GROUP BY ALL
+), root AS (
+  SELECT 0 AS root, least(sum(supply) * {mixing.PERCENT} // 100, sum(capacity)) AS whole FROM leaves
+), {_divided_sql("top", "domains", "root", "root", "domain", mixing.DOMAIN_WEIGHTS)}
+, top_whole AS (SELECT domain, budget AS whole FROM top)
+, {_divided_sql("middle", "families", "top_whole", "domain", "language", mixing.LANGUAGE_WEIGHTS)}
+, middle_whole AS (SELECT domain, language, budget AS whole FROM middle)
+, {_divided_sql("bottom", "leaves", "middle_whole", "domain, language", "origin", mixing.SOURCE_WEIGHTS)}
+, planned AS (
+  SELECT *, coalesce(budget // nullif(supply, 0), 0) AS epochs FROM bottom
+), ordered AS (
+  SELECT d.*, p.epochs, p.budget - p.epochs * p.supply AS rest,
+    md5('{mixing.SEED}:' || CAST(p.epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS o
+  FROM docs d JOIN planned p USING (domain, language, origin)
+), summed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY o) - n_tokens AS before FROM ordered
+), last AS (
+  SELECT domain, language, origin, max(o) FILTER (before < rest) AS last FROM summed GROUP BY ALL
+)
+SELECT doc_id, domain, language, origin, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(epochs + coalesce(o <= last AND rest > 0, FALSE)::INT AS BIGINT) AS copies,
+  CAST(epochs * n_tokens + CASE WHEN o <= last AND rest > 0 THEN least(n_tokens, rest - before) ELSE 0 END AS BIGINT) AS taken
+FROM summed LEFT JOIN last USING (domain, language, origin)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL expresses; the others are tested against brute force."""
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op8_target_mixing": OP8_SQL}
