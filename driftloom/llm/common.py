@@ -17,13 +17,16 @@ _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table; Python workers of this session can import the package afterwards."""
-    ship_package(spark)
+    """One given table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def ids_and_texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
-    """doc_id, the whole text (null counts as empty) and ``more``; other columns are not read."""
+    """doc_id, the whole text (null counts as empty) and ``more``; other columns are not read.
+
+    Python workers can import the package afterwards.
+    """
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from driftloom.llm import codes, line_dedup, mixing, packing, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
@@ -139,8 +140,25 @@ FROM summed LEFT JOIN last USING (domain, language, origin)
 """
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    every = (
+        op1_substring_dedup,
+        op2_token_codes,
+        op3_fuzzy_line_dedup,
+        op4_template_removal,
+        op5_piecewise_fingerprints,
+        op6_toxic_segments,
+        op7_quality_rules,
+        op8_target_mixing,
+        op9_packing,
+        op10_simhash_near_dedup,
+        pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

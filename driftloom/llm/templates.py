@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from driftloom.llm.common import signed, slices
+from driftloom.shipping import ship_package
 
 LEAST_PAGES = 8
 SHARE = 0.5
@@ -175,6 +176,7 @@ def host_of(url: Column) -> Column:
 
 def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """host, hashes of the subtrees that are its template."""
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
