@@ -34,11 +34,27 @@ _BLANKS = " \t\n\r\f"
 _MENTIONS_KEPT = r"""(?i)[\s"'/](?:%s)[\s=/>]""" % "|".join(KEPT_ATTRIBUTES)
 
 
+# Elements that may hold their own kind: an element of one with another inside, and an innermost one.
+_NESTING = "svg|noscript|iframe"
+_OPEN = rf"(?is)<({_NESTING})(?:\s[^>]*+)?+>(?:(?!</?\1[\s/>]).)*+"
+NESTED, INNERMOST = _OPEN + r"<\1[\s/>]", _OPEN + r"</\1\s*+>"
+
+
+def _without_nested(html: Column) -> Column:
+    """Take out innermost elements as often as elements of these kinds open; few pages need it."""
+    opens = F.regexp_count(html, F.lit(rf"(?i)<(?:{_NESTING})[\s/>]"))
+    emptied = F.reduce(
+        F.sequence(F.lit(1), F.greatest(opens, F.lit(1))), html, lambda text, _: F.regexp_replace(text, F.lit(INNERMOST), F.lit(""))
+    )
+    return F.when(F.regexp_like(html, F.lit(NESTED)), emptied).otherwise(html)
+
+
 def start_tags(html: Column) -> Column:
     """All start tags outside removed subtrees, as source text in document order."""
     # img is void: it has no subtree, and like all removed tags it is no start tag here.
     tags = tuple(t for t in REMOVED_TAGS if t != "img")
-    visible = F.regexp_replace(html, F.lit(subtree_pattern(tags)), F.lit(""))
+    plain = F.regexp_replace(html, F.lit(subtree_pattern(("script", "style"))), F.lit(""))
+    visible = F.regexp_replace(_without_nested(plain), F.lit(subtree_pattern(tags)), F.lit(""))
     return F.regexp_extract_all(visible, F.lit(START_TAG), F.lit(0))
 
 

@@ -16,41 +16,68 @@ def unfence(text: Column) -> Column:
     return F.regexp_replace(opened, r"\s*```\z", "")
 
 
+_TEXTS = "struct<extracted:map<string,string>,selectors:map<string,string>,confidence:double,notes:string>"
+_KINDS = "struct<extracted:map<string,variant>>"
+
+
+def is_one_object(body: Column) -> Column:
+    """The text is one JSON object and nothing else.
+
+    JSON readers stop where the first value ends. Put between brackets, and as a field of an
+    object, the text only reads as one value if nothing follows it.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    inner = F.size(F.json_object_keys(F.concat(F.lit('{"d":'), body, F.lit("}")))) == 1
+    return F.coalesce(F.startswith(body, F.lit("{")) & alone & inner, F.lit(False))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """Map of entries, by key; repeated keys keep their last value."""
+    rest = F.transform(entries, lambda e, i: F.struct(e.alias("e"), F.slice(entries, i + 2, F.size(entries)).alias("later")))
+    kept = F.filter(rest, lambda r: ~F.exists(r["later"], lambda e: e["key"] == r["e"]["key"]))
+    return F.map_from_entries(F.array_sort(F.transform(kept, lambda r: r["e"])))
+
+
 def parse_responses(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Add ``ok``, ``extracted``, ``selectors``, ``confidence``, ``notes``, ``tokens``, ``error``.
 
-    ``price_number`` and ``in_stock_flag`` keep values that came as JSON numbers and booleans,
-    because those pass through the field parsers untouched.
+    Of repeated keys the last counts. Numbers keep their source text, booleans read ``True`` and
+    ``False``. ``price_number`` and ``in_stock_flag`` keep values that came as JSON numbers and
+    booleans, because those pass through the field parsers untouched.
     """
     body = unfence(F.col(raw))
-    parsed = df.withColumn("_doc", F.try_parse_json(body))
-    doc = F.col("_doc")
+    ok = is_one_object(body)
+    good = F.when(ok, body)
+    parsed = df.withColumns({"_doc": F.from_json(good, _TEXTS), "_kinds": F.from_json(good, _KINDS), "ok": ok})
+    empty = F.create_map().cast("map<string,string>")
 
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get(doc, path, kind)
+    def shown(text: Column, typed: Column) -> Column:
+        value = F.when(F.schema_of_variant(typed["value"]) == "BOOLEAN", F.initcap(text["value"])).otherwise(text["value"])
+        return F.struct(text["key"].alias("key"), value.alias("value"))
 
-    def kind_of(path: str) -> Column:
-        return F.schema_of_variant(get(path, "variant"))
+    pairs = F.zip_with(F.map_entries("_doc.extracted"), F.map_entries("_kinds.extracted"), shown)
+    kinds = F.map_entries("_kinds.extracted")
 
-    empty = F.create_map().cast("map<string,string>")
-    ok = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
-    price_kind = kind_of("$.extracted.price")
+    def typed_value(field: str) -> Column:
+        return F.element_at(F.filter(kinds, lambda e: e["key"] == field), -1)["value"]
+
+    has = F.size(F.filter(kinds, lambda e: e["key"] == "price")) > 0
+    price = F.when(has, typed_value("price"))
+    stock = F.when(F.size(F.filter(kinds, lambda e: e["key"] == "in_stock")) > 0, typed_value("in_stock"))
+    price_kind = F.schema_of_variant(price)
     columns = {
-        "ok": ok,
-        "extracted": F.coalesce(get("$.extracted", "map<string,string>"), empty),
-        "selectors": F.coalesce(get("$.selectors", "map<string,string>"), empty),
-        "confidence": F.when(ok, F.coalesce(get("$.confidence", "double"), F.lit(0.5))),
-        "notes": F.when(ok, F.coalesce(get("$.notes", "string"), F.lit(""))),
+        "extracted": F.coalesce(_last_of_each(pairs), empty),
+        "selectors": F.coalesce(_last_of_each(F.map_entries("_doc.selectors")), empty),
+        "confidence": F.when(ok, F.coalesce("_doc.confidence", F.lit(0.5))),
+        "notes": F.when(ok, F.coalesce("_doc.notes", F.lit(""))),
         "price_number": F.when(
             price_kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(price_kind, F.lit("DECIMAL")),
-            get("$.extracted.price", "double"),
-        ),
-        "in_stock_flag": F.when(
-            kind_of("$.extracted.in_stock") == "BOOLEAN", get("$.extracted.in_stock", "boolean")
+            F.try_variant_get(price, "$", "double"),
         ),
+        "in_stock_flag": F.when(F.schema_of_variant(stock) == "BOOLEAN", F.try_variant_get(stock, "$", "boolean")),
         "tokens": F.col("input_tokens") + F.col("output_tokens"),
         "error": F.when(
             ~ok, F.concat(F.lit("invalid JSON response: "), F.left(body, F.lit(ERROR_CHARS)))
         ),
     }
-    return parsed.withColumns(columns).drop("_doc")
+    return parsed.withColumns(columns).drop("_doc", "_kinds")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions import quality
 from driftloom.operators.skew import SEGMENT_ROWS, latest_per_key, window_over_key
 
 
@@ -37,9 +38,14 @@ def null_rate_trend(audit: DataFrame, visits: int = 5, segment_rows: int = SEGME
 
 def audit_totals(audit: DataFrame, *by: str) -> DataFrame:
     """Dashboard counts of the audit log in one scan, over all of it or per group."""
+    return _totals(audit.groupBy(*by))
+
+
+def _totals(groups: GroupedData, *more: Column) -> DataFrame:
     hits = F.count_if(F.col("cache_hit"))
     others = F.count_if(~F.col("cache_hit"))
-    return audit.groupBy(*by).agg(
+    return groups.agg(
+        *more,
         others.alias("llm_runs"),
         hits.alias("cache_hits"),
         F.count_if(F.col("drift_detected")).alias("drift_events"),
@@ -50,6 +56,15 @@ def audit_totals(audit: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def audit_rollup(audit: DataFrame, *by: str) -> DataFrame:
+    """``audit_totals`` for every prefix of ``by``, down to the grand total; one scan.
+
+    ``level`` is the number of columns that count; the others are NULL in that row.
+    """
+    level = F.lit(len(by)) - F.bit_count(F.grouping_id())
+    return _totals(audit.rollup(*by), level.cast("int").alias("level"))
+
+
 def summary_stats(extractions: DataFrame, audit: DataFrame) -> DataFrame:
     """One row of dashboard figures. The two one-row aggregates are added, not joined."""
     totals = audit_totals(audit).withColumn("total_extractions", F.lit(None).cast("bigint"))
@@ -58,12 +73,15 @@ def summary_stats(extractions: DataFrame, audit: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in totals.columns])
 
 
-def key_counters(audit: DataFrame, key: str = "url") -> DataFrame:
-    """Hits and misses per key. Partial sums are taken before the shuffle."""
-    used = audit.filter(F.col("cache_hit"))
+def key_counters(used: DataFrame, key: str = "key", results: str = "results") -> DataFrame:
+    """Hits and misses per registry key of visits served by stored selectors.
+
+    A visit with any selector result missing is a miss. Partial sums are taken before the shuffle.
+    """
+    missing = quality.null_count(F.col(results))
     return used.groupBy(key).agg(
-        F.count_if(F.col("null_rate") == 0).alias("hit_count"),
-        F.count_if(F.col("null_rate") > 0).alias("miss_count"),
+        F.count_if(missing == 0).alias("hit_count"),
+        F.count_if(missing > 0).alias("miss_count"),
     )
 
 
@@ -89,3 +107,12 @@ def audit_windows(audit: DataFrame, width: str = "1 day", slide: str | None = No
         )
         .select(F.col("w.start").alias("window_start"), "method", "visits", "drift_events", "tokens")
     )
+
+
+def audit_sessions(audit: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Visits of one URL that follow each other within ``gap``, as sessions."""
+    return (
+        audit.groupBy(F.session_window("crawled_at", gap).alias("w"), "url")
+        .agg(F.count(F.lit(1)).alias("visits"), F.count_if(F.col("drift_detected")).alias("drift_events"))
+        .select("url", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "visits", "drift_events")
+    )

@@ -67,17 +67,34 @@ def extraction_queue(visits: DataFrame, registry: DataFrame) -> DataFrame:
     return visits.join(registry, _live_pairs(visits, registry), "left_anti")
 
 
+def with_selectors(visits: DataFrame, registry: DataFrame, at: str = "crawled_at") -> DataFrame:
+    """Every visit with the ``selectors`` of its key's live entry, or NULL.
+
+    ``registry`` has key, created_at, ttl_seconds and selectors.
+    """
+    entries = registry.select("key", F.struct("created_at", "ttl_seconds", "selectors").alias("_entry"))
+    live = ~is_expired(F.col("_entry.created_at"), F.col("_entry.ttl_seconds"), F.col(at))
+    joined = visits.join(entries, "key", "left")
+    return joined.withColumn("selectors", F.when(live, F.col("_entry.selectors"))).drop("_entry")
+
+
 def upsert(registry: DataFrame, entries: DataFrame) -> DataFrame:
-    """New entries replace whole old ones, counters back to zero; the newest per key wins."""
+    """New entries replace whole old ones, counters back to zero; the newest per key wins.
+
+    ``entries`` has all columns of ``registry`` but the counters; a new entry counts as validated
+    when it is made. Entries made at the same moment are told apart by their whole content.
+    """
     fresh = entries.withColumns(
         {
             "hit_count": F.lit(0).cast("bigint"),
             "miss_count": F.lit(0).cast("bigint"),
+            "last_validated_at": F.col("created_at"),
             "_new": F.lit(1),
         }
     )
-    both = registry.withColumn("_new", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    return latest_per_key(both, "key", ["_new", "created_at"]).drop("_new", "_rank")
+    both = registry.withColumn("_new", F.lit(0)).unionByName(fresh)
+    both = both.withColumn("_content", F.to_json(F.struct(*registry.columns)))
+    return latest_per_key(both, "key", ["_new", "created_at", "_content"]).drop("_new", "_content", "_rank")
 
 
 def invalidate(registry: DataFrame, dropped: DataFrame) -> DataFrame:

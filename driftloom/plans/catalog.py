@@ -283,10 +283,13 @@ def _extracted(t: DerivedTables) -> DataFrame:
 
 @query
 def selector_extract(t: DerivedTables) -> DataFrame:
-    """Stored selectors per key, joined to the visits of the key, then applied."""
-    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "html")
-    stored = t.registry().select("key", _text_map(DESIGN_ONE).alias("selectors"))
-    found = extraction.apply_selectors(visits.join(stored, "key"))
+    """Stored selectors of live entries, applied to every visit; without an entry all is NULL.
+
+    Which selectors a visit has is decided on narrow columns.
+    """
+    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "crawled_at", "html")
+    stored = t.registry().withColumn("selectors", _text_map(DESIGN_ONE))
+    found = extraction.apply_selectors(registry.with_selectors(visits, stored))
     return found.select("visit_id", *[F.try_element_at("raw", F.lit(f)).alias(f) for f in PRODUCT_FIELDS])
 
 
@@ -418,7 +421,8 @@ def registry_upsert(t: DerivedTables) -> DataFrame:
     visits = _visits_without_html(t).filter(F.col("visit").isin(2, 3) & (F.col("part_key") % 4 == 0))
     entries = visits.select(
         "key", F.col("url").alias("url_pattern"), "schema_name", F.col("crawled_at").alias("created_at"),
-        (F.col("visit") + 700).cast("bigint").alias("llm_tokens_spent"), F.lit(604800).cast("bigint").alias("ttl_seconds"),
+        F.lit(None).cast("timestamp_ntz").alias("last_validated_at"), (F.col("visit") + 700).cast("bigint").alias("llm_tokens_spent"),
+        F.lit(604800).cast("bigint").alias("ttl_seconds"),
     )
     return registry.upsert(t.registry(), entries)
 
@@ -589,7 +593,10 @@ def null_rate_trend(t: DerivedTables) -> DataFrame:
 
 @query
 def key_counters(t: DerivedTables) -> DataFrame:
-    return analytics.key_counters(t.crawl_log())
+    """Hits and misses of selector results, per registry key, over the cached visits of a replay."""
+    used = _replay(t).filter(F.col("method") == "cache_hit").select("key", "raw", "selectors")
+    results = F.from_json("raw", "map<string,string>")
+    return analytics.key_counters(used.withColumn("results", results), "key", "results")
 
 
 @query
@@ -601,15 +608,29 @@ def summary_stats(t: DerivedTables) -> DataFrame:
 @query
 def crawl_stats(t: DerivedTables) -> DataFrame:
     log = t.crawl_log()
-    counts = analytics.summary_stats(log, log).drop("cache_hit_rate")
-    return analytics.stats_document(registry.stats(t.registry(), _at(0)).drop("avg_null_rate"), counts)
+    counts = analytics.summary_stats(log.filter(F.col("method") != "error"), log)
+    counts = counts.withColumn("cache_hit_rate", F.round("cache_hit_rate", 6))
+    entries = registry.stats(t.registry(), _at(0)).withColumn("avg_null_rate", F.round("avg_null_rate", 6))
+    return analytics.stats_document(entries, counts)
 
 
 @query
 def audit_rollup(t: DerivedTables) -> DataFrame:
-    return analytics.audit_totals(t.crawl_log(), "method", "drift_severity")
+    """Totals by host, day, method and severity, with subtotals up to the grand total."""
+    log = t.crawl_log().withColumns({"host": keys.host(F.col("url")), "day": F.to_date("crawled_at").cast("string")})
+    return analytics.audit_rollup(log, "host", "day", "method", "drift_severity")
 
 
 @query
 def audit_windows(t: DerivedTables) -> DataFrame:
     return analytics.audit_windows(t.crawl_log(), "1 day")
+
+
+@query
+def audit_windows_sliding(t: DerivedTables) -> DataFrame:
+    return analytics.audit_windows(t.crawl_log(), "2 days", "1 day")
+
+
+@query
+def audit_sessions(t: DerivedTables) -> DataFrame:
+    return analytics.audit_sessions(t.crawl_log(), "12 hours")

@@ -12,6 +12,7 @@ from driftloom.sources.derived import ANSI_WORDS as WORDS
 VISITS = derived.DerivedTables.VISITS
 _EPOCH = WORDS["at"](0)
 
+_ROLLED = ("host", "day", "method", "drift_severity")
 _NOISE = ("script", "style", "noscript", "svg", "iframe")
 _KEPT = ("aria-label", "class", "data-testid", "id", "name", "role", "type")
 
@@ -40,6 +41,8 @@ def _host(url: str) -> str:
 def _lines(html: str) -> str:
     """Skeleton lines of a page as a list."""
     text = f"regexp_replace({html}, '(?is)<!--.*?-->', '', 'g')"
+    # Drawings inside drawings go first: those without another tag's end or a further "sv" within.
+    text = f"regexp_replace({text}, '(?is)<svg[^>]*>([^<]|<[^/s]|<s[^v])*</svg>', '', 'g')"
     for tag in _NOISE:
         text = f"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}[^>]*>', '', 'g')"
     tags = f"regexp_extract_all({text}, '<([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>', 0)"
@@ -206,7 +209,7 @@ def _by_id(ident: str) -> str:
 
 def _extracted() -> str:
     fields = ", ".join(f"{_by_id(i)} AS {f}" for f, i in _DESIGN_ONE_IDS.items())
-    return f"SELECT visit_id, key, {fields} FROM ({_usable()}) AS u"
+    return f"SELECT visit_id, key, crawled_at, {fields} FROM ({_usable()}) AS u"
 
 
 def _missing() -> str:
@@ -215,6 +218,8 @@ def _missing() -> str:
 
 def _cleaned() -> str:
     text = "regexp_replace(html, '(?is)<head>.*?</head>', '')"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(?is)<svg[^>]*>([^<]|<[^/s]|<s[^v])*</svg>', '', 'g')"
     for tag in ("script", "style"):
         text = f"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
     return text
@@ -382,7 +387,7 @@ def oracle_sql() -> dict[str, str]:
     raw = derived.raw_fields_sql(WORDS)
     pages_cleaned = f"SELECT *, {_cleaned()} AS cleaned FROM pages"
     new_entries = f"""
-      SELECT key, url AS url_pattern, schema_name, crawled_at AS created_at, 0::BIGINT AS hit_count, 0::BIGINT AS miss_count,
+      SELECT key, url AS url_pattern, schema_name, crawled_at AS created_at, crawled_at AS last_validated_at, 0::BIGINT AS hit_count, 0::BIGINT AS miss_count,
              (visit + 700)::BIGINT AS llm_tokens_spent, 604800::BIGINT AS ttl_seconds
       FROM ({_keyed()}) AS v WHERE visit = 3 AND part_key % 4 = 0"""
     dropped = f"SELECT key FROM ({_keyed()}) AS v WHERE visit = 1 AND part_key % 3 = 0"
@@ -461,8 +466,8 @@ def oracle_sql() -> dict[str, str]:
         "known_fields": f"""SELECT visit_id, CASE WHEN ok THEN 10 ELSE 0 END AS n_given, CASE WHEN ok THEN 9 ELSE 0 END AS n_known,
               CASE WHEN ok THEN array_to_string(list_sort(list_filter(json_keys(body, '$.extracted'),
                 lambda k: k <> 'colour')), ',') ELSE '' END AS fields FROM ({answers}) AS a""",
-        "selector_extract": f"""SELECT visit_id, {', '.join(_DESIGN_ONE_IDS)} FROM ({_extracted()}) AS e
-            WHERE key IN (SELECT key FROM ({_registry()}) AS g)""",
+        "selector_extract": f"""SELECT e.visit_id, {', '.join(f"CASE WHEN NOT ({_expired('e.crawled_at')}) THEN {f} END AS {f}" for f in _DESIGN_ONE_IDS)}
+            FROM ({_extracted()}) AS e LEFT JOIN ({_registry()}) AS g ON g.key = e.key""",
         "site_extract": f"""
             SELECT page_id, {_entities("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)")} AS title,
               {_entities("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS brand,
@@ -509,7 +514,7 @@ def oracle_sql() -> dict[str, str]:
         "registry_expired": f"SELECT key, created_at, {_expired(_EPOCH)} AS expired FROM ({_registry()}) AS g",
         "registry_upsert": f"""
             WITH n AS ({new_entries}) SELECT * FROM n UNION ALL
-            SELECT key, url_pattern, schema_name, created_at, hit_count, miss_count, llm_tokens_spent, ttl_seconds
+            SELECT key, url_pattern, schema_name, created_at, last_validated_at, hit_count, miss_count, llm_tokens_spent, ttl_seconds
             FROM ({_registry()}) AS g WHERE key NOT IN (SELECT key FROM n)""",
         "registry_invalidate": f"""SELECT key, created_at, hit_count FROM ({_registry()}) AS g
             WHERE key NOT IN ({dropped})""",
@@ -575,19 +580,35 @@ def oracle_sql() -> dict[str, str]:
         "null_rate_trend": f"""SELECT id, url, crawled_at, null_rate, round(avg(null_rate) OVER (
               PARTITION BY url ORDER BY crawled_at, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS trend
             FROM ({log}) AS l""",
-        "key_counters": f"""SELECT url, count(*) FILTER (WHERE null_rate = 0) AS hit_count,
-              count(*) FILTER (WHERE null_rate > 0) AS miss_count FROM ({log}) AS l WHERE cache_hit GROUP BY url""",
+        # Only products without a currency node have a selector without a result.
+        "key_counters": f"""{history}
+            SELECT {_key('f.url')} AS key, count(*) FILTER (WHERE f.story <> 1) AS hit_count,
+              count(*) FILTER (WHERE f.story = 1) AS miss_count
+            FROM run JOIN facts AS f USING (visit_id) WHERE method = 'cache_hit' GROUP BY 1""",
         "summary_stats": f"""SELECT {totals}, {hit_rate}, count(*) FILTER (WHERE method <> 'error') AS total_extractions
             FROM ({log}) AS l""",
         "crawl_stats": f"""
-            WITH g AS ({_registry_stats(_EPOCH)}), a AS (SELECT {totals}, count(*) AS total_extractions FROM ({log}) AS l)
+            WITH g AS ({_registry_stats(_EPOCH)}), a AS (SELECT {totals}, round({hit_rate.removesuffix(' AS cache_hit_rate')}, 6) AS cache_hit_rate,
+                count(*) FILTER (WHERE method <> 'error') AS total_extractions FROM ({log}) AS l)
             SELECT concat('{{"cache":{{"total_entries":', g.total_entries, ',"total_hits":', g.total_hits, ',"total_misses":',
               g.total_misses, ',"total_llm_tokens":', g.total_llm_tokens, ',"expired":', g.expired,
+              ',"avg_null_rate":', round(g.avg_null_rate, 6),
               '}},"db":{{"llm_runs":', a.llm_runs, ',"cache_hits":', a.cache_hits, ',"drift_events":', a.drift_events,
-              ',"total_llm_tokens":', a.total_llm_tokens, ',"total_extractions":', a.total_extractions, '}}}}') AS stats
+              ',"total_llm_tokens":', a.total_llm_tokens, ',"cache_hit_rate":', a.cache_hit_rate, ',"total_extractions":', a.total_extractions, '}}}}') AS stats
             FROM g, a""",
-        "audit_rollup": f"""SELECT method, drift_severity, {totals}, {hit_rate} FROM ({log}) AS l
-            GROUP BY method, drift_severity""",
+        "audit_rollup": "UNION ALL ".join(
+            f"""SELECT {', '.join(c if i < n else f"NULL AS {c}" for i, c in enumerate(_ROLLED))}, {n} AS level, {totals}, {hit_rate}
+                FROM (SELECT *, {_host('url')} AS host, CAST(CAST(crawled_at AS DATE) AS VARCHAR) AS day FROM ({log}) AS o) AS l
+                {'GROUP BY ' + ', '.join(_ROLLED[:n]) if n else ''} """ for n in range(len(_ROLLED) + 1)),
+        "audit_windows_sliding": f"""SELECT date_trunc('day', crawled_at)::TIMESTAMP - to_days(back) AS window_start, method, count(*) AS visits,
+              count(*) FILTER (WHERE drift_detected) AS drift_events, CAST(sum(llm_tokens_used) AS BIGINT) AS tokens
+            FROM (SELECT *, unnest([0, 1]) AS back FROM ({log}) AS l) AS l GROUP BY 1, 2""",
+        "audit_sessions": f"""
+            WITH l AS (SELECT url, crawled_at, drift_detected, id, coalesce(crawled_at - lag(crawled_at) OVER o >= INTERVAL 12 HOUR, true) AS starts
+                FROM ({log}) AS l WINDOW o AS (PARTITION BY url ORDER BY crawled_at, id)),
+              s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY url ORDER BY crawled_at, id) AS n FROM l)
+            SELECT url, min(crawled_at)::TIMESTAMP AS session_start, max(crawled_at)::TIMESTAMP + INTERVAL 12 HOUR AS session_end,
+              count(*) AS visits, count(*) FILTER (WHERE drift_detected) AS drift_events FROM s GROUP BY url, n""",
         "audit_windows": f"""SELECT date_trunc('day', crawled_at)::TIMESTAMP AS window_start, method, count(*) AS visits,
               count(*) FILTER (WHERE drift_detected) AS drift_events, CAST(sum(llm_tokens_used) AS BIGINT) AS tokens
             FROM ({log}) AS l GROUP BY 1, 2""",

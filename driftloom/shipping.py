@@ -1,4 +1,8 @@
-"""Prepare Python workers: the package on their path, batches of pages of a sane size."""
+"""Prepare Python workers: the package on their path.
+
+Arrow batches are bounded by Spark itself (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB
+unless set), so nothing here touches the session's settings.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,14 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_SPARK_DEFAULT, PAGES_PER_BATCH = "10000", "500"
-
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, once per application.
-
-    Arrow batches are counted in rows, and rows here are pages: ten thousand may be a gigabyte
-    in each task. Unless the session chose a number itself, batches get shorter.
-    """
-    if spark.conf.get(_BATCH_ROWS) == _SPARK_DEFAULT:
-        spark.conf.set(_BATCH_ROWS, PAGES_PER_BATCH)
+    """Add the package to the application's Python files, once per application."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="driftloom-")) / "driftloom.zip"
+    archive = Path(tempfile.mkdtemp(prefix="driftloom-")).resolve() / "driftloom.zip"
     with zipfile.ZipFile(archive, "w") as bundle:
         for source in sorted(package.rglob("*.py")):
             bundle.write(source, source.relative_to(package.parent))

@@ -70,13 +70,15 @@ def shop_visits_sql(words, visits: int) -> str:
         for k in range(2, visits + 1)
     )
     page_one = f"""concat(
-        '<html><head><title>', title, '</title></head><body><nav id="menu"><a href="/">Home</a></nav>',
-        '<div class="listing"><span id="pd-brand">', brand, '</span><h1 id="pd-title">', title, '</h1>',
-        '<div id="pd-rating">', rating, '</div><span id="pd-reviews">(', reviews, ' reviews)</span>',
-        '<div id="pd-price">$', price, '</div>',
+        '<html><head><title>', title, '</title></head><body><ul id="crumbs"><li><a href="/">Start</a></li></ul>',
+        CASE WHEN story = 3 THEN '<svg id="mark"><svg><path id="in"/></svg><path id="out"/></svg>' ELSE '' END,
+        '<section class="listing"><b id="pd-stock">', stock, '</b><label id="pd-sku">', sku, '</label>',
         CASE WHEN story = 1 THEN '' ELSE '<b id="pd-currency">$</b>' END,
-        '<span id="pd-stock">', stock, '</span><span id="pd-sku">', sku, '</span>',
-        '<p id="pd-text">', descr, '</p>'{tips}, '</div><!-- build 1 --></body></html>')"""
+        '<blockquote><div id="pd-price">$', price, '</div></blockquote></section>',
+        '<p id="pd-text">', descr, '</p>'{tips},
+        '<dl class="facts"><dt>Liked</dt><dd id="pd-reviews">(', reviews, ' reviews)</dd><dd id="pd-rating">', rating,
+        '</dd><dt>Made by</dt><dd id="pd-brand">', brand, '</dd></dl>',
+        '<h1 id="pd-title">', title, '</h1><!-- build 1 --></body></html>')"""
     page_two = """concat(
         '<html><head><title>', title, '</title><script>var p = "<div>";</script></head><body>',
         '<main class="offer"><h1 class="headline">', title, '</h1><em class="maker">', brand, '</em>',
@@ -144,7 +146,8 @@ def shop_responses_sql(words, visits: int) -> str:
                     WHEN story = 1 THEN {selectors(one, True)}
                     ELSE {selectors(one, False)} END,
                ', "confidence": 0.9}}',
-               CASE WHEN visit % 3 = 0 THEN ' ```' ELSE '' END) END AS raw_text,
+               CASE WHEN visit % 3 = 0 THEN ' ```' ELSE '' END,
+               CASE WHEN story = 4 AND visit = 4 THEN ' and more' ELSE '' END) END AS raw_text,
              500 + part_key % 100 AS input_tokens, CAST(100 + visit AS BIGINT) AS output_tokens
       FROM ({shop_visits_sql(words, visits)}) AS s
       WHERE NOT (story = 4 AND visit IN (2, 3, 5))
@@ -218,6 +221,7 @@ def registry_sql(words) -> str:
                     CAST(p_partkey AS STRING)) AS url_pattern,
              'product_v1' AS schema_name,
              {words['at']('p_partkey % 3600 - (p_partkey % 12) * 86400')} AS created_at,
+             {words['at']('p_partkey % 3600 - (p_partkey % 12) * 86400 + 60')} AS last_validated_at,
              CAST(p_size * 3 AS BIGINT) AS hit_count, CAST(p_partkey % 7 AS BIGINT) AS miss_count,
              600 + p_partkey % 600 AS llm_tokens_spent, CAST(604800 AS BIGINT) AS ttl_seconds
       FROM part WHERE p_partkey % 5 <> 0

@@ -149,3 +149,11 @@ def test_thresholds_are_parameters(spark):
     assert not lenient.filter("has_drift").count()
     strict = drift.drift_vs_previous(visits, "key", ["n"])
     assert strict.filter("has_drift").select("drift_severity").first()[0] == "major"
+
+
+def test_removed_elements_inside_their_own_kind(spark):
+    (lines,) = skeletons(spark, pages.NESTED)
+    assert [x.split('"')[3] for x in lines] == ["a", "b", "c", "d"]
+    deep = "<svg><path id='x'/>" * 30 + "</svg>" * 30 + '<p id="z">'
+    (lines,) = skeletons(spark, deep)
+    assert len(lines) == 1 and '"z"' in lines[0]

@@ -6,11 +6,11 @@ from driftloom.operators.extraction import typed_product
 
 CASES = {
     parsing.parse_price: [
-        ("$299.99", 299.99), ("1,299.99 EUR", 1299.99), ("$1.299.99", None), ("1.299,99", 1.29999),
+        ("£64.50", 64.5), ("8,064.50 EUR", 8064.5), ("$8.064.50", None), ("1.299,99", 1.29999),
         ("Only 5.", 5.0), ("v1.2 $3", 1.23), ("-5", 5.0), ("", None), ("free", None), (".", None), (None, None),
     ],
     parsing.parse_currency: [
-        ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), (" usd ", "USD"), ("$299", "$29"),
+        ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), (" usd ", "USD"), ("$645", "$64"),
         ("US Dollar", "US "), ("", None), ("\t\n", None), (None, None),
     ],
     parsing.parse_rating: [
@@ -18,7 +18,7 @@ CASES = {
         ("4,7", 4.0), ("none", None), (None, None),
     ],
     parsing.parse_review_count: [
-        ("(2,847 reviews)", 2847), ("1.2k", 12), ("none", None), ("", None), ("99999999999999999999", None), (None, None),
+        ("(5,061 opinions)", 5061), ("1.2k", 12), ("none", None), ("", None), ("99999999999999999999", None), (None, None),
     ],
     parsing.parse_in_stock: [
         ("In Stock", True), ("OUT OF STOCK", False), ("Currently unavailable", False), ("sold out", False),
@@ -105,3 +105,28 @@ def test_responses(spark):
     assert not c.ok and c.error.endswith("not json at all") and c.confidence is None and c.extracted == {}
     assert not d.ok
     assert e.ok and e.extracted == {}
+
+
+ANSWERS = [
+    ('{"extracted": {"price": "1"}, "selectors": {}} trailing', False, {}, None),
+    ('{"extracted": {"price": "1"}}] x', False, {}, None),
+    ('{"extracted": {"price": "1"}}} x', False, {}, None),
+    ("[1]", False, {}, None),
+    ('```json\n{"extracted": {"title": "a", "title": "b"}, "extracted": {"title": "c", "sku": true, "sku": 7}}\n```', True, {"title": "c", "sku": "7"}, None),
+    ('{"extracted": {"review_count": 12.0, "title": true, "brand": "true", "price": 12.50}}', True, {"review_count": "12.0", "title": "True", "brand": "true", "price": "12.5"}, 12.5),
+    ('{"extracted": 5, "confidence": "high"}', True, {}, None),
+    (None, False, {}, None),
+]
+
+
+def test_answers(spark):
+    from driftloom.functions.responses import parse_responses
+
+    df = spark.createDataFrame([(i, t, 1, 2) for i, (t, *_) in enumerate(ANSWERS)], "i int, raw_text string, input_tokens long, output_tokens long")
+    rows = parse_responses(df).orderBy("i").collect()
+    for r, (_, ok, extracted, price) in zip(rows, ANSWERS):
+        got = {k: v if k != "price" else v.rstrip("0") for k, v in r.extracted.items()}
+        assert (r.ok, got, r.price_number) == (ok, extracted, price)
+    # A count that came as 12.0 is read like its text.
+    typed = parse_responses(df.filter("i = 5")).select(parsing.parse_review_count(F.col("extracted")["review_count"]))
+    assert typed.first()[0] == 120

@@ -17,8 +17,8 @@ def plan(df):
 
 def entries(spark, rows):
     return spark.createDataFrame(
-        [(k, dt.datetime(2024, 1, d), h, m, 10, 604_800) for k, d, h, m in rows],
-        "key string, created_at timestamp_ntz, hit_count long, miss_count long, llm_tokens_spent long, ttl_seconds long",
+        [(k, dt.datetime(2024, 1, d), None, h, m, 10, 604_800) for k, d, h, m in rows],
+        "key string, created_at timestamp_ntz, last_validated_at timestamp_ntz, hit_count long, miss_count long, llm_tokens_spent long, ttl_seconds long",
     )
 
 
@@ -100,7 +100,7 @@ def test_page_text_is_read_only_where_needed(spark, folder):
 
 
 def test_induced_selectors_find_their_values(spark):
-    fields = {"title": "Desk Lamp 40", "price": "$299.99", "sku": "SKU: DL-40", "in_stock": "In Stock", "x": "absent", "y": None}
+    fields = {"title": "Stove Kettle 2 l", "price": "£64.50", "sku": "No. 88-K", "in_stock": "Available", "x": "absent", "y": None}
     df = spark.createDataFrame([(1, pages.DESIGN_ONE, fields), (2, pages.DESIGN_TWO, fields)], "n int, html string, fields map<string,string>")
     one, two = extraction.induce_selectors(df).orderBy("n").collect()
     assert one.selectors == {"title": "#headline", "price": "#cost", "sku": "#ref", "in_stock": "#stock", "x": None, "y": None}
@@ -138,3 +138,25 @@ def test_stream_in_several_batches_and_restarts(spark, folder, tmp_path):
     expected = tables.audit_log(tables.records(replay(visits, answers)))
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     assert got.count() == 12 * 10 - 2 * 2
+
+
+def test_upsert(spark):
+    import datetime as dt
+
+    from driftloom.operators import registry
+
+    day = dt.datetime(2024, 5, 1)
+    columns = "key string, url_pattern string, created_at timestamp_ntz, last_validated_at timestamp_ntz, hit_count long, miss_count long"
+    old = spark.createDataFrame([("a", "old", day, day, 5, 1), ("b", "old", day, day, 2, 2)], columns)
+    new = [("a", "new1", day, None), ("a", "new2", day, None), ("c", "new3", day, None)]
+    entries = spark.createDataFrame(new, "key string, url_pattern string, created_at timestamp_ntz, last_validated_at timestamp_ntz")
+    for frame in (entries, entries.orderBy("url_pattern", ascending=False)):
+        rows = {r.key: r for r in registry.upsert(old, frame).collect()}
+        assert {k: (r.url_pattern, r.hit_count, r.last_validated_at) for k, r in rows.items()} == {"a": ("new2", 0, day), "b": ("old", 2, day), "c": ("new3", 0, day)}
+
+
+def test_operators_leave_the_settings_alone(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    df = spark.createDataFrame([("<p>x</p>", {"a": "p"})], "html string, selectors map<string,string>")
+    assert extraction.apply_selectors(df).first().raw == {"a": "x"}
+    assert before == {k: spark.conf.get(k) for k in before}
