@@ -7,8 +7,9 @@ there loses no link and needs no pairs. A value is met by at most as many finger
 ball holds (2,081), whatever the data.
 
 Before that, fingerprints without any partner are set aside by an exact test, since a ball is
-2,081 rows: of eight blocks, four differing bits leave four blocks equal. A fingerprint that
-shares no choice of four blocks with another has no link.
+2,081 rows: of ten blocks, four differing bits leave six blocks equal. A fingerprint that shares
+no choice of six blocks with another has no link. Each task marks those that meet in it and
+sends on one of them per choice, so what many fingerprints share arrives as a few rows per task.
 
 Nulls and texts without words have fingerprint zero, linked like any other. Rows with equal
 doc_id are rows of their own and get the same component. An empty table gives no rows. Other
@@ -27,15 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh64_intdigest
 
-from driftloom.llm.common import bytes_of, ids_and_texts, signed, slices, word_bounds
+from driftloom.llm.common import ODD, bytes_of, ids_and_texts, mixed, signed, slices, word_bounds
 from driftloom.llm.components import components
 from driftloom.storage import settle
 
 SHINGLE_WORDS = 4
 SEED = 42
 HALF = 2
-BLOCKS = 8
+BLOCKS = 10
 _FEW = 256
+_MANY = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -75,9 +77,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def _block_masks() -> np.ndarray:
-    width = 64 // BLOCKS
-    block = (1 << width) - 1
-    return np.array([sum(block << (width * i) for i in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - 2 * HALF)], np.uint64)
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    blocks = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    return np.array([sum(chosen) for chosen in combinations(blocks, BLOCKS - 2 * HALF)], np.uint64)
 
 
 def _ball() -> np.ndarray:
@@ -85,34 +87,58 @@ def _ball() -> np.ndarray:
     return np.array([sum(1 << i for i in chosen) for n in range(HALF + 1) for chosen in combinations(range(64), n)], np.uint64)
 
 
-def _spread(fps: DataFrame, kind: str) -> DataFrame:
-    """at, fp: each fingerprint at its block choices (``blocks``) or at its ball's values (``ball``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = _block_masks() if kind == "blocks" else _ball()
-        tags = np.arange(len(masks), dtype=np.uint64)
-        for batch in batches:
-            every = np.asarray(batch.column("fp")).view(np.uint64)
-            for low in range(0, len(every), _FEW):
-                own = every[low : low + _FEW, None]
-                # A choice's number is mixed in, so equal bits under different choices stay apart.
-                at = ((own & masks) * np.uint64(0x9E3779B97F4A7C15)) ^ (tags * np.uint64(0xC2B2AE3D27D4EB4F)) if kind == "blocks" else own ^ masks
-                whom = np.repeat(own[:, 0], len(masks))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(at.reshape(-1))), pa.array(signed(whom))], ["at", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "at long, fp long")
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        every = np.asarray(batch.column("fp")).view(np.uint64)
+        for low in range(0, len(every), size):
+            yield every[low : low + size]
 
 
 def with_partners(fps: DataFrame) -> DataFrame:
     """Those of the distinct ``fps`` that share a choice of blocks with another one."""
-    keyed = _spread(fps, "blocks")
-    shared = keyed.groupBy("at").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("at")
-    return keyed.join(shared, "at").select("fp").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = _block_masks()
+        # A choice's number is mixed in, so equal bits under different choices stay apart.
+        tags = np.arange(len(masks), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for own in _chunks(batches, _MANY):
+            at = (((own[:, None] & masks) * ODD) ^ tags).reshape(-1)
+            order = np.argsort(at, kind="stable")
+            same = at[order[1:]] == at[order[:-1]]
+            sure = np.zeros(len(at), bool)
+            sure[order[1:][same]] = sure[order[:-1][same]] = True
+            met = np.unique(own[sure.reshape(len(own), -1).any(1)])
+            first = order[np.append(True, ~same)]
+            sent = own[first // len(masks)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(signed(np.concatenate([at[first], mixed(met)]))),
+                    pa.array(signed(np.concatenate([sent, met]))),
+                    pa.array(np.repeat([False, True], [len(sent), len(met)])),
+                ],
+                ["at", "fp", "sure"],
+            )
+
+    keyed = fps.select("fp").mapInArrow(run, "at long, fp long, sure boolean")
+    meet = Window.partitionBy("at").orderBy("fp")
+    found = keyed.withColumn("left", F.lag("fp").over(meet)).withColumn("right", F.lead("fp").over(meet))
+    return found.filter("sure OR left <> fp OR right <> fp").select("fp").distinct()
+
+
+def _arrived(fps: DataFrame) -> DataFrame:
+    """at, fp: each fingerprint at all values within half the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ball = _ball()
+        for own in _chunks(batches, _FEW):
+            yield pa.RecordBatch.from_arrays([pa.array(signed((own[:, None] ^ ball).reshape(-1))), pa.array(signed(np.repeat(own, len(ball))))], ["at", "fp"])
+
+    return fps.mapInArrow(run, "at long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """a < b: enough pairs of distinct ``fps`` within 2 * HALF bits to connect all such pairs."""
-    arrived = _spread(settle(with_partners(fps)), "ball")
+    arrived = _arrived(settle(with_partners(fps)))
     before = F.lag("fp").over(Window.partitionBy("at").orderBy("fp"))
     met = arrived.select(before.alias("a"), F.col("fp").alias("b")).filter("a is not null")
     return met.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * HALF)
@@ -136,9 +162,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every component: the one whose id names it.
 
-    Only ids and fingerprints are compared. Rows that repeat a kept doc_id stay one row;
-    rows without a doc_id are kept.
+    Only ids and fingerprints are compared. Rows that repeat a kept doc_id stay with it, and
+    rows without a doc_id stay.
     """
     dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
