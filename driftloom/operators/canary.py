@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftloom.operators.fold import fold_by_key
+from driftloom.operators.fold import Counters, fold_by_key
 from driftloom.operators.skew import SEGMENT_ROWS
 from driftloom.params import RegistryParams
 
@@ -51,5 +51,5 @@ def canary(
 ) -> DataFrame:
     """Counters after every event, and the events that retire their entry."""
     return fold_by_key(
-        events, "key", ["at_us", "event_id"], make_count(params), OUTCOME, segment_rows
+        events, "key", ["at_us", "event_id"], make_count(params), OUTCOME, segment_rows, counters=Counters(params.max_null_rate)
     )

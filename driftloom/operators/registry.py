@@ -17,7 +17,7 @@ SCHEMA = (
     .add("schema_name", T.StringType())
     .add("selectors", T.MapType(T.StringType(), T.StringType()))
     .add("structural_hash", T.StringType())
-    .add("structural_shingles", T.ArrayType(T.StringType()))
+    .add("structural_shingles", T.ArrayType(T.LongType()))
     .add("visual_hash", T.StringType())
     .add("created_at", T.TimestampNTZType())
     .add("last_validated_at", T.TimestampNTZType())
@@ -28,6 +28,11 @@ SCHEMA = (
 )
 
 
+def baselines(registry: DataFrame) -> DataFrame:
+    """The stored entries as baselines for ``drift.drift_vs_registry``."""
+    return registry.select("key", "structural_hash", F.col("structural_shingles").alias("shingles"), "visual_hash")
+
+
 def is_expired(created_at: Column, ttl_seconds: Column, now: Column) -> Column:
     """Older than the lifetime, strictly."""
     return older_than(created_at, ttl_seconds, now)

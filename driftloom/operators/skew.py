@@ -1,7 +1,8 @@
 """Ordered work per key when one key may hold a large part of all rows.
 
-A key is *hot* when it has more than ``segment_rows`` rows. Hot keys are cut along their own
-order into segments of about that size; all other keys are one segment. Window functions then
+A key is *hot* when it has more than ``segment_rows`` rows, and more than a fair share of one of
+``PIECES_PER_CORE`` pieces per core: finer cuts would not run earlier. Hot keys are cut along their
+own order into segments of about that size; all other keys are one segment. Window functions then
 run per segment, with the few rows they look back on copied in front of each segment.
 """
 
@@ -13,15 +14,23 @@ from pyspark.sql import functions as F
 from driftloom.storage import settle
 
 SEGMENT_ROWS = 200_000
+PIECES_PER_CORE = 4
 SEGMENT = "_segment"
 HALO = "_halo"
 
 
+def fair_share(df: DataFrame, segment_rows: int) -> int:
+    """Rows of a segment: ``segment_rows``, or more if those were over ``PIECES_PER_CORE`` per core."""
+    pieces = PIECES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return max(segment_rows, -(-df.count() // pieces))
+
+
 def hot_keys(df: DataFrame, key: str, segment_rows: int) -> list[tuple]:
     """Keys with more than ``segment_rows`` rows, with their counts.
 
-    Reads only the key column and pre-aggregates before its shuffle. There are at most
-    rows / segment_rows of them, so the list that reaches the driver is bounded by design.
+    Reads only the key column and pre-aggregates before its shuffle. With ``fair_share`` rows there
+    are at most a few per core, and so are their segments; nothing that reaches the driver or is
+    broadcast grows with the data.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return [tuple(r) for r in counts.filter(F.col("n") > segment_rows).collect()]
@@ -77,6 +86,7 @@ def split_segments(
     order columns.
     """
     narrow = df if counted is None else counted
+    segment_rows = fair_share(narrow, segment_rows)
     hot = hot_keys(narrow, key, segment_rows)
     if not hot:
         return df, None

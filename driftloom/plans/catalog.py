@@ -507,6 +507,51 @@ def registry_after_replay(t: DerivedTables) -> DataFrame:
     )
 
 
+def _resumed(t: DerivedTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes of visits 1 to 5, the registry they leave, stored and read back, and the later outcomes."""
+    visits, answers, folder = t.shop_visits(), t.shop_responses(), work_folder(t.spark)
+    early, late = visits.filter("visit <= 5"), visits.filter("visit > 5")
+    before = settle(replay(early, answers))
+    prints = drift.fingerprint(snapshots.usable(early).select("visit_id", "html"))
+    tables.write_registry(registry_after(before, prints), folder)
+    stored = tables.read_registry(t.spark, folder)
+    return before, stored, replay(late, answers, stored=stored)
+
+
+@query
+def replay_resumed(t: DerivedTables) -> DataFrame:
+    """A history in two parts, the second from the stored registry: the same as in one."""
+    before, _, after = _resumed(t)
+    return before.unionByName(after).select(
+        "visit_id", "method", "drift_detected", "drift_severity", "structural_similarity",
+        "visual_similarity", "llm_tokens_used", "ended", "hit_count", "miss_count",
+    )
+
+
+@query
+def registry_after_resume(t: DerivedTables) -> DataFrame:
+    _, stored, after = _resumed(t)
+    late = snapshots.usable(t.shop_visits().filter("visit > 5")).select("visit_id", "html")
+    left = registry_after(settle(after), drift.fingerprint(late), stored=stored)
+    return left.select(
+        "key", "url_pattern", "schema_name", F.to_json("selectors").alias("selectors"), "structural_hash",
+        F.size("structural_shingles").alias("n_shingles"), "visual_hash", "created_at", "last_validated_at",
+        "hit_count", "miss_count", "llm_tokens_spent", "ttl_seconds",
+    )
+
+
+@query
+def drift_vs_stored_registry(t: DerivedTables) -> DataFrame:
+    """Every visit against the stored registry that the whole history leaves."""
+    folder = work_folder(t.spark)
+    outcomes = settle(_replay(t))
+    prints = settle(drift.fingerprint(_keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "html", "visual_hash")))
+    tables.write_registry(registry_after(outcomes, prints), folder)
+    stored = tables.read_registry(t.spark, folder)
+    report = drift.drift_vs_registry(prints, registry.baselines(stored), "key")
+    return report.select("visit_id", "has_drift", "drift_severity", "structural_similarity", "visual_similarity")
+
+
 @query
 def extractions(t: DerivedTables) -> DataFrame:
     rows = tables.records(_replay(t))

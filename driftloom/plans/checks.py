@@ -614,6 +614,19 @@ def oracle_sql() -> dict[str, str]:
             FROM ({log}) AS l GROUP BY 1, 2""",
         "scan_html_files": """SELECT page_id, CAST(length(html) AS INT) AS n_chars, md5(html) AS digest FROM pages""",
     }
+    # A history in two parts ends where the whole one does.
+    checks["replay_resumed"] = f"SELECT * EXCLUDE (origin) FROM ({checks['visit_replay']}) AS whole"
+    checks["registry_after_resume"] = checks["registry_after_replay"]
+    last = f"""SELECT run.*, f.key AS k FROM run JOIN ({_usable()}) AS f USING (visit_id)
+               QUALIFY row_number() OVER (PARTITION BY run.part_key ORDER BY run.visit DESC) = 1"""
+    checks["drift_vs_stored_registry"] = f"""
+        WITH p AS MATERIALIZED ({_printed(_usable(), "visit_id, part_key, key, visual_hash")}),
+          o AS MATERIALIZED (SELECT k, shown_origin FROM ({history} {last}) AS l
+                             WHERE shown_origin IS NOT NULL AND ended IS DISTINCT FROM 'high_null_rate'),
+          c AS (SELECT p.*, b.structural_hash AS b_hash, b.shingles AS b_shingles, b.visual_hash AS b_visual
+                FROM p LEFT JOIN o ON o.k = p.key LEFT JOIN p AS b ON b.visit_id = o.shown_origin)
+        SELECT visit_id, has_drift, drift_severity, structural_similarity, visual_similarity
+        FROM ({_report('SELECT * FROM c', 'visit_id')}) AS r"""
     # The streams must end where the batch jobs do.
     checks["replay_stream"] = checks["audit_log"]
     checks["audit_windows_stream"] = checks["audit_windows"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.operators import analytics, drift
+from driftloom.operators import analytics, drift, fold, skew
 from driftloom.operators.canary import canary
 from driftloom.operators.fold import fold_by_key
 from driftloom.operators.replay import replay
@@ -156,6 +156,39 @@ def test_canary_rules(spark):
     assert canary_rows(spark, ["hit", "miss"]) == [(None, None, False)] * 2
 
 
+def test_a_steady_key_needs_few_rounds(spark, monkeypatch):
+    """One entry lives through all segments, with misses, and is known after two rounds."""
+    ops = ["set"] + ["miss" if i % 6 == 0 else "hit" for i in range(1200)]
+    events = spark.createDataFrame([(i, "k", i, op) for i, op in enumerate(ops)], "event_id long, key string, at_us long, op string")
+    whole = sorted(map(str, canary(events).collect()))
+    monkeypatch.setattr(skew, "PIECES_PER_CORE", 10)
+    monkeypatch.setattr(fold, "ROUNDS", 2)
+    seen = []
+    starts = fold._true_starts
+
+    def spy(*args):
+        out = starts(*args)
+        seen.append((out[0].count(), out[1].count()))
+        return out
+
+    monkeypatch.setattr(fold, "_true_starts", spy)
+    assert whole == sorted(map(str, canary(events, segment_rows=50).collect()))
+    ((segments, open_chains),) = seen
+    assert segments >= 20 and open_chains == 0
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_open_chains_are_run_in_one_go(spark, monkeypatch, rounds):
+    """An entry that fails and is set again all the time: the rest runs from the last known state."""
+    rng = random.Random(rounds)
+    ops = [rng.choice(["hit", "hit", "miss", "set"] if i % 200 < 30 else ["hit"] * 11 + ["miss"] * 4) for i in range(1500)]
+    rows = [(i, "k" if i % 3 else "j", i, op) for i, op in enumerate(ops)]
+    events = spark.createDataFrame(rows, "event_id long, key string, at_us long, op string")
+    whole = sorted(map(str, canary(events).collect()))
+    monkeypatch.setattr(fold, "ROUNDS", rounds)
+    assert whole == sorted(map(str, canary(events, segment_rows=20).collect()))
+
+
 VISIT = "visit_id long, url string, schema_name string, crawled_at timestamp_ntz, html string, visual_hash string"
 ANSWER = "visit_id long, raw_text string, input_tokens long, output_tokens long"
 

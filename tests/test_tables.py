@@ -44,7 +44,9 @@ def test_registry_round_trip(spark, tmp_path):
     stored = entries(spark, [("a", 1, 3, 1), ("b", 2, 0, 0)])
     path = str(tmp_path / "registry")
     tables.write_registry(stored, path)
-    (tmp_path / "registry" / "broken.txt").write_text('{"key": "c", "hit_\nnot json\n')
+    lines = spark.createDataFrame([('{"key": "c", "hit_count": 4}',), ('{"key": "d", "hit_',), ("not json",), ("{}",)], "value string")
+    assert [r.hit_count for r in tables.registry_from_lines(lines).collect()] == [4]
+    assert sorted(r.line for r in tables.broken_lines(lines).collect()) == ["not json", '{"key": "d", "hit_', "{}"]
     assert {(r.key, r.hit_count) for r in tables.read_registry(spark, path).collect()} == {("a", 3), ("b", 0)}
     assert tables.read_registry(spark, str(tmp_path / "missing")).count() == 0
 
@@ -61,12 +63,13 @@ def test_outcomes_are_appended_and_read_back(spark, folder, tmp_path):
     few = F.col("part_key") < 30
     outcomes = replay(t.shop_visits(4).filter(few), t.shop_responses(4).filter(few))
     stored, audit = str(tmp_path / "extractions"), str(tmp_path / "audit")
-    tables.save_outcomes(outcomes, stored, audit)
-    tables.save_outcomes(outcomes.withColumn("visit_id", F.col("visit_id") + 1_000_000), stored, audit)
+    tables.save_outcomes(outcomes, stored, audit, "1")
+    for _ in range(2):  # a run that is written again replaces itself
+        tables.save_outcomes(outcomes.withColumn("visit_id", F.col("visit_id") + 1_000_000), stored, audit, "2")
     rows, log = spark.read.parquet(stored), spark.read.parquet(audit)
     # Four visits of 30 parts twice, less the empty page of every sixth part.
     assert rows.count() == log.count() == 2 * (4 * 30 - 5)
-    assert rows.columns == list(tables.EXTRACTIONS) and log.columns == list(tables.AUDIT)
+    assert rows.columns == [*tables.EXTRACTIONS, "run"] and log.columns == [*tables.AUDIT, "run"]
     url = rows.filter("method = 'cache_hit'").select("url").first()[0]
     recent = analytics.recent_extractions(rows, url)
     assert [r.url for r in recent.collect()] == [url, url]
