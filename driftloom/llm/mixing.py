@@ -65,13 +65,13 @@ def _weight(name: Column, weights: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(known, name), F.lit(1)).cast("long")
 
 
-def _divided(nodes: DataFrame, parents: DataFrame, by: list[str], name: str, weights: dict[str, int]) -> DataFrame:
-    """``nodes`` (with capacity) and the budget each gets of its parent's."""
+def _divided(nodes: DataFrame, by: list[str], name: str, weights: dict[str, int]) -> DataFrame:
+    """``nodes`` (with capacity) and the budget each gets of ``whole``, its parent's."""
     family, filled = Window.partitionBy(*by), F.col("full")
     order = family.orderBy(F.col("capacity").cast("double") / F.col("weight"), name)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    weighted = nodes.withColumn("weight", _weight(F.col(name), weights)).join(parents, by)
+    weighted = nodes.withColumn("weight", _weight(F.col(name), weights))
     marked = weighted.withColumn("full", F.col("capacity") * after <= (F.col("whole") - before) * F.col("weight"))
     rest = F.col("whole") - F.coalesce(F.sum(F.when(filled, F.col("capacity"))).over(family), F.lit(0))
     shares = F.sum(F.when(~filled, F.col("weight"))).over(family)
@@ -84,11 +84,14 @@ def budgets(leaves: DataFrame, percent: int = PERCENT, max_epochs: int = MAX_EPO
     level = leaves.withColumn("capacity", F.col("supply") * max_epochs)
     families = level.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity"))
     domains = families.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    root = leaves.groupBy().agg(F.least(F.expr(f"sum(supply) * {percent} div 100"), F.expr(f"sum(supply) * {max_epochs}")).alias("whole"))
-    top = _divided(domains.withColumn("root", F.lit(0)), root.withColumn("root", F.lit(0)), ["root"], "domain", weights[0])
-    middle = _divided(families, top.select("domain", F.col("budget").alias("whole")), ["domain"], "language", weights[1])
-    parents = middle.select("domain", "language", F.col("budget").alias("whole"))
-    return _divided(level, parents, ["domain", "language"], "origin", weights[2]).drop("capacity")
+    # All domains are siblings; what they can give is a multiple of what there is.
+    all_ = F.sum("capacity").over(Window.partitionBy("root"))
+    rooted = domains.withColumn("root", F.lit(0)).withColumn("all", all_)
+    rooted = rooted.withColumn("whole", F.least(F.expr(f"`all` div {max_epochs} * {percent} div 100"), "all"))
+    top = _divided(rooted, ["root"], "domain", weights[0]).select("domain", F.col("budget").alias("whole"))
+    middle = _divided(families.join(top, "domain"), ["domain"], "language", weights[1])
+    middle = middle.select("domain", "language", F.col("budget").alias("whole"))
+    return _divided(level.join(middle, ["domain", "language"]), ["domain", "language"], "origin", weights[2]).drop("capacity")
 
 
 def cuts(placed: DataFrame, seed: str = SEED, **limits) -> DataFrame:  # noqa: ANN003
