@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from driftloom.functions import markup, parsing, quality
 from driftloom.params import MAX_SECTION_CHARS, MIN_SECTION_CHARS
 from driftloom.shipping import ship_package
+from driftloom.storage import settle
 
 TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -136,6 +137,7 @@ def run_extractor(
 
     ``function(html, url)`` gives (fields, selectors, input tokens, output tokens). What it
     raises becomes an answer that is no JSON, so it is recorded as an error of that visit.
+    Calls may be paid for, so the answers are stored before anything reads them.
     """
 
     def answer(html, url):
@@ -147,7 +149,7 @@ def run_extractor(
 
     count = T.LongType()
     outputs = [("raw_text", T.StringType()), ("input_tokens", count), ("output_tokens", count)]
-    return _per_row(queue, ["html", "url"], outputs, answer, ("html",))
+    return settle(_per_row(queue, ["html", "url"], outputs, answer, ("html",)))
 
 
 # Rank of a candidate selector by how it starts: ids, then data attributes, then classes.

@@ -558,6 +558,13 @@ def extractions(t: DerivedTables) -> DataFrame:
     return rows.select(*tables.EXTRACTIONS, F.left("structural_hash", F.lit(12)).alias("short_hash"))
 
 
+@query
+def results(t: DerivedTables) -> DataFrame:
+    found = tables.results(tables.records(_replay(t)))
+    product = F.to_json("product", {"ignoreNullFields": "false"})
+    return found.select("id", "url", "crawled_at", "method", product.alias("product"), F.to_json("selectors").alias("selectors"), "short_hash")
+
+
 @query
 def audit_log(t: DerivedTables) -> DataFrame:
     return tables.audit_log(tables.records(_replay(t)))
@@ -565,17 +572,14 @@ def audit_log(t: DerivedTables) -> DataFrame:
 
 @query
 def replay_stream(t: DerivedTables) -> DataFrame:
-    """The same history as a stream: three arrivals, one stateful job resumed for each."""
+    """The same history as a stream: three arrivals, one job resumed for each."""
     folder = work_folder(t.spark)
-    job = stateful_session(t.spark, t.table("part").rdd.getNumPartitions())
-    source = DerivedTables(job, t.folder)
-    visits, answers = source.shop_visits(), source.shop_responses()
+    visits, answers = t.shop_visits(), t.shop_responses()
     arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
     for low, high in ((1, 3), (4, 6), (7, t.VISITS)):
         arrived.filter(F.col("visit").between(low, high)).write.mode("append").parquet(f"{folder}/in")
-        stream = snapshots.stream_snapshots(job, f"{folder}/in", arrived.schema)
-        outcomes = streams.replay_stream(stream, answers)
-        streams.write_outcomes(outcomes, folder, f"{folder}/state").awaitTermination()
+        stream = snapshots.stream_snapshots(t.spark, f"{folder}/in", arrived.schema)
+        streams.replay_stream(stream, answers, folder, f"{folder}/state").awaitTermination()
     return streams.read_table(t.spark, folder, "audit_log").select(*tables.AUDIT)
 
 
@@ -588,26 +592,21 @@ def audit_windows_stream(t: DerivedTables) -> DataFrame:
     stream = session.readStream.schema(log.schema).parquet(f"{folder}/in")
     counts = windows.audit_windows_stream(stream, "1 day")
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
-
-    job = counts.writeStream.outputMode("complete").foreachBatch(save)
-    job = job.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    windows.write_windows(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return windows.read_windows(t.spark, f"{folder}/out")
 
 
 @query
 def scan_html_files(t: DerivedTables) -> DataFrame:
-    """Every page as a file of its own, read back as whole documents."""
+    """All pages of a site as one file per hundredth of the sites, read back as whole texts."""
     folder = work_folder(t.spark)
-    pages = t.table("pages").select("page_id", F.col("html").alias("value"))
-    pages.write.partitionBy("page_id").text(folder)
-    files = snapshots.read_html_files(t.spark, f"{folder}/page_id=*")
-    page_id = F.regexp_extract("url", r"page_id=(\d+)", 1).cast("bigint")
-    # The text writer ends each document with a newline of its own.
-    html = F.left("html", F.length("html") - 1)
-    return files.select(page_id.alias("page_id"), F.length(html).alias("n_chars"), F.md5(html).alias("digest"))
+    bucket = F.pmod(F.col("page_id"), F.lit(100)).alias("bucket")
+    pages = t.table("pages").select(bucket, "page_id", F.regexp_replace("html", "\\n", " ").alias("value"))
+    dealt = pages.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "value")
+    dealt.write.partitionBy("bucket").option("maxRecordsPerFile", 0).text(folder)
+    files = snapshots.read_html_files(t.spark, f"{folder}/bucket=*")
+    number = F.regexp_extract("url", r"bucket=(\d+)", 1).cast("bigint")
+    return files.select(number.alias("bucket"), F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
 
 
 # ------------------------------------------------------------------ analytics

@@ -12,6 +12,7 @@ from driftloom.sources.derived import ANSI_WORDS as WORDS
 VISITS = derived.DerivedTables.VISITS
 _EPOCH = WORDS["at"](0)
 
+_PRODUCT = ("title", "price", "currency", "in_stock", "rating", "review_count", "sku", "brand", "description")
 _ROLLED = ("host", "day", "method", "drift_severity")
 _NOISE = ("script", "style", "noscript", "svg", "iframe")
 _KEPT = ("aria-label", "class", "data-testid", "id", "name", "role", "type")
@@ -551,6 +552,11 @@ def oracle_sql() -> dict[str, str]:
         "extractions": f"""{history}
             SELECT id, url, crawled_at, title, price, currency, in_stock, rating, review_count, sku, brand, description,
               confidence, method, cache_hit, drift_detected, left(structural_hash, 12) AS short_hash FROM ({_stored()}) AS s""",
+        "results": f"""{history}
+            SELECT id, url, crawled_at, method, to_json({{{', '.join(f"'{f}': {f}" for f in _PRODUCT)}}})::VARCHAR AS product,
+              CASE WHEN method NOT IN ('cache_hit', 'llm_extraction') THEN NULL WHEN design = 2 THEN {_selector_text(2)}
+                   WHEN story = 1 THEN {_selector_text(3)} ELSE {_selector_text(1)} END AS selectors,
+              left(structural_hash, 12) AS short_hash FROM ({_stored()}) AS s""",
         "audit_log": f"""{history}
             SELECT id, url, crawled_at, method, cache_hit, drift_detected, drift_severity, structural_hash, visual_hash,
               null_rate, confidence, llm_tokens_used::BIGINT AS llm_tokens_used,
@@ -612,7 +618,10 @@ def oracle_sql() -> dict[str, str]:
         "audit_windows": f"""SELECT date_trunc('day', crawled_at)::TIMESTAMP AS window_start, method, count(*) AS visits,
               count(*) FILTER (WHERE drift_detected) AS drift_events, CAST(sum(llm_tokens_used) AS BIGINT) AS tokens
             FROM ({log}) AS l GROUP BY 1, 2""",
-        "scan_html_files": """SELECT page_id, CAST(length(html) AS INT) AS n_chars, md5(html) AS digest FROM pages""",
+        "scan_html_files": """
+            SELECT bucket, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest
+            FROM (SELECT page_id % 100 AS bucket, string_agg(replace(html, chr(10), ' ') || chr(10), '' ORDER BY page_id) AS t
+                  FROM pages GROUP BY 1) AS b""",
     }
     # A history in two parts ends where the whole one does.
     checks["replay_resumed"] = f"SELECT * EXCLUDE (origin) FROM ({checks['visit_replay']}) AS whole"

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.sources.snapshots import spread
+# A table below this size is one split at most.
+ONE_SPLIT_BYTES = 128 << 20
 
 # Dialect words: one row per value, 64-bit integer division, a timestamp some seconds after the
 # epoch of the derived tables, microseconds since 1970.
@@ -228,6 +229,16 @@ def registry_sql(words) -> str:
     """
 
 
+def one_split_spread(df: DataFrame) -> DataFrame:
+    """Deal a table that fits one split out to all cores; larger ones have splits of their own.
+
+    By Spark's own size estimate; what is moved is never more than one split.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < ONE_SPLIT_BYTES else df
+
+
 class DerivedTables:
     """The given tables of one folder and everything derived from them."""
 
@@ -241,15 +252,15 @@ class DerivedTables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def pages(self) -> DataFrame:
-        """Crawled pages, spread over all cores for per-page work."""
-        return spread(self.table("pages"))
+        """Crawled pages."""
+        return one_split_spread(self.table("pages"))
 
     def _sql(self, text: str, *tables: str, fan_out: bool = False) -> DataFrame:
         # Named parameters keep the session's catalog untouched.
         frames = {name: self.table(name) for name in tables}
         if fan_out:
             # Small rows become whole pages, so they are spread before they grow.
-            frames = {name: spread(frame) for name, frame in frames.items()}
+            frames = {name: one_split_spread(frame) for name, frame in frames.items()}
         for name in tables:
             text = text.replace(f"FROM {name}\n", f"FROM {{{name}}}\n").replace(
                 f"FROM {name} ", f"FROM {{{name}}} "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,38 +18,39 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_snapshots(
-    spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = 16 << 30
+    spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = 1 << 40
 ) -> DataFrame:
-    """Snapshots arriving as Parquet files.
-
-    ``max_bytes`` bounds a micro-batch, and with it what one key can bring into a task at once:
-    choose it so that a third of it fits in a worker's memory.
-    """
+    """Snapshots arriving as Parquet files; ``max_bytes`` bounds what a failed micro-batch repeats."""
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
     return stream.parquet(path)
 
 
-def read_html_files(spark: SparkSession, path: str, schema_name: str = DEFAULT_SCHEMA_NAME) -> DataFrame:
-    """One snapshot per HTML file, whole text, under the file's own address."""
+def read_html_files(
+    spark: SparkSession,
+    path: str,
+    schema_name: str = DEFAULT_SCHEMA_NAME,
+    url: Callable[[Column], Column] | None = None,
+    crawled_at: Column | None = None,
+) -> DataFrame:
+    """One visit per HTML file, whole text, ready for ``replay``.
+
+    ``url`` makes the key's URL of the file's address, which stands for itself otherwise;
+    ``crawled_at`` is the time of the visit, else that of the file. A visit's id is a hash of
+    address and time, so reading the same files again gives the same visits.
+    """
     files = spark.read.text(path, wholetext=True)
+    address = F.col("_metadata.file_path")
+    at = F.col("_metadata.file_modification_time") if crawled_at is None else crawled_at
     return files.select(
-        F.col("_metadata.file_path").alias("url"),
+        F.xxhash64(address, at.cast("string")).alias("visit_id"),
+        (url(address) if url else address).alias("url"),
         F.lit(schema_name).alias("schema_name"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("crawled_at"),
+        at.cast("timestamp_ntz").alias("crawled_at"),
         F.col("value").alias("html"),
         F.lit(None).cast("string").alias("visual_hash"),
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work a task per core when the input comes in fewer splits.
-
-    Large inputs have more splits than the cluster has cores and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def is_unusable() -> Column:
     return F.coalesce(F.col("html") == "", F.lit(True))
 

@@ -1,98 +1,85 @@
-"""The visit state machine on a stream of snapshots."""
+"""The visit state machine on a stream of snapshots.
 
-from __future__ import annotations
+Every micro-batch is a replay of its own, from the registry that the one before left: rows are
+sorted by Spark and pass one by one, so a key may bring any number of visits, and hot keys are
+cut as in the batch job. Under ``folder`` a micro-batch writes its own partition of
+
+* ``extractions`` and ``audit_log``,
+* ``late_visits``: visits older than the last one of their key, kept but not replayed,
+* ``registry`` and ``last_seen``: what the next micro-batch starts from.
 
-import json
-from collections import namedtuple
-from collections.abc import Iterator
+A micro-batch that is run again reads the same versions and replaces its own partitions.
+"""
+
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftloom.operators.fold import dump_state, load_state
-from driftloom.operators.replay import OUTCOME, fold_input, make_advance
+from driftloom.functions import keys
+from driftloom.functions.times import epoch_micros
+from driftloom.operators import drift as drifts
+from driftloom.operators.registry import SCHEMA
+from driftloom.operators.replay import registry_after, replay
 from driftloom.params import DriftParams, RegistryParams
-from driftloom.shipping import ship_package
-from driftloom.sources import tables
-
-# As OUTCOME, with the time as text: JSON has no form for it that keeps every digit.
-_OUTCOME_TEXT = T.StructType(
-    [T.StructField(f.name, T.StringType() if f.name == "crawled_at" else f.dataType) for f in OUTCOME]
-)
+from driftloom.sources import snapshots, tables
+from driftloom.storage import settle
+
+_SEEN = "key string, seen_us long, seen_id long"
+
+
+def _version(spark: SparkSession, folder: str, name: str, number: int, schema) -> DataFrame:  # noqa: ANN001
+    if number < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={number}")
+
+
+def replay_batch(
+    visits: DataFrame, responses: DataFrame, folder: str, number: int, drift: DriftParams, registry: RegistryParams
+) -> None:
+    """One micro-batch: outcomes, late visits, and the state for the next one."""
+    spark = visits.sparkSession
+
+    def save(rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    stored = _version(spark, folder, "registry", number - 1, SCHEMA)
+    seen = _version(spark, folder, "last_seen", number - 1, _SEEN)
+    key = keys.registry_key(F.col("url"), F.col("schema_name"))
+    narrow = visits.select("visit_id", key.alias("key"), epoch_micros(visits, "crawled_at").alias("at_us"))
+    behind = (F.col("at_us") < F.col("seen_us")) | ((F.col("at_us") == F.col("seen_us")) & (F.col("visit_id") <= F.col("seen_id")))
+    late = settle(narrow.join(seen, "key").filter(behind).select("visit_id", "key", "at_us", "seen_us"))
+    save(late, "late_visits")
+    # Late visits are few: Spark broadcasts their ids unless they exceed its limit.
+    timely = visits.join(late.select("visit_id"), "visit_id", "left_anti")
+    outcomes = settle(replay(timely, responses, drift, registry, stored=stored))
+    rows = tables.records(outcomes)
+    save(rows.select(*tables.EXTRACTIONS), "extractions")
+    save(rows.select(*tables.AUDIT), "audit_log")
+    prints = drifts.fingerprint(snapshots.usable(timely).select("visit_id", "html"), drift.shingle_size)
+    save(tables.whole_registry(registry_after(outcomes, prints, registry, stored)), "registry")
+    last = F.max_by(F.struct("at_us", "visit_id"), F.struct("at_us", "visit_id"))
+    newest = narrow.groupBy("key").agg(last.alias("n")).select("key", "n.at_us", "n.visit_id")
+    both = seen.unionAll(newest).groupBy("key").agg(F.max(F.struct("seen_us", "seen_id")).alias("s"))
+    save(both.select("key", "s.seen_us", "s.seen_id"), "last_seen")
 
 
 def replay_stream(
     visits: DataFrame,
     responses: DataFrame,
+    folder: str,
+    checkpoint: str,
     drift: DriftParams = DriftParams(),
     registry: RegistryParams = RegistryParams(),
-) -> DataFrame:
-    """Outcomes of a stream of visits; the registry entry of each key is the operator's state.
-
-    Visits of a key must not arrive in a later micro-batch than newer ones, as in the batch
-    order. Expiry is checked when a key is visited, so no timer is needed. What a key brings in
-    one micro-batch is ordered in memory; ``snapshots.stream_snapshots`` bounds micro-batches.
-
-    Visits and outcomes pass as one text column each: Spark builds a pandas frame per key here,
-    and its cost goes with the number of columns.
-    """
-    ship_package(visits.sparkSession)
-    advance = make_advance(drift, registry)
-    names = OUTCOME.fieldNames()
-    rows = fold_input(visits, responses, drift).withColumn("crawled_at", F.col("crawled_at").cast("string"))
-    record = namedtuple("record", rows.columns)
-
-    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry = load_state(state.get[0]) if state.exists else None
-        batch = [record(**json.loads(text)) for chunk in chunks for text in chunk["visit"]]
-        batch.sort(key=lambda row: (row.at_us, row.visit_id))
-        outcomes = []
-        for row in batch:
-            result, entry = advance(entry, row)
-            outcomes.append(json.dumps(dict(zip(names, result))))
-        if entry is not None:
-            state.update((dump_state(entry),))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"outcome": outcomes})
-
-    packed = rows.select(
-        "key", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("visit")
-    )
-    done = packed.groupBy("key").applyInPandasWithState(
-        update, "outcome string", "entry string", "append", GroupStateTimeout.NoTimeout
-    )
-    parsed = done.select(F.from_json("outcome", _OUTCOME_TEXT).alias("o")).select("o.*")
-    return parsed.withColumn("crawled_at", F.col("crawled_at").cast("timestamp_ntz"))
-
-
-def write_outcomes(outcomes: DataFrame, folder: str, checkpoint: str):
-    """Start writing a stream of outcomes to the extraction and audit tables under ``folder``.
-
-    Each micro-batch has its own partition, replaced when the batch is run again, so a restart
-    writes nothing twice.
-    """
+):
+    """Start replaying a stream of visits into the tables under ``folder``."""
 
     def save(batch: DataFrame, number: int) -> None:
-        # Both tables come from one run of the stateful operator.
-        rows = tables.records(batch).persist()
-        try:
-            for name, columns in (("extractions", tables.EXTRACTIONS), ("audit_log", tables.AUDIT)):
-                part = rows.select(*columns)
-                part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        finally:
-            rows.unpersist()
-
-    return (
-        outcomes.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_table(spark, folder: str, name: str) -> DataFrame:
+        replay_batch(batch, responses, folder, number, drift, registry)
+
+    job = visits.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return job.trigger(availableNow=True).start()
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.times import epoch_micros, from_epoch_micros
@@ -20,3 +20,20 @@ def audit_windows_stream(
     timed = audit.withColumn("crawled_at", F.timestamp_micros(epoch_micros(audit, "crawled_at")))
     counts = audit_windows(timed.withWatermark("crawled_at", lateness), width, slide)
     return counts.withColumn("window_start", from_epoch_micros(F.unix_micros("window_start")))
+
+
+def write_windows(counts: DataFrame, folder: str, checkpoint: str):
+    """Start writing the windows that each micro-batch changed; closed windows leave the state."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    job = counts.writeStream.outputMode("update").foreachBatch(save)
+    return job.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The last counts of every window and method."""
+    rows = spark.read.parquet(folder)
+    newest = Window.partitionBy("window_start", "method").orderBy(F.desc("batch"))
+    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "batch")

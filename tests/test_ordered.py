@@ -249,3 +249,25 @@ def test_visual_drift_and_bad_answers(spark):
         ("error", "minor", "drift_minor"),
         ("llm_extraction", "none", None),
     ]
+
+
+def test_the_state_machine_measures_like_the_columns(spark):
+    """Similarity exists as columns and inside the step of the replay: both say the same."""
+    from types import SimpleNamespace
+
+    from driftloom.functions import similarity
+    from driftloom.operators import replay as machine
+
+    rng = random.Random(12)
+    hexes = [None, "", "xyz", "ffff0000ffff000g", "ffff0000ffff0000", "0123456789abcdef", "FFFF0000ffff0001"]
+    rows = []
+    for n in range(120):
+        left, right = ([rng.randrange(12) for _ in range(rng.randrange(9))] for _ in range(2))
+        rows.append((n, rng.choice("ab"), rng.choice("ab"), sorted(set(left)), sorted(set(right)), rng.choice(hexes), rng.choice(hexes)))
+    df = spark.createDataFrame(rows, "n int, h1 string, h2 string, s1 array<long>, s2 array<long>, v1 string, v2 string")
+    structural = similarity.structural_similarity(F.col("h1"), F.col("s1"), F.col("h2"), F.col("s2"))
+    visual = similarity.visual_similarity(F.col("v1"), F.col("v2"))
+    for r in df.select("*", structural.alias("x"), visual.alias("y")).collect():
+        entry = {"hash": r.h2, "shingles": r.s2}
+        assert r.x == machine._structural(entry, SimpleNamespace(structural_hash=r.h1, shingles=r.s1))
+        assert r.y == machine._visual(r.v1, r.v2)

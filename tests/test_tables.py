@@ -120,46 +120,69 @@ def test_preference_and_uniqueness(spark):
 
 
 def test_stream_in_several_batches_and_restarts(spark, folder, tmp_path):
-    """Small triggers, a stop in between and a repeated batch end where the batch job ends."""
+    """Small triggers, a stop in between, a hot key and a late visit end where the batch job ends."""
     from driftloom.streaming import replay_stream as streams
 
     t = DerivedTables(spark, folder)
     few = F.col("part_key") < 12
-    visits = t.shop_visits().filter(few)
-    answers = t.shop_responses().filter(few)
+    visits = t.shop_visits(6).filter(few).withColumn("url", F.when(F.col("part_key") < 3, F.lit("https://hot.example.com/")).otherwise(F.col("url")))
+    answers = t.shop_responses(6).filter(few)
     arrived = visits.select("visit_id", "url", "schema_name", "crawled_at", "html", "visual_hash", "visit")
     where, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-    for first, last in ((1, 5), (6, 10)):
+    for first, last in ((1, 3), (4, 6)):
         # One file per visit number, written in order: the source takes the oldest first.
         for visit in range(first, last + 1):
             arrived.filter(F.col("visit") == visit).coalesce(1).write.mode("append").parquet(where)
         stream = snapshots.stream_snapshots(spark, where, arrived.schema, 1_000)
-        job = streams.write_outcomes(streams.replay_stream(stream, answers), out, state)
+        job = streams.replay_stream(stream, answers, out, state)
         job.awaitTermination()
         assert len(job.recentProgress) > 1
-    got = streams.read_table(spark, out, "audit_log").select(*tables.AUDIT)
     expected = tables.audit_log(tables.records(replay(visits, answers)))
+    # A visit older than what its key has seen is kept aside and changes nothing.
+    arrived.filter("visit = 2").withColumn("visit_id", F.col("visit_id") + 7_000_000).coalesce(1).write.mode("append").parquet(where)
+    streams.replay_stream(snapshots.stream_snapshots(spark, where, arrived.schema, 1_000), answers, out, state).awaitTermination()
+    got = streams.read_table(spark, out, "audit_log").select(*tables.AUDIT)
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
-    assert got.count() == 12 * 10 - 2 * 2
+    assert streams.read_table(spark, out, "late_visits").count() == 12
 
 
-def test_upsert(spark):
+def test_windows_drop_late_rows_when_they_close(spark, tmp_path):
     import datetime as dt
 
-    from driftloom.operators import registry
+    from driftloom.streaming import windows
+
+    where, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "crawled_at timestamp_ntz, method string, drift_detected boolean, llm_tokens_used long"
+    day = dt.datetime(2024, 3, 1)
+    for hours in ([1, 2, 30], [3], [80]):
+        rows = [(day + dt.timedelta(hours=h), "m", False, 1) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+        stream = spark.readStream.schema(schema).parquet(where)
+        windows.write_windows(windows.audit_windows_stream(stream, "1 day"), out, state).awaitTermination()
+    got = {r.window_start.day: r.visits for r in windows.read_windows(spark, out).collect()}
+    # The row of hour 3 came after its day had closed.
+    assert got == {1: 2, 2: 1, 4: 1}
+
+
+def test_extractor_is_called_once_per_page(spark, tmp_path):
+    calls = str(tmp_path / "calls")
 
-    day = dt.datetime(2024, 5, 1)
-    columns = "key string, url_pattern string, created_at timestamp_ntz, last_validated_at timestamp_ntz, hit_count long, miss_count long"
-    old = spark.createDataFrame([("a", "old", day, day, 5, 1), ("b", "old", day, day, 2, 2)], columns)
-    new = [("a", "new1", day, None), ("a", "new2", day, None), ("c", "new3", day, None)]
-    entries = spark.createDataFrame(new, "key string, url_pattern string, created_at timestamp_ntz, last_validated_at timestamp_ntz")
-    for frame in (entries, entries.orderBy("url_pattern", ascending=False)):
-        rows = {r.key: r for r in registry.upsert(old, frame).collect()}
-        assert {k: (r.url_pattern, r.hit_count, r.last_validated_at) for k, r in rows.items()} == {"a": ("new2", 0, day), "b": ("old", 2, day), "c": ("new3", 0, day)}
+    def function(html, url):
+        with open(calls, "a") as log:
+            log.write(url + "\n")
+        return {"title": html}, {}, 1, 1
 
+    answers = extraction.run_extractor(spark.createDataFrame([("a", "x"), ("b", "y")], "html string, url string"), function)
+    assert answers.count() == 2 and len(answers.collect()) == 2
+    assert sorted(open(calls).read().split()) == ["x", "y"]
 
-def test_operators_leave_the_settings_alone(spark):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
-    df = spark.createDataFrame([("<p>x</p>", {"a": "p"})], "html string, selectors map<string,string>")
-    assert extraction.apply_selectors(df).first().raw == {"a": "x"}
-    assert before == {k: spark.conf.get(k) for k in before}
+
+def test_files_can_be_replayed(spark, tmp_path):
+    (tmp_path / "one.html").write_text(pages.DESIGN_ONE)
+    key = lambda address: F.concat(F.lit("https://shop.example.com/"), F.regexp_extract(address, r"([a-z]+)\.html$", 1))
+    read = lambda hour: snapshots.read_html_files(spark, str(tmp_path), "product_v1", key, F.lit(f"2024-03-01 0{hour}:00:00").cast("timestamp_ntz"))
+    visits = read(1).unionAll(read(2))
+    answer = '{"extracted": {}, "selectors": {"title": "#headline"}}'
+    answers = visits.select("visit_id", F.lit(answer).alias("raw_text"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    rows = replay(visits, answers).orderBy("crawled_at").collect()
+    assert [r.method for r in rows] == ["llm_extraction", "cache_hit"] and rows[0].url == "https://shop.example.com/one"
