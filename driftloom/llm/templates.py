@@ -7,8 +7,9 @@ stay. Menus, forms and the like that vary by page cannot be told by counting; th
 their tags, roles and class words. The text is that of the longest ``article``, else of ``main``,
 else of the body.
 
-A host has fewer than (elements per page / SHARE) template hashes, so its list is short. Pages
-meet the lists in a join on the host that adaptive execution may split.
+A host has fewer than (elements per page / SHARE) template hashes, so its list is short. The
+lists are stored before they meet the pages: Spark knows their size, and broadcasts them if it is
+under its limit; beyond that, pages are shuffled by host and adaptive execution splits large hosts.
 
 Null and empty pages have an empty text; null urls form a host of their own. Repeated rows give
 a row each. An empty table gives no rows. Other columns are ignored.
@@ -29,6 +30,7 @@ from xxhash import xxh64_intdigest
 
 from driftloom.llm.common import signed, slices
 from driftloom.shipping import ship_package
+from driftloom.storage import settle
 
 LEAST_PAGES = 8
 SHARE = 0.5
@@ -194,10 +196,11 @@ def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
             )
 
     found = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, hash long, mark long")
-    counts = found.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(f"hash = 0 OR n >= {least_pages}")
+    counts = settle(counts)  # two steps read it, and pages are parsed once
     totals = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter(f"hash <> 0 AND n >= {least_pages}").join(totals, "host").filter(F.col("n") > share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    often = counts.filter("hash <> 0").join(totals, "host").filter(F.col("n") > share * F.col("pages"))
+    return settle(often.groupBy("host").agg(F.collect_set("hash").alias("hashes")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
