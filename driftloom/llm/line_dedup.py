@@ -1,14 +1,14 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard, union-find, one line per component.
 
 Lines are alike if the sets of their eight-character shingles have a Jaccard similarity of 0.8
-or more. A line's signature has one minimum per bin of one hash; empty bins borrow from others.
+or more. A line's signature has forty minima, of bins of one hash, or of forty hashes if it is short.
 Bands of four minima send it to ten buckets (99.5 % of pairs at 0.8 share one, more above).
 
-In a bucket every line is compared with one centre, and those not like it go on with a centre of
-their own. Of two lines compared with one centre, only such a pair can still be alike unseen
-whose similarities to it differ by 0.2 at most (one less the similarity is a metric); those pairs
-are compared too, unless their lines are in one component anyway. So the links of a bucket
-connect what all its pairs would connect, without listing them.
+In a bucket one line is compared with all others; linked lines take one label, and lines with a
+bucket's rarest labels (four, then sixteen, and so on) are compared with those of its other
+labels, as long as it has more than one among the lines that are left. So the links connect what
+all pairs of the bucket would connect, and a bucket of lines that are alike is done after one
+comparison for each.
 
 A line is what stands between newlines; white space around it is no part of the comparison, and
 lines of white space alone always stay. Of each component the first line stays, by doc_id and
@@ -42,7 +42,11 @@ MAP_BITS = 26
 #: Lines that a task remembers to send each only once.
 REMEMBERED = 500_000
 
+#: Lines of fewer shingles are short.
+SHORT = 160
+
 _BINS = BANDS * ROWS
+_SEEDS = np.random.default_rng(43).integers(0, 1 << 63, _BINS, dtype=np.uint64)
 _LETTERS = Powers(0xA0761D6478BD642F, 41)
 _PROBES = np.array([np.random.default_rng(j).permutation(_BINS) for j in range(_BINS)])
 
@@ -60,7 +64,11 @@ def shingles(line: str) -> set[str]:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """One row of bin minima per (non-empty) line."""
+    """One row of minima per (non-empty) line.
+
+    Long lines have one hash whose range is cut into bins. In a short line bins would be empty,
+    so it has a hash for every row of its signature.
+    """
     sizes = np.array([len(x) for x in lines])
     data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(sizes) - sizes
@@ -74,7 +82,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     out = np.full(len(lines) * _BINS, empty)
     np.minimum.at(out, np.repeat(np.arange(len(lines)) * _BINS, n) + bins.astype(np.int64), hashes.astype(np.uint32))
     out = out.reshape(-1, _BINS)
+    short = np.flatnonzero(n < SHORT)
+    if len(short):
+        own = hashes[np.repeat(n < SHORT, n)]
+        heads = np.cumsum(n[short]) - n[short]
+        for column in range(_BINS):
+            again = (own ^ _SEEDS[column]) * ODD
+            out[short, column] = np.minimum.reduceat((again >> np.uint64(32)).astype(np.uint32), heads)
     row, column = np.nonzero(out == empty)
+    longer = n[row] >= SHORT
+    row, column = row[longer], column[longer]
     known = out.copy()
     for step in range(_BINS):
         if not len(row):
@@ -114,16 +131,19 @@ def _banded(docs: DataFrame) -> DataFrame:
     return ids_and_texts(docs).mapInArrow(run, "bucket long, line long")
 
 
-def _centred(members: DataFrame) -> DataFrame:
-    """bucket, centre, line of all lines but the centres of their buckets."""
-    centre = F.min("line").over(Window.partitionBy("bucket").orderBy("line"))
-    return members.withColumn("centre", centre).filter("line <> centre").distinct()
+def _shared(members: DataFrame) -> DataFrame:
+    """bucket, line of the buckets with more than one line."""
+    bucket = Window.partitionBy("bucket").orderBy("line")
+    near = members.withColumn("before", F.lag("line").over(bucket)).withColumn("after", F.lead("line").over(bucket))
+    # Equal lines stand side by side: the first and the last of them tell whether others are there.
+    edges = near.filter("before <> line OR after <> line")
+    return edges.select("bucket", "line").distinct()
 
 
 def _map_of(wanted: DataFrame) -> np.ndarray:
     """A bit map of the hashes of the wanted lines: of fixed size, and only to send less text."""
     place = F.col("line").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    words = wanted.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(line & 31 AS INT))").alias("bit"))
+    words = wanted.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, cast(line & 31 AS INT))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
     out[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).astype(np.uint32)
@@ -168,34 +188,47 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(met.mapInArrow(run, "a long, b long, alike double"))
 
 
+def _relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (line, component) after two steps of taking the least label of linked lines.
+
+    Equal labels mean one component; that more would be equal after more steps costs comparisons,
+    not links. Two steps give a centre's lines one label.
+    """
+    both = settle(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    for _ in range(2):
+        seen = both.join(named.select(F.col("line").alias("b"), "component"), "b").groupBy(F.col("a").alias("line")).agg(F.min("component").alias("least"))
+        named = named.join(seen, "line", "left").select("line", F.coalesce(F.least("component", "least"), "component").alias("component"))
+    return settle(named)
+
+
 def line_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """v, component: lines (by hash) that are alike some other line, and their components."""
-    rest = settle(_centred(_banded(docs)))
-    wanted = settle(rest.select("line").unionAll(rest.select(F.col("centre").alias("line"))).distinct())
+    """line, component: all lines (by hash) that share a bucket with another, and their components."""
+    rest = settle(_shared(_banded(docs)))
+    wanted = settle(rest.select("line").distinct())
     texts = _texts(docs, wanted)
-    stars = []
-    while True:
-        alike = _compared(rest.select(F.col("centre").alias("a"), F.col("line").alias("b")), texts)
-        star = settle(rest.join(alike.select(F.col("a").alias("centre"), F.col("b").alias("line"), "alike"), ["centre", "line"]))
-        stars.append(star)
-        rest = settle(_centred(star.filter(F.col("alike") < like).select("bucket", "line")))
-        if rest.isEmpty():
-            break
-    star = stars[0]
-    for more in stars[1:]:
-        star = star.unionAll(more)
-    links = settle(star.filter(F.col("alike") >= like).select(F.col("centre").alias("a"), F.col("line").alias("b")).distinct())
-    found = components(links)
-    # Unseen pairs: one line like the centre, one not, similarities that differ by 1 - like at most.
-    named = found.select(F.col("v").alias("line"), "component")
-    own = star.join(named, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    near = own.filter(F.col("alike") >= like).select("bucket", "centre", F.col("line").alias("a"), F.col("alike").alias("x"), F.col("component").alias("p"))
-    grey = own.filter((F.col("alike") < like) & (F.col("alike") >= 2 * like - 1 - 1e-9)).select("bucket", "centre", F.col("line").alias("b"), F.col("alike").alias("y"), F.col("component").alias("q"))
-    unseen = near.join(grey, ["bucket", "centre"]).filter((F.col("p") != F.col("q")) & (F.col("x") - F.col("y") <= 1 - like + 1e-9))
-    more = _compared(unseen.select("a", "b"), texts).filter(F.col("alike") >= like).select("a", "b")
-    if more.isEmpty():
-        return found
-    return components(links.unionAll(more))
+    named = wanted.withColumn("component", F.col("line"))
+    done, links = None, wanted.select(F.col("line").alias("a"), F.col("line").alias("b")).limit(0)
+    centres = 1
+    while not rest.isEmpty():
+        # Lines of the rarest components of a bucket meet the lines of its other components.
+        size = F.count(F.lit(1)).over(Window.partitionBy("bucket", "component"))
+        sized = rest.join(named, "line").withColumn("size", size)
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "line"))
+        ranked = settle(sized.withColumn("rank", rank))
+        chosen = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("line").alias("a"), F.col("component").alias("own"), F.col("rank").alias("at"))
+        met = chosen.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("own")))
+        pairs = met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
+        new = _compared(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts)
+        done = new.select("a", "b") if done is None else settle(done.unionAll(new.select("a", "b")))
+        found = new.filter(F.col("alike") >= like).select("a", "b")
+        named, links = _relabelled(named, found), links.unionAll(found)
+        # What is left of a bucket matters as long as it has lines of two components.
+        left = ranked.filter(F.col("rank") > centres).select("bucket", "line").join(named, "line")
+        several = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        rest = settle(left.join(several, "bucket").select("bucket", "line"))
+        centres *= 4
+    whole = components(links).select(F.col("v").alias("line"), "component")
+    return wanted.join(whole, "line", "left").select("line", F.coalesce("component", "line").alias("component"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -212,7 +245,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc, place, line of the lines that do not stay."""
-    classes = line_classes(docs, like).select(F.col("v").alias("line"), "component")
+    classes = line_classes(docs, like)
     every = settle(_occurrences(docs).join(classes, "line", "left").withColumn("kind", F.coalesce("component", "line")).select("doc", "place", "line", "kind"))
     docs_of = every.groupBy("kind").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = settle(every.join(docs_of, "kind"))
