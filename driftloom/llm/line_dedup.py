@@ -151,7 +151,7 @@ def _map_of(wanted: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, content of the wanted lines; stored."""
+    """line, content, n (different shingles) of the wanted lines; stored."""
     seen = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +164,17 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(marks[good]), pa.array([found[m] for m in marks[good].tolist()], pa.string())], ["line", "content"])
 
     found = ids_and_texts(docs).mapInArrow(run, "line long, content string").join(wanted, "line", "left_semi")
-    return settle(found.groupBy("line").agg(F.min("content").alias("content")))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(shingles(x)) for x in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["line", "content", "n"])
+
+    once = found.groupBy("line").agg(F.min("content").alias("content"))
+    return settle(once.mapInArrow(count, "line long, content string, n long"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, alike (exact Jaccard similarity); stored."""
+def _compared(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """a, b, alike (exact Jaccard similarity) of the pairs whose sizes allow it; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -182,9 +188,14 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(both / (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "alike"])
 
-    left = texts.select(F.col("line").alias("a"), F.col("content").alias("left"))
+    # Similarity is at most the smaller set's share of the larger one; other pairs meet no texts.
+    sized = pairs.select("a", "b").distinct()
+    for line, n in (("a", "x"), ("b", "y")):
+        sized = sized.join(texts.select(F.col("line").alias(line), F.col("n").alias(n)), line)
+    sized = sized.filter(F.least("x", "y") >= (like - 1e-9) * F.greatest("x", "y")).select("a", "b")
     right = texts.select(F.col("line").alias("b"), F.col("content").alias("right"))
-    met = pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    left = texts.select(F.col("line").alias("a"), F.col("content").alias("left"))
+    met = sized.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return settle(met.mapInArrow(run, "a long, b long, alike double"))
 
 
@@ -218,7 +229,7 @@ def line_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
         chosen = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("line").alias("a"), F.col("component").alias("own"), F.col("rank").alias("at"))
         met = chosen.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("own")))
         pairs = met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
-        new = _compared(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts)
+        new = _compared(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts, like)
         done = new.select("a", "b") if done is None else settle(done.unionAll(new.select("a", "b")))
         found = new.filter(F.col("alike") >= like).select("a", "b")
         named, links = _relabelled(named, found), links.unionAll(found)
