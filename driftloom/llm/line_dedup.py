@@ -1,8 +1,10 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard, union-find, one line per component.
 
 Lines are alike if the sets of their eight-character shingles have a Jaccard similarity of 0.8
-or more. A line's signature has forty minima, of bins of one hash, or of forty hashes if it is short.
-Bands of four minima send it to ten buckets (99.5 % of pairs at 0.8 share one, more above).
+or more. A signature has forty minima: of forty hashes for lines of few different shingles, of bins
+of one hash for lines of many. Lines between have both, so two lines whose sets' sizes allow a
+link always have one kind in common. Bands of four minima send a line to ten buckets per kind
+(99.5 % of pairs at 0.8 share one, more above).
 
 In a bucket one line is compared with all others; linked lines take one label, and lines with a
 bucket's rarest labels (four, then sixteen, and so on) are compared with those of its other
@@ -42,7 +44,7 @@ MAP_BITS = 26
 #: Lines that a task remembers to send each only once.
 REMEMBERED = 500_000
 
-#: Lines of fewer shingles are short.
+#: Lines of as many different shingles have bins; lines of fewer than SHORT / like have forty hashes.
 SHORT = 160
 
 _BINS = BANDS * ROWS
@@ -63,12 +65,8 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One row of minima per (non-empty) line.
-
-    Long lines have one hash whose range is cut into bins. In a short line bins would be empty,
-    so it has a hash for every row of its signature.
-    """
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all lines, one per place, and their count per line."""
     sizes = np.array([len(x) for x in lines])
     data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(sizes) - sizes
@@ -76,22 +74,27 @@ def signatures(lines: list[str]) -> np.ndarray:
     n = np.maximum(sizes - SHINGLE + 1, 1)
     at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
     end = np.minimum(at + SHINGLE, np.repeat(starts + sizes, n))
-    hashes = _LETTERS.between(prefix, at, end)
+    return _LETTERS.between(prefix, at, end), n
+
+
+def _seeded(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Minima of one hash for every row of the signature."""
+    out = np.empty((len(n), _BINS), np.uint32)
+    heads = np.cumsum(n) - n
+    for column in range(_BINS if len(n) else 0):
+        again = (hashes ^ _SEEDS[column]) * ODD
+        out[:, column] = np.minimum.reduceat((again >> np.uint64(32)).astype(np.uint32), heads)
+    return out
+
+
+def _binned(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Minima of bins of one hash; an empty bin borrows from another one."""
     bins = ((hashes >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
     empty = np.uint32(0xFFFFFFFF)
-    out = np.full(len(lines) * _BINS, empty)
-    np.minimum.at(out, np.repeat(np.arange(len(lines)) * _BINS, n) + bins.astype(np.int64), hashes.astype(np.uint32))
+    out = np.full(len(n) * _BINS, empty)
+    np.minimum.at(out, np.repeat(np.arange(len(n)) * _BINS, n) + bins.astype(np.int64), hashes.astype(np.uint32))
     out = out.reshape(-1, _BINS)
-    short = np.flatnonzero(n < SHORT)
-    if len(short):
-        own = hashes[np.repeat(n < SHORT, n)]
-        heads = np.cumsum(n[short]) - n[short]
-        for column in range(_BINS):
-            again = (own ^ _SEEDS[column]) * ODD
-            out[short, column] = np.minimum.reduceat((again >> np.uint64(32)).astype(np.uint32), heads)
     row, column = np.nonzero(out == empty)
-    longer = n[row] >= SHORT
-    row, column = row[longer], column[longer]
     known = out.copy()
     for step in range(_BINS):
         if not len(row):
@@ -103,15 +106,54 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    found = signatures(lines).astype(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), found.shape[:2])
-    for i in range(ROWS):
-        key = mixed(key * ODD + found[:, :, i])
-    return key
+def _different(hashes: np.ndarray) -> int:
+    hashes = np.sort(hashes)
+    return 1 + int(np.count_nonzero(hashes[1:] != hashes[:-1]))
 
 
-def _banded(docs: DataFrame) -> DataFrame:
+def signatures(lines: list[str], like: float = LIKE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, places in ``lines`` and one row of minima each, of (non-empty) lines.
+
+    A link's smaller set has at least ``like`` times the shingles of the larger one. So with
+    forty hashes below SHORT / like and bins from SHORT, no link is between lines without a
+    common kind. Different shingles count, not places: a line that repeats itself has few.
+    """
+    hashes, n = _hashes(lines)
+    heads = np.cumsum(n) - n
+    few = int(SHORT / like) + 1
+    first = np.ones(len(hashes), bool)  # what the forty hashes read: every shingle, or each once
+    size = n.copy()
+    for i in np.flatnonzero(n >= SHORT).tolist():
+        own = hashes[heads[i] : heads[i] + n[i]]
+        # Most long lines show enough shingles soon.
+        if n[i] > 2 * few and _different(own[: 2 * few]) >= few:
+            continue
+        size[i] = _different(own)
+        if size[i] < min(few, n[i]):
+            first[heads[i] : heads[i] + n[i]] = False
+            first[heads[i] + np.unique(own, return_index=True)[1]] = True
+    short = size < few
+    if short.any():
+        yield 0, np.flatnonzero(short), _seeded(hashes[np.repeat(short, n) & first], size[short])
+    long = size >= SHORT
+    if long.any():
+        yield 1, np.flatnonzero(long), _binned(hashes[np.repeat(long, n)], n[long])
+
+
+def band_keys(lines: list[str], like: float = LIKE) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, and the place in ``lines`` of the line that each is for."""
+    keys, whom = [], []
+    for kind, places, found in signatures(lines, like):
+        found = found.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), found.shape[:2])
+        for i in range(ROWS):
+            key = mixed(key * ODD + found[:, :, i])
+        keys.append(key.reshape(-1))
+        whom.append(np.repeat(places, BANDS))
+    return np.concatenate(keys), np.concatenate(whom)
+
+
+def _banded(docs: DataFrame, like: float) -> DataFrame:
     """bucket, line: every line, once per task, in its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +166,8 @@ def _banded(docs: DataFrame) -> DataFrame:
                 sent.clear()
             sent.update(new)
             if new:
-                keys = band_keys(list(new.values()))
-                whom = np.repeat(np.array(list(new), np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(whom)], ["bucket", "line"])
+                keys, whom = band_keys(list(new.values()), like)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.array(list(new), np.int64)[whom])], ["bucket", "line"])
 
     return ids_and_texts(docs).mapInArrow(run, "bucket long, line long")
 
@@ -214,7 +255,7 @@ def _relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """line, component: all lines (by hash) that share a bucket with another, and their components."""
-    rest = settle(_shared(_banded(docs)))
+    rest = settle(_shared(_banded(docs, like)))
     wanted = settle(rest.select("line").distinct())
     texts = _texts(docs, wanted)
     named = wanted.withColumn("component", F.col("line"))

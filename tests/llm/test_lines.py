@@ -68,6 +68,31 @@ def test_edited_lines(spark):
     assert same >= 0.98 * len(want)
 
 
+def shared(a, b):
+    keys, whom = line_dedup.band_keys([a, b])
+    return bool(set(keys[whom == 0].tolist()) & set(keys[whom == 1].tolist()))
+
+
+def test_pairs_across_the_border_of_signatures(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    pairs = []
+    for small in range(130, 200):
+        for _ in range(4):
+            long = "".join(rng.choice(letters) for _ in range(small + rng.randint(2, small // 5))).replace(" ", "_")
+            pairs.append((long[:small], long))
+    sets = [[line_dedup.shingles(x) for x in p] for p in pairs]
+    pairs = [p for p, (a, b) in zip(pairs, sets) if len(a & b) / len(a | b) >= 0.8]
+    across = [p for p in pairs if len(p[0]) < 167 <= len(p[1])]
+    assert len(across) > 50
+    assert sum(shared(*p) for p in pairs) >= 0.98 * len(pairs) and sum(shared(*p) for p in across) >= 0.98 * len(across)
+    # Equal sets of shingles of lines of any length.
+    assert shared(("word " * 20).strip(), ("word " * 200).strip())
+    rows = [(i, x) for i, x in enumerate([*across[0], "word " * 20, "word " * 200])]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, across[0][0]), (1, ""), (2, "word " * 20), (3, "")]
+
+
 def test_documents(spark, folder, documents):
     rows = op3_fuzzy_line_dedup(spark, folder).collect()
     want = {doc: (len(t.split("\n"))) for doc, t in documents}
