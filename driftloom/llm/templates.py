@@ -4,7 +4,7 @@ Every element's subtree is hashed; Spark counts on how many different pages of a
 occurs. Subtrees on at least ``LEAST_PAGES`` pages and on more than ``SHARE`` of the host's pages
 are deleted. Copies of one page count as one page, so articles that a host shows several times
 stay. Menus, forms and the like that vary by page cannot be told by counting; they are known by
-their tags, roles and class words. The text is that of the longest ``article``, else of ``main``,
+their tags, roles and class words, unless they stand around the page's text. The text is that of the longest ``article``, else of ``main``,
 else of the body.
 
 A host has fewer than (elements per page / SHARE) template hashes, so its list is short. The
@@ -59,7 +59,10 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Element(NamedTuple):
-    """Tag, place in the source, first and last text piece, nesting, and whether the tags alone rule it out."""
+    """Tag, place in the source, first and last text piece, nesting, and whether the tags alone rule it out.
+
+    ``words``: what rules it out says nothing about its size (a form, or words of class and id).
+    """
 
     tag: str
     start: int
@@ -68,31 +71,36 @@ class Element(NamedTuple):
     last: int
     depth: int
     never: bool
+    words: bool = False
 
 
-def _ruled_out(tag: str, attributes: str, inside: bool) -> bool:
+def _ruled_out(tag: str, attributes: str, inside: bool) -> str:
+    """What rules an element out: "tag" (or role), "words" (or a form), or nothing."""
+    if tag == "form":
+        return "words"
     if tag in NEVER or tag == "header" and not inside:
-        return True
+        return "tag"
+    found = ""
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values).lower()
         if name.lower() == "role":
             if value in ROLES:
-                return True
+                return "tag"
         elif tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            found = "words"
+    return found
 
 
 def parse(html: str) -> tuple[list[Element], list[tuple[str, bool]]]:
     """Elements in order of their ends, and text pieces, each with whether a block begins before it."""
     done: list[Element] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, int, bool]] = []  # tag, start, first piece, ruled out
+    stack: list[tuple[str, int, int, str]] = []  # tag, start, first piece, ruled out
     at, breaks = 0, True
 
     def close(end: int) -> None:
-        tag, start, first, never = stack.pop()
-        done.append(Element(tag, start, end, first, len(pieces), len(stack), never))
+        tag, start, first, why = stack.pop()
+        done.append(Element(tag, start, end, first, len(pieces), len(stack), why != "", why == "words"))
 
     for token in _TOKEN.finditer(html):
         if token.start() > at:
@@ -137,16 +145,58 @@ def subtree(html: str, element: Element) -> int:
     return xxh64_intdigest(" ".join(html[element.start : element.end].split()).encode("utf-8", "surrogatepass"))
 
 
+def _held(x: Element, e: Element) -> bool:
+    return e.first <= x.first and x.last <= e.last and x.depth > e.depth
+
+
+def _wrappers(elements: list[Element], pieces: list[tuple[str, bool]]) -> set[Element]:
+    """Elements that their tag or words rule out, but that stand around the text of the page.
+
+    That is around a main, or around the longest article and the larger part of the main that it is
+    in, if any. A form or an element known by its words also is one if it holds, outside links and
+    outside what is ruled out within it, more than half of the page's text; where main or article
+    exist, more than four fifths of theirs.
+    """
+    never = [e for e in elements if e.never and e.last > e.first]
+    if not never:
+        return set()
+    sizes = np.array([len("".join(p.split())) for p, _ in pieces])
+    roots = [e for e in elements if e.tag in ("article", "main") and sizes[e.first : e.last].any()]
+    spared = set()
+    if roots:
+        mains = [x for x in roots if x.tag == "main"]
+        longest = max((x for x in roots if x.tag == "article"), key=lambda x: (sizes[x.first : x.last].sum(), -x.depth), default=None)
+        for e in never:
+            part = 2 * sizes[e.first : e.last].sum()
+            if any(_held(x, e) for x in mains) or longest and _held(longest, e) and all(part > sizes[x.first : x.last].sum() for x in mains if _held(e, x)):
+                spared.add(e)
+        inside = np.zeros(len(pieces), bool)
+        for x in roots:
+            inside[x.first : x.last] = True
+        sizes *= inside
+    for e in elements:
+        if e.tag in ("a", "head"):
+            sizes[e.first : e.last] = 0
+    share = 0.8 if roots else 0.5
+    for e in never:  # in order of their ends: inner ones first
+        own = sizes[e.first : e.last]
+        if e.words and own.sum() > share * sizes.sum():
+            spared.add(e)
+        elif e not in spared:
+            own[:] = 0
+    return spared
+
+
 def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text, joined by an empty line."""
     elements, pieces = parse(html)
     if not pieces:
         return ""
     gone = np.zeros(len(pieces) + 1, np.int64)
-    texts = [e for e in elements if e.tag in ("article", "main")]
+    spared = _wrappers(elements, pieces)
     for e in elements:
-        if e.tag == "form" and any(e.first <= x.first and x.last <= e.last and x.depth > e.depth for x in texts):
-            continue  # a form around the whole page
+        if e in spared:
+            continue
         if e.last > e.first and (e.never or templates and e.tag not in ("html", "body") and subtree(html, e) in templates):
             gone[e.first] += 1
             gone[e.last] -= 1

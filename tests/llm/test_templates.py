@@ -36,6 +36,23 @@ def test_rules_of_one_page():
     assert templates.main_text("") == templates.main_text("<p>") == templates.main_text("<!-- x") == ""
 
 
+def test_wrappers_around_the_text():
+    side = '<div class="sidebar">Side words</div>'
+    for wrapper in ('<div class="content-sidebar-wrap">', '<div class="has-sidebar">', '<div id="page" class="with-menu">', '<section role="banner">', "<form>"):
+        close = "</" + wrapper[1:].split()[0].strip(">") + ">"
+        for tag in ("main", "article"):
+            assert templates.main_text(f"<body>{wrapper}{side}<{tag}><p>The whole text</p></{tag}>{close}<footer>(c)</footer></body>") == "The whole text"
+    bare = '<body><div id="page" class="with-menu"><div class="menu"><a href="/">Home</a> <a href="/a">All about the shop</a></div><p>The whole text</p></div><footer>(c)</footer></body>'
+    assert templates.main_text(bare) == "The whole text"
+    for tag in ("main", "article"):
+        assert templates.main_text(f'<{tag}><div class="has-sidebar">{side}<p>The whole long text</p></div></{tag}>') == "The whole long text"
+        assert templates.main_text(f'<{tag}><p>The whole text</p><div class="comments">First of all comments!</div></{tag}>') == "The whole text"
+    # What is no wrapper of the text goes as before.
+    related = '<div class="related"><article>Teaser</article><article>Other</article></div>'
+    assert templates.main_text(f"<article><p>The whole text</p></article>{related}") == "The whole text"
+    assert templates.main_text(f"<main><p>The whole text</p>{related}</main>") == "The whole text"
+
+
 def test_subtrees_that_a_host_repeats(spark):
     bar = '<div class="x7"><span>Menu of this site</span></div>'
     rows = [(i, f"https://one.example/{i}", f"<body>{bar}<div><p>Text {i % 17} of page</p></div></body>") for i in range(40)]
