@@ -4,8 +4,8 @@ Every element's subtree is hashed; Spark counts on how many different pages of a
 occurs. Subtrees on at least ``LEAST_PAGES`` pages and on more than ``SHARE`` of the host's pages
 are deleted. Copies of one page count as one page, so articles that a host shows several times
 stay. Menus, forms and the like that vary by page cannot be told by counting; they are known by
-their tags, roles and class words, unless they stand around the page's text. The text is that of the longest ``article``, else of ``main``,
-else of the body.
+their tags, roles and class words, unless they stand around the page's text. The text is that of all
+``article`` if they hold the larger part of ``main`` or body, else that of ``main`` or body.
 
 A host has fewer than (elements per page / SHARE) template hashes, so its list is short. The
 lists are stored before they meet the pages: Spark knows their size, and broadcasts them if it is
@@ -187,6 +187,28 @@ def _wrappers(elements: list[Element], pieces: list[tuple[str, bool]]) -> set[El
     return spared
 
 
+def _root(elements: list[Element], sizes: np.ndarray) -> np.ndarray:
+    """Which pieces the text is taken from; ``sizes`` are what is left of them.
+
+    Articles, if they hold the larger part of main or, without one, of the page; else that. A main
+    beside which articles hold more than half as much counts as one of them.
+    """
+
+    def of(*tags: str) -> np.ndarray:
+        out = np.zeros(len(sizes), bool)
+        for e in elements:
+            if e.tag in tags:
+                out[e.first : e.last] = True
+        return out
+
+    articles, mains, whole = of("article"), of("main"), np.ones(len(sizes), bool)
+    if sizes[mains].sum() > 0 and 2 * sizes[articles & ~mains].sum() <= sizes[mains].sum():
+        whole, part = mains, articles & mains
+    else:
+        part = articles | mains
+    return part if 2 * sizes[part].sum() > sizes[whole].sum() else whole
+
+
 def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text, joined by an empty line."""
     elements, pieces = parse(html)
@@ -201,19 +223,12 @@ def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
             gone[e.first] += 1
             gone[e.last] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    sizes = np.array([len(p) for p, _ in pieces]) * ~gone
-    for tag in ("article", "main"):
-        roots = [e for e in elements if e.tag == tag and not gone[e.first : e.last].all()]
-        if roots:
-            root = max(roots, key=lambda e: (sizes[e.first : e.last].sum(), -e.depth))
-            break
-    else:
-        root = Element("body", 0, len(html), 0, len(pieces), 0, False)
+    keep = ~gone & _root(elements, np.array([len("".join(p.split())) for p, _ in pieces]) * ~gone)
     blocks: list[list[str]] = []
     breaks = True
-    for i in range(root.first, root.last):
+    for i in range(len(pieces)):
         breaks = breaks or pieces[i][1]
-        if not gone[i]:
+        if keep[i]:
             if breaks:
                 blocks.append([])
             blocks[-1].append(pieces[i][0])

@@ -53,6 +53,15 @@ def test_wrappers_around_the_text():
     assert templates.main_text(f"<main><p>The whole text</p>{related}</main>") == "The whole text"
 
 
+def test_all_articles_or_the_larger_main():
+    several = "<article><p>First part</p></article><p>x</p><article><p>Second</p><article>Inner</article></article>"
+    assert templates.main_text(f"<body>{several}</body>") == templates.main_text(f"<main>{several}</main>") == "First part\n\nSecond\n\nInner"
+    assert templates.main_text("<main><p>The text of the page</p></main><article>Teaser</article>") == "The text of the page"
+    assert templates.main_text("<main><p>The text of the page</p><article>Teaser</article></main>") == "The text of the page\n\nTeaser"
+    assert templates.main_text("<body><p>The text of the page</p><article>Teaser</article></body>") == "The text of the page\n\nTeaser"
+    assert templates.main_text("<main>Note</main><article>The text of the page</article>") == "Note\n\nThe text of the page"
+
+
 def test_subtrees_that_a_host_repeats(spark):
     bar = '<div class="x7"><span>Menu of this site</span></div>'
     rows = [(i, f"https://one.example/{i}", f"<body>{bar}<div><p>Text {i % 17} of page</p></div></body>") for i in range(40)]
