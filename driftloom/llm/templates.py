@@ -2,12 +2,14 @@
 
 Every element's subtree is hashed; Spark counts on how many different pages of a host each hash
 occurs. Subtrees on at least ``LEAST_PAGES`` pages and on more than ``SHARE`` of the host's pages
-are deleted. Copies of one page count as one page, so articles that a host shows several times
+are deleted, and on hosts of ``SMALL_HOST`` to ``LEAST_PAGES`` pages those that are on all. A host
+may have several page designs, so a share of ``SOME`` is enough, except where that would take more
+than half of an article or main: such a page is a near copy of others. Copies of one page count as one page, so articles that a host shows several times
 stay. Menus, forms and the like that vary by page cannot be told by counting; they are known by
 their tags, roles and class words, unless they stand around the page's text. The text is that of all
 ``article`` if they hold the larger part of ``main`` or body, else that of ``main`` or body.
 
-A host has fewer than (elements per page / SHARE) template hashes, so its list is short. The
+A host has fewer than (elements per page / SOME) template hashes, however many its pages. The
 lists are stored before they meet the pages: Spark knows their size, and broadcasts them if it is
 under its limit; beyond that, pages are shuffled by host and adaptive execution splits large hosts.
 
@@ -34,6 +36,8 @@ from driftloom.storage import settle
 
 LEAST_PAGES = 8
 SHARE = 0.5
+SOME = 0.02
+SMALL_HOST = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|svg|title|textarea|select|object|canvas|video|audio|math|button"
@@ -209,21 +213,30 @@ def _root(elements: list[Element], sizes: np.ndarray) -> np.ndarray:
     return part if 2 * sizes[part].sum() > sizes[whole].sum() else whole
 
 
-def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main text, joined by an empty line."""
+def main_text(html: str, templates: frozenset[int] = frozenset(), some: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main text, joined by an empty line; ``some`` are templates of a part of the pages."""
     elements, pieces = parse(html)
     if not pieces:
         return ""
-    gone = np.zeros(len(pieces) + 1, np.int64)
+    gone, partly = np.zeros((2, len(pieces)), bool)
     spared = _wrappers(elements, pieces)
     for e in elements:
-        if e in spared:
+        if e.last == e.first:
             continue
-        if e.last > e.first and (e.never or templates and e.tag not in ("html", "body") and subtree(html, e) in templates):
-            gone[e.first] += 1
-            gone[e.last] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    keep = ~gone & _root(elements, np.array([len("".join(p.split())) for p, _ in pieces]) * ~gone)
+        if e.never and e not in spared:
+            gone[e.first : e.last] = True
+        elif (templates or some) and e.tag not in ("html", "body"):
+            mark = subtree(html, e)
+            if mark in templates:
+                gone[e.first : e.last] = True
+            elif mark in some:
+                partly[e.first : e.last] = True
+    sizes = np.array([len("".join(p.split())) for p, _ in pieces]) * ~gone
+    for e in reversed(elements):  # outer ones first
+        if e.tag in ("article", "main") and 2 * (sizes * partly)[e.first : e.last].sum() > sizes[e.first : e.last].sum():
+            partly[e.first : e.last] = False
+    gone |= partly
+    keep = ~gone & _root(elements, sizes * ~gone)
     blocks: list[list[str]] = []
     breaks = True
     for i in range(len(pieces)):
@@ -242,7 +255,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host, hashes of the subtrees that are its template."""
+    """host, hashes of the subtrees that are its template, and of those of some of its designs (some)."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,27 +274,29 @@ def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
             )
 
     found = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, hash long, mark long")
-    counts = found.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(f"hash = 0 OR n >= {least_pages}")
+    counts = found.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(f"hash = 0 OR n >= {min(least_pages, SMALL_HOST)}")
     counts = settle(counts)  # two steps read it, and pages are parsed once
     totals = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash <> 0").join(totals, "host").filter(F.col("n") > share * F.col("pages"))
-    return settle(often.groupBy("host").agg(F.collect_set("hash").alias("hashes")))
+    met = counts.filter("hash <> 0").join(totals, "host")
+    most = (F.col("n") >= least_pages) & (F.col("n") > share * F.col("pages")) | (F.col("pages") < least_pages) & (F.col("n") == F.col("pages"))
+    often = met.withColumn("most", most).filter((F.col("n") >= least_pages) & (F.col("n") > min(share, SOME) * F.col("pages")) | F.col("most"))
+    of = lambda which: F.collect_set(F.when(which, F.col("hash")))
+    return settle(often.groupBy("host").agg(of(F.col("most")).alias("hashes"), of(~F.col("most")).alias("some")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[int]] = {}
+        known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
         for batch in slices(batches, "html"):
             texts = []
-            for html, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist()):
-                key = tuple(hashes or ())
-                if key not in known:
-                    known = {key: frozenset(h % (1 << 64) for h in key)}
-                texts.append(main_text(html, known[key]))
+            for host, html, *lists in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), *(batch.column(c) for c in ("hashes", "some"))):
+                if host not in known:
+                    known = {host: tuple(frozenset(h % (1 << 64) for h in x.as_py() or ()) for x in lists)}
+                texts.append(main_text(html, *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     met = own.withColumn("host", host_of(F.col("url"))).join(host_templates(pages), "host", "left")
-    return met.select("page_id", "url", "html", "hashes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met.select("page_id", "url", "host", "html", "hashes", "some").mapInArrow(run, "page_id long, url string, text string, n_chars long")

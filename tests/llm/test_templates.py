@@ -75,3 +75,15 @@ def test_subtrees_that_a_host_repeats(spark):
     want += [(200, ""), (201, ""), (None, "alone")]
     assert got == sorted(want, key=str)
     assert templates.extract(frame.limit(0)).count() == 0
+
+
+def test_designs_of_a_host_and_small_hosts(spark):
+    bars = [f'<div class="x{k}"><span>Menu of design {k}</span></div>' for k in range(3)]
+    rows = [(i, "https://many.example/", f"<body>{bars[i % 3]}<div><p>Text {i} of page</p></div></body>") for i in range(60)]
+    rows += [(100 + i, "https://small.example/", f"<body>{bars[0]}<div><p>Text {i} of page</p></div></body>") for i in range(5)]
+    # One article with small edits, on a few of the pages: a near copy, not a template.
+    rows += [(200 + i, "https://many.example/", f"<body>{bars[0]}<article><p>The article that is shown again</p><p>by {i}</p></article></body>") for i in range(10)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in templates.extract(frame).collect()}
+    want = {i: f"Text {i} of page" for i in range(60)} | {100 + i: f"Text {i} of page" for i in range(5)}
+    assert got == want | {200 + i: f"The article that is shown again\n\nby {i}" for i in range(10)}
