@@ -12,7 +12,7 @@ no choice of six blocks with another has no link. Each task marks those that mee
 sends on one of them per choice, so what many fingerprints share arrives as a few rows per task.
 
 Nulls and texts without words have fingerprint zero, linked like any other. Rows with equal
-doc_id are rows of their own and get the same component. An empty table gives no rows. Other
+doc_id are rows of their own, each in the component of its fingerprint. An empty table gives no rows. Other
 columns are ignored.
 """
 
@@ -148,22 +148,41 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """fp, whole (the component's least fingerprint), component_id (its least doc_id, if any has one); stored."""
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(nodes))
+    wholes = nodes.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("whole"))
+    least = wholes.groupBy("whole").agg(F.min("first").alias("component_id"))
+    return settle(wholes.join(least, "whole").select("fp", "whole", "component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
     prints = settle(fingerprints(docs))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    ids = nodes.select(F.col("fp").alias("a"), F.col("first").alias("x"))
-    pairs = links(nodes).join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    found = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = nodes.join(found, nodes["first"] == found["v"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(_named(prints), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of every component: the one whose id names it.
+    """``docs`` with one row of every component: of the least doc_id, then fingerprint, then content.
 
-    Only ids and fingerprints are compared. Rows that repeat a kept doc_id stay with it, and
-    rows without a doc_id stay.
+    Rows without a doc_id come last. Ids that one row has are compared without texts; only rows
+    that share an id, or have none, meet with their content.
     """
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    prints = settle(fingerprints(docs))
+    rows = prints.join(_named(prints), "fp").select("doc_id", "fp", "whole")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
+    chosen = settle(rows.groupBy("whole").agg(best).select("best.doc_id", "best.fp"))
+    several = settle(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    dropped = rows.select("doc_id", "fp").join(chosen, ["doc_id", "fp"], "left_anti").select("doc_id").unionAll(several)
+    once = docs.filter("doc_id IS NOT NULL").join(dropped.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    shared = docs.join(several, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.filter("doc_id IS NULL"))
+    # The texts' fingerprints, by the texts themselves: rows of one id may have several.
+    texts = shared.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    marks = fingerprints(texts.select(F.col("mark").alias("doc_id"), "text")).distinct().select(F.col("doc_id").alias("mark"), "fp")
+    met = shared.select(own.alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).join(marks, "mark")
+    first = met.groupBy("id", "fp").agg(F.min("own").alias("own"))
+    kept = first.join(chosen.withColumnRenamed("fp", "print"), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return once.unionAll(kept.select("own.*"))

@@ -1,10 +1,12 @@
 """SimHash groups against all pairs."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from driftloom.llm import simhash
@@ -55,6 +57,21 @@ def test_groups_of_odd_rows(spark, odd, empty):
     assert {r["doc_id"] for r in kept.collect()} >= {0, 1, 7, 8, None}
 
 
+def test_rows_without_ids_and_repeated_rows(spark, monkeypatch):
+    # Fingerprints 0, 15 and 255: the outer ones are linked only through the one without an id.
+    prints = {"a": 0, "b": 15, "c": 255, "d": 1 << 40 | (1 << 20) - 1, "e": -1}
+    def plain(docs):
+        known = F.create_map(*[F.lit(x) for pair in prints.items() for x in pair])
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), known[F.col("text")].cast("long").alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", plain)
+    rows = [(5, "a"), (None, "b"), (3, "c"), (None, "d"), (None, "d"), (7, "e"), (7, "e"), (7, "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect())
+    assert got == Counter({(5, 3): 1, (None, 3): 1, (3, 3): 1, (None, None): 2, (7, 7): 2, (7, 3): 1})
+    assert sorted(map(tuple, simhash.first_of_each(frame).collect()), key=str) == sorted([(3, "c"), (None, "d"), (7, "e")], key=str)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_links_connect_all_pairs_within_the_radius(spark, seed):
     rng = np.random.default_rng(seed)
