@@ -1,13 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by anchored block matching, in place of a relative Lempel-Ziv parse.
 
 Every text is cut into blocks at sampled anchors: of the word shingles inside a window the one
 with the least hash is its anchor, and the windows with one anchor form a block. Equal windows
-have equal anchors at equal places, so a document need only be parsed against the blocks that
-share an anchor with it. The parse is greedy: a block that stands whole in an earlier document is
-copied from there, and neighbouring copied blocks form one long factor. Only where a factor
-ends, that is in blocks whose anchor occurs but which differ somewhere, are the single windows
-looked up. Windows of a copied block or found at a boundary are the duplicate spans; the result
-is that of looking up every window, at a fraction of the rows.
+have equal anchors at equal places, so a document need only meet the blocks that share an anchor
+with it. No longest factors are formed: a block that stands whole in an earlier document is a
+copy. Only in blocks whose anchor occurs but which differ somewhere are the single windows looked
+up. Windows of a copied block or found by themselves are the duplicate spans; the result is
+that of looking up every window, at a fraction of the rows.
 
 Rows are sorted per anchor, not gathered. Before the shuffle each task settles what it can see
 alone: of equal blocks only the first is sent on, and of one anchor at most two different blocks,
@@ -171,7 +170,7 @@ def _met(rows: DataFrame, several: bool) -> DataFrame:
 
 
 def parse(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """doc, place, state of every block that is copied (COPY) or ends a factor (CHECK)."""
+    """doc, place, state of every block that is copied (COPY) or whose anchor has other blocks (CHECK)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[np.ndarray, ...]]:
@@ -204,7 +203,7 @@ def _of_row(places: list[int] | None, tag: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def boundary_windows(docs: DataFrame, parsed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """doc, place (of one window) of the windows at factor ends that start in an earlier document."""
+    """doc, place (of one window) of the windows in CHECK blocks that start in an earlier document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[np.ndarray, ...]]:
