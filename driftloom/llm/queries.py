@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftloom.llm import codes, line_dedup, mixing, packing, piecewise, quality, simhash, substring_dedup, templates, toxicity
+from driftloom.llm import codes, line_dedup, mixing, packing, pieces, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -63,6 +63,10 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, folder, "documents"))))
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -156,6 +160,7 @@ def queries() -> dict[str, Query]:
         op8_target_mixing,
         op9_packing,
         op10_simhash_near_dedup,
+        op11_sentencepiece,
         pipeline,
     )
     return {f.__name__: f for f in every}
