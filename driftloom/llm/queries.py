@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftloom.llm import codes, line_dedup, mixing, packing, pieces, piecewise, quality, simhash, substring_dedup, templates, toxicity
+from driftloom.llm import codes, divergence, line_dedup, mixing, packing, pieces, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -67,6 +67,10 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(pieces.decode(pieces.encode(table(spark, folder, "documents"))))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -144,6 +148,52 @@ FROM summed LEFT JOIN last USING (domain, language, origin)
 """
 
 
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DF}
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), dense AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n,
+    1 + ({divergence.SCALE} * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM dense JOIN sizes USING (lang)
+), whole AS (
+  SELECT lang, term, sum(n) AS n FROM found GROUP BY ALL
+), q AS (
+  SELECT lang, term, 1 + ({divergence.SCALE} * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM whole JOIN sizes USING (lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), rows AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -161,6 +211,7 @@ def queries() -> dict[str, Query]:
         op9_packing,
         op10_simhash_near_dedup,
         op11_sentencepiece,
+        op12_source_divergence,
         pipeline,
     )
     return {f.__name__: f for f in every}
@@ -168,4 +219,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL expresses; the others are tested against brute force."""
-    return {"op1_substring_dedup": OP1_SQL, "op8_target_mixing": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op8_target_mixing": OP8_SQL, "op12_source_divergence": OP12_SQL}
