@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftloom.llm import codes, divergence, line_dedup, mixing, packing, pieces, piecewise, quality, simhash, substring_dedup, templates, toxicity
+from driftloom.llm import alignment, codes, divergence, line_dedup, mixing, packing, pieces, piecewise, quality, simhash, substring_dedup, templates, toxicity
 from driftloom.llm.common import table
 from driftloom.storage import work_folder
 
@@ -71,6 +71,10 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -212,6 +216,7 @@ def queries() -> dict[str, Query]:
         op10_simhash_near_dedup,
         op11_sentencepiece,
         op12_source_divergence,
+        op13_tokenizer_alignment,
         pipeline,
     )
     return {f.__name__: f for f in every}
