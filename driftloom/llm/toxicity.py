@@ -26,10 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import Powers, bytes_of, ids_and_texts, slices, toxic_split, word_bounds
+from driftloom.shipping import ship_package
 
 BITS = 18
 SAMPLE = 200_000
@@ -285,18 +287,18 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold; nothing is shuffled."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, all columns, that score below the threshold; nothing is shuffled.
 
-    @F.pandas_udf("double")
-    def scores(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
+    Rows go through the task as Arrow slices and are cut there: no copy of a whole batch is made.
+    """
+    ship_package(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
-        own, out = known.value, []
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        for part in slices(iter([batch])):
-            found = evidence(*tokens(part.column("text")), own)
-            out.append(own.scores[_bin(found)] if len(own.scores) > 1 else np.full(part.num_rows, own.scores[0]))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = known.value
+        for batch in slices(batches):
+            found = evidence(*tokens(pc.fill_null(batch.column("text"), "")), own)
+            scores = own.scores[_bin(found)] if len(own.scores) > 1 else np.full(batch.num_rows, own.scores[0])
+            yield batch.filter(pa.array(scores < THRESHOLD))
 
-    return docs.filter(scores(F.coalesce(F.col("text"), F.lit(""))) < THRESHOLD)
+    return docs.mapInArrow(run, docs.schema)
