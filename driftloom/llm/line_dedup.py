@@ -6,17 +6,19 @@ of one hash for lines of many. Lines between have both, so two lines whose sets'
 link always have one kind in common. Bands of four minima send a line to ten buckets per kind
 (99.5 % of pairs at 0.8 share one, more above).
 
-In a bucket one line is compared with all others; linked lines take one label, and lines with a
-bucket's rarest labels (four, then sixteen, and so on) are compared with those of its other
+In a bucket the least line is compared with all others; linked lines take one label, and lines with
+a bucket's rarest labels (sixteen, then 256, and so on) are compared with those of its other
 labels, as long as it has more than one among the lines that are left. So the links connect what
 all pairs of the bucket would connect, and a bucket of lines that are alike is done after one
-comparison for each.
+comparison for each. Batches of pairs are compared at once, on sorted hashes of their shingles.
 
 A line is what stands between newlines; white space around it is no part of the comparison, and
 lines of white space alone always stay. Of each component the first line stays, by doc_id and
-place. Nulls stay null and count as no line. Rows that share a doc_id do not remove each other's
-lines at the same place; rows without one count as the smallest id. An empty table gives no
-rows. All columns of the input are kept.
+place: the first place of every different line is found before components are looked at, so a line
+or a component that many documents have is never gathered, and documents get lists of the lines
+that stay. Nulls stay null and count as no line. Rows without a doc_id come first, each as a
+document of its own. Rows that share a doc_id are one document's versions: equal lines at one
+place of several stay in all. An empty table gives no rows. All columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from xxhash import xxh64_intdigest
 
 from driftloom.llm.common import ODD, Powers, ids_and_texts, mixed, signed, slices
 from driftloom.llm.components import components
+from driftloom.shipping import ship_package
 from driftloom.storage import settle
 
 SHINGLE = 8
@@ -47,6 +49,9 @@ REMEMBERED = 500_000
 #: Lines of as many different shingles have bins; lines of fewer than SHORT / like have forty hashes.
 SHORT = 160
 
+#: Names of the columns that go with a table's own.
+_DOC, _ROW, _KEPT = "_line_dedup_doc", "_line_dedup_row", "_line_dedup_kept"
+_LAST = (1 << 63, 0, 0)
 _BINS = BANDS * ROWS
 _SEEDS = np.random.default_rng(43).integers(0, 1 << 63, _BINS, dtype=np.uint64)
 _LETTERS = Powers(0xA0761D6478BD642F, 41)
@@ -173,12 +178,12 @@ def _banded(docs: DataFrame, like: float) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """bucket, line of the buckets with more than one line."""
+    """bucket, line, least (line of the bucket), of the buckets with more than one line."""
     bucket = Window.partitionBy("bucket").orderBy("line")
-    near = members.withColumn("before", F.lag("line").over(bucket)).withColumn("after", F.lead("line").over(bucket))
-    # Equal lines stand side by side: the first and the last of them tell whether others are there.
-    edges = near.filter("before <> line OR after <> line")
-    return edges.select("bucket", "line").distinct()
+    near = members.withColumn("before", F.lag("line").over(bucket)).withColumn("after", F.lead("line").over(bucket)).withColumn("least", F.first("line").over(bucket))
+    # Equal lines stand side by side: the last of the least ones tells whether others follow, and
+    # the first of any other one stands behind them.
+    return near.filter("before <> line OR line = least AND after <> line").select("bucket", "line", "least")
 
 
 def _map_of(wanted: DataFrame) -> np.ndarray:
@@ -192,7 +197,7 @@ def _map_of(wanted: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, content, n (different shingles) of the wanted lines; stored."""
+    """line, content of the wanted lines; stored."""
     seen = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,38 +210,42 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(marks[good]), pa.array([found[m] for m in marks[good].tolist()], pa.string())], ["line", "content"])
 
     found = ids_and_texts(docs).mapInArrow(run, "line long, content string").join(wanted, "line", "left_semi")
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(shingles(x)) for x in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["line", "content", "n"])
-
-    once = found.groupBy("line").agg(F.min("content").alias("content"))
-    return settle(once.mapInArrow(count, "line long, content string, n long"))
+    return settle(found.groupBy("line").agg(F.min("content").alias("content")))
+
+
+def similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """Exact Jaccard similarity of the shingle sets of (non-empty) lines, pair by pair."""
+    number = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
+    hashes, n = _hashes(list(number))
+    line = np.repeat(np.arange(len(number)), n)
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))
+    line, hashes = line[first], hashes[first]
+    sizes = np.bincount(line, minlength=len(number))
+    starts = np.cumsum(sizes) - sizes
+    both = np.empty(len(left), np.int64)
+    for i, (x, y) in enumerate(zip((number[x] for x in left), (number[y] for y in right))):
+        a, b = hashes[starts[x] : starts[x] + sizes[x]], hashes[starts[y] : starts[y] + sizes[y]]
+        at = np.searchsorted(a, b)
+        at[at == len(a)] = 0
+        both[i] = np.count_nonzero(a[at] == b)
+    x, y = (sizes[[number[t] for t in side]] for side in (left, right))
+    return both / (x + y - both)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
-    """a, b, alike (exact Jaccard similarity) of the pairs whose sizes allow it; stored."""
+    """a, b, alike of the pairs (0 if their lengths rule a link out); stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
         for batch in batches:
-            out = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                if left != last:
-                    last, own = left, shingles(left)
-                other = shingles(right)
-                both = len(own & other)
-                out.append(both / (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "alike"])
-
-    # Similarity is at most the smaller set's share of the larger one; other pairs meet no texts.
-    sized = pairs.select("a", "b").distinct()
-    for line, n in (("a", "x"), ("b", "y")):
-        sized = sized.join(texts.select(F.col("line").alias(line), F.col("n").alias(n)), line)
-    sized = sized.filter(F.least("x", "y") >= (like - 1e-9) * F.greatest("x", "y")).select("a", "b")
+            for part in slices(iter([batch]), "right", 1 << 18):
+                alike = similarities(part.column("left").to_pylist(), part.column("right").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(alike)], ["a", "b", "alike"])
+
     right = texts.select(F.col("line").alias("b"), F.col("content").alias("right"))
     left = texts.select(F.col("line").alias("a"), F.col("content").alias("left"))
-    met = sized.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    met = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return settle(met.mapInArrow(run, "a long, b long, alike double"))
 
 
@@ -258,68 +267,97 @@ def line_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rest = settle(_shared(_banded(docs, like)))
     wanted = settle(rest.select("line").distinct())
     texts = _texts(docs, wanted)
-    named = wanted.withColumn("component", F.col("line"))
-    done, links = None, wanted.select(F.col("line").alias("a"), F.col("line").alias("b")).limit(0)
-    centres = 1
+    done = _compared(rest.filter("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct(), texts, like)
+    links = done.filter(F.col("alike") >= like).select("a", "b")
+    done = done.select("a", "b")
+    named = _relabelled(wanted.withColumn("component", F.col("line")), links)
+    rest, centres = _unfinished(rest.filter("line <> least").select("bucket", "line"), named), 16
     while not rest.isEmpty():
         # Lines of the rarest components of a bucket meet the lines of its other components.
         size = F.count(F.lit(1)).over(Window.partitionBy("bucket", "component"))
-        sized = rest.join(named, "line").withColumn("size", size)
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "line"))
-        ranked = settle(sized.withColumn("rank", rank))
+        ranked = settle(rest.withColumn("size", size).withColumn("rank", rank))
         chosen = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("line").alias("a"), F.col("component").alias("own"), F.col("rank").alias("at"))
         met = chosen.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("own")))
         pairs = met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
-        new = _compared(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), texts, like)
-        done = new.select("a", "b") if done is None else settle(done.unionAll(new.select("a", "b")))
+        new = _compared(pairs.join(done, ["a", "b"], "left_anti"), texts, like)
         found = new.filter(F.col("alike") >= like).select("a", "b")
-        named, links = _relabelled(named, found), links.unionAll(found)
-        # What is left of a bucket matters as long as it has lines of two components.
-        left = ranked.filter(F.col("rank") > centres).select("bucket", "line").join(named, "line")
-        several = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        rest = settle(left.join(several, "bucket").select("bucket", "line"))
-        centres *= 4
+        done, links = done.unionAll(new.select("a", "b")), links.unionAll(found)
+        named = _relabelled(named, found)
+        rest, centres = _unfinished(ranked.filter(F.col("rank") > centres).select("bucket", "line"), named), 16 * centres
     whole = components(links).select(F.col("v").alias("line"), "component")
     return wanted.join(whole, "line", "left").select("line", F.coalesce("component", "line").alias("component"))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc, place, line of every line that is not white space."""
+def _unfinished(left: DataFrame, named: DataFrame) -> DataFrame:
+    """bucket, line, component of the buckets that have lines of two components left; stored."""
+    own = left.join(named, "line")
+    bucket = Window.partitionBy("bucket")
+    several = own.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).filter("low < high")
+    return settle(several.select("bucket", "line", "component"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [(doc, i, mark_of(x)) for doc, text in zip(batch.column("doc_id").fill_null(NO_ID).to_pylist(), batch.column("text").to_pylist()) for i, x in enumerate(_lines(text)) if x]
-            doc, place, line = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(line, pa.int64())], ["doc", "place", "line"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc long, place long, line long")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc and row: the id, or NO_ID and a number of the row's own."""
+    known = docs.filter("doc_id IS NOT NULL").select("*", F.col("doc_id").cast("long").alias(_DOC), F.lit(0).cast("long").alias(_ROW))
+    # Stored, so that the numbers are the same wherever they are read.
+    return known.unionAll(settle(docs.filter("doc_id IS NULL").select("*", F.lit(NO_ID).alias(_DOC), F.monotonically_increasing_id().alias(_ROW))))
+
 
+def _firsts(numbered: DataFrame) -> DataFrame:
+    """line and its first doc, row and place; a task sends each line it meets once."""
 
-def repeated(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc, place, line of the lines that do not stay."""
-    classes = line_classes(docs, like)
-    every = settle(_occurrences(docs).join(classes, "line", "left").withColumn("kind", F.coalesce("component", "line")).select("doc", "place", "line", "kind"))
-    docs_of = every.groupBy("kind").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = settle(every.join(docs_of, "kind"))
-    places = met.filter("doc = first").groupBy("kind").agg(F.min("place").alias("at"))
-    return met.join(places, "kind").filter("doc <> first OR place <> at").select("doc", "place", "line")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int, int]] = {}
+
+        def close() -> pa.RecordBatch:
+            columns = [list(held), *map(list, zip(*held.values()))] if held else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["line", "doc", "row", "place"])
+
+        for batch in slices(batches):
+            for doc, row, text in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                for i, x in enumerate(_lines(text)):
+                    if x:
+                        own, mark = (doc, row, i), mark_of(x)
+                        if own < held.get(mark, _LAST):
+                            held[mark] = own
+            if len(held) > REMEMBERED:
+                yield close()
+                held.clear()
+        yield close()
+
+    ship_package(numbered.sparkSession)
+    own = numbered.select(F.col(_DOC).alias("doc"), F.col(_ROW).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = own.mapInArrow(run, "line long, doc long, row long, place long")
+    return found.groupBy("line").agg(F.min(F.struct("doc", "row", "place")).alias("first"))
+
+
+def staying(numbered: DataFrame, like: float = LIKE) -> DataFrame:
+    """doc, row, and the places and lines that stay there."""
+    kinds = _firsts(numbered).join(line_classes(numbered, like), "line", "left")
+    first = kinds.groupBy(F.coalesce("component", "line").alias("kind")).agg(F.min(F.struct("first", "line")).alias("x"))
+    kept = first.select("x.first.doc", "x.first.row", "x.first.place", "x.line")
+    return kept.groupBy("doc", "row").agg(F.collect_list("place").alias("places"), F.collect_list("line").alias("lines"))
 
 
 def deduplicate(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """``docs`` with the lines that stay; texts meet their lists in one join on the id."""
-    lists = repeated(docs, like).groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("line").alias("lines"))
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, places: pd.Series, lines: pd.Series) -> pd.Series:
-        out = []
-        for t, p, m in zip(text, places, lines):
-            if t is not None and p is not None and len(p):
-                gone = set(zip(p.tolist(), m.tolist()))
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip() or (i, mark_of(x.strip())) not in gone)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    met = own.join(lists, "doc", "left")
-    text = F.when(F.col("places").isNull(), F.col("own.text")).otherwise(kept("own.text", "places", "lines"))
-    return met.select(*[text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
+    numbered = _numbered(docs)
+    lists = staying(numbered, like).select(F.col("doc").alias(_DOC), F.col("row").alias(_ROW), F.struct("places", "lines").alias(_KEPT))
+    schema = docs.schema
+    at = schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for text, own in zip(batch.column("text").to_pylist(), batch.column(_KEPT).to_pylist()):
+                if text is not None:
+                    kept = set(zip(own["places"], own["lines"])) if own else ()
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if not (y := x.strip()) or (i, mark_of(y)) in kept)
+                out.append(text)
+            columns = [batch.column(i) for i in range(len(schema))]
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    met = numbered.join(lists, [_DOC, _ROW], "left").select(*docs.columns, _KEPT)
+    return met.mapInArrow(run, schema)

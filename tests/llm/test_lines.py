@@ -93,6 +93,39 @@ def test_pairs_across_the_border_of_signatures(spark):
     assert got == [(0, across[0][0]), (1, ""), (2, "word " * 20), (3, "")]
 
 
+def test_similarities():
+    rng = random.Random(1)
+    lines = ["".join(rng.choice("ab é") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a", "aaaaaaaaa", "漢字🙂"]
+    left, right = [rng.choice(lines) for _ in range(500)], [rng.choice(lines) for _ in range(500)]
+    sets = [(line_dedup.shingles(a), line_dedup.shingles(b)) for a, b in zip(left, right)]
+    assert line_dedup.similarities(left, right).tolist() == [len(a & b) / len(a | b) for a, b in sets]
+
+
+def test_rows_without_ids_and_versions_of_a_document(spark):
+    same, other = "the quick brown fox jumps over the lazy dog", "something else entirely"
+    rows = [(None, f"{same}\nx"), (None, f"{same}\ny"), (None, None), (3, f"{same}\n\n{other}"), (3, f"z\n{other}"), (5, f"{other}\n{other}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r["doc_id"], r["text"]) for r in line_dedup.deduplicate(frame).collect()]
+    assert sorted((t or "").replace(same, "S") for i, t in found if i is None) in (["", "S\nx", "y"], ["", "S\ny", "x"])
+    # Equal lines of a document's versions count once: the first place is that of the second version.
+    assert sorted(t for i, t in found if i is not None) == ["", "", f"z\n{other}"]
+
+
+def test_a_line_and_a_component_that_most_documents_have(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    base = " ".join(words)
+    rows = []
+    for i in range(400):
+        near = words[:]
+        near[rng.randrange(60)] = f"w{i:05d}"
+        rows.append((i, "\n".join(["the very same line", " ".join(near), f"own {i * 7919} {'x' * (i % 37)} {i * 104729}"])))
+    frame = spark.createDataFrame([*rows, (400, base)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(frame).collect()}
+    assert got[0] == rows[0][1] and got[400] == ""
+    assert all("same line" not in got[i] and words[30] not in got[i] and f"{i * 104729}" in got[i] for i in range(1, 400))
+
+
 def test_documents(spark, folder, documents):
     rows = op3_fuzzy_line_dedup(spark, folder).collect()
     want = {doc: (len(t.split("\n"))) for doc, t in documents}
