@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import quality
+from driftloom.functions.times import epoch_micros
 from driftloom.operators.skew import SEGMENT_ROWS, latest_per_key, window_over_key
 
 
@@ -109,10 +110,41 @@ def audit_windows(audit: DataFrame, width: str = "1 day", slide: str | None = No
     )
 
 
-def audit_sessions(audit: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Visits of one URL that follow each other within ``gap``, as sessions."""
+def partial_sessions(audit: DataFrame, gap: str = "30 minutes", slice_seconds: int = 86_400) -> DataFrame:
+    """Sessions of every URL within time slices; batch or stream.
+
+    Rows are grouped by URL and slice, so a URL that has a large part of all rows is spread over
+    as many tasks as it has slices. ``slice_seconds`` changes cost, not results.
+    """
+    number = F.floor(epoch_micros(audit, "crawled_at") / F.lit(slice_seconds * 1_000_000)).alias("slice")
     return (
-        audit.groupBy(F.session_window("crawled_at", gap).alias("w"), "url")
+        audit.groupBy("url", number, F.session_window("crawled_at", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("visits"), F.count_if(F.col("drift_detected")).alias("drift_events"))
         .select("url", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "visits", "drift_events")
     )
+
+
+def merged_sessions(partial: DataFrame) -> DataFrame:
+    """Whole sessions: parts of one URL that overlap, cut apart at the edge of a slice, are one.
+
+    A part ends one gap after its last visit, so it goes on in the next part if that starts
+    earlier. Parts are as many as sessions and slices, whatever the number of visits.
+    """
+    along = Window.partitionBy("url").orderBy("session_start")
+    apart = F.coalesce(F.lag("session_end").over(along) <= F.col("session_start"), F.lit(True))
+    numbered = partial.withColumn("_new", apart.cast("int")).withColumn("_number", F.sum("_new").over(along))
+    return (
+        numbered.groupBy("url", "_number")
+        .agg(
+            F.min("session_start").alias("session_start"),
+            F.max("session_end").alias("session_end"),
+            F.sum("visits").alias("visits"),
+            F.sum("drift_events").alias("drift_events"),
+        )
+        .drop("_number")
+    )
+
+
+def audit_sessions(audit: DataFrame, gap: str = "30 minutes", slice_seconds: int = 86_400) -> DataFrame:
+    """Visits of one URL that follow each other within ``gap``, as sessions."""
+    return merged_sessions(partial_sessions(audit, gap, slice_seconds))

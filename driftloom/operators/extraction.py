@@ -32,7 +32,12 @@ NODE = (
     .add("classes", T.ArrayType(T.StringType()))
     .add("attrs", TEXT_MAP)
     .add("text", T.StringType())
+    .add("rank", T.IntegerType())
+    .add("type_rank", T.IntegerType())
+    .add("first_piece", T.IntegerType())
+    .add("end_piece", T.IntegerType())
 )
+PIECE = T.StructType().add("kind", T.StringType()).add("text", T.StringType())
 
 
 def _per_row(
@@ -76,13 +81,22 @@ def apply_selectors(df: DataFrame, keep_html: bool = False) -> DataFrame:
     )
 
 
-def page_trees(df: DataFrame) -> DataFrame:
-    """Replace ``html`` by ``nodes``: the page's elements in document order."""
+def page_trees(df: DataFrame, pieces: bool = False) -> DataFrame:
+    """Replace ``html`` by ``nodes``: the page's elements in document order.
+
+    An element's text pieces are those from ``first_piece`` to before ``end_piece``; ``rank`` and
+    ``type_rank`` are its places among its parent's children. With ``pieces`` the page's pieces are
+    a column of their own, and elements carry no text: nested ones would repeat it.
+    """
 
     def tree(html):
         page = markup.read_page(html or "")
-        return (
-            [
+        places: dict = {}
+        nodes = []
+        for i, n in enumerate(page.nodes):
+            of_parent, of_type = (n.parent,), (n.parent, n.tag)
+            places[of_parent], places[of_type] = places.get(of_parent, 0) + 1, places.get(of_type, 0) + 1
+            nodes.append(
                 {
                     "pos": i,
                     "parent": n.parent,
@@ -91,13 +105,17 @@ def page_trees(df: DataFrame) -> DataFrame:
                     "id": n.attrs.get("id"),
                     "classes": n.attrs.get("class", "").split(),
                     "attrs": list(n.attrs.items()),
-                    "text": page.text(i),
+                    "text": None if pieces else page.text(i),
+                    "rank": places[of_parent],
+                    "type_rank": places[of_type],
+                    "first_piece": n.first_piece,
+                    "end_piece": n.end_piece,
                 }
-                for i, n in enumerate(page.nodes)
-            ],
-        )
+            )
+        return (nodes, [{"kind": k, "text": t} for k, t in page.pieces]) if pieces else (nodes,)
 
-    return _per_row(df, ["html"], [("nodes", T.ArrayType(NODE))], tree, ("html",))
+    more = [("pieces", T.ArrayType(PIECE))] if pieces else []
+    return _per_row(df, ["html"], [("nodes", T.ArrayType(NODE)), *more], tree, ("html",))
 
 
 def page_nodes(df: DataFrame) -> DataFrame:

@@ -158,6 +158,33 @@ def window_over_key(
     return add(plain, [key]).unionByName(hot.drop(SEGMENT))
 
 
+def last_over_key(
+    df: DataFrame, key: str, order: list[str], column: str, segment_rows: int = SEGMENT_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
+    """Replace ``column`` by its last value that is not NULL, up to each row in the order of the key.
+
+    However far back that is: a segment of a hot key starts with the last value of those before
+    it, one row per segment.
+    """
+    plain, cut = split_segments(df, key, order, segment_rows, counted)
+
+    def add(rows: DataFrame, by: list[str]) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn(column, F.last(column, ignorenulls=True).over(window))
+
+    if cut is None:
+        return add(plain, [key])
+    known = F.max_by(F.when(F.col(column).isNotNull(), F.col(column)), F.when(F.col(column).isNotNull(), F.struct(*order)))
+    ends = cut.groupBy(key, SEGMENT).agg(known.alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_into").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(F.col(key).alias("_key"), F.col(SEGMENT).alias("_into"), "_end")
+    starts = starts.withColumn("_start", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    # Broadcast: one value per segment, a few per core.
+    met = add(cut, [key, SEGMENT]).join(F.broadcast(starts), F.col(key).eqNullSafe(F.col("_key")) & (F.col(SEGMENT) == F.col("_into")))
+    met = met.withColumn(column, F.coalesce(column, "_start")).drop("_key", "_into", "_start", SEGMENT)
+    return add(plain, [key]).unionByName(met)
+
+
 def previous(column: str) -> callable:
     """``column`` of the row before, for ``window_over_key``."""
     return lambda window: F.lag(column).over(window)

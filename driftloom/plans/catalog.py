@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import dom, keys, parsing, quality, responses, similarity
-from driftloom.operators import analytics, drift, extraction, registry
+from driftloom.operators import analytics, drift, extraction, matching, registry
 from driftloom.operators.canary import canary
 from driftloom.operators.replay import registry_after, replay
 from driftloom.operators.skew import previous, window_over_key
 from driftloom.params import DEFAULT_SCHEMA_NAME, PRODUCT_FIELDS
 from driftloom.session import stateful_session
-from driftloom.sources import snapshots, tables
+from driftloom.sources import registry_log, snapshots, tables
 from driftloom.sources.derived import SPARK_WORDS, DerivedTables
 from driftloom.storage import settle, work_folder
 from driftloom.streaming import replay_stream as streams
@@ -191,6 +191,16 @@ def structural_similarity(t: DerivedTables) -> DataFrame:
     )
 
 
+@query
+def drift_as_of(t: DerivedTables) -> DataFrame:
+    """Every visit against the baseline accepted before it: some from its own visits, some from between them."""
+    prints = settle(drift.fingerprint(_keyed(snapshots.usable(t.shop_visits())).select("visit_id", "visit", "key", "crawled_at", "html", "visual_hash")))
+    half = F.col("crawled_at") + F.expr("INTERVAL 12 HOURS")
+    accepted = F.when(F.col("visit") % 3 == 1, half).otherwise(F.col("crawled_at"))
+    versions = prints.filter("visit % 3 <> 0").withColumn("accepted_at", accepted)
+    return drift.drift_as_of(prints.drop("visit"), versions, "key").select("visit_id", "key", *drift.REPORT_COLUMNS)
+
+
 @query
 def drift_report(t: DerivedTables) -> DataFrame:
     visits = _keyed(snapshots.usable(t.shop_visits()))
@@ -293,6 +303,16 @@ def selector_extract(t: DerivedTables) -> DataFrame:
     return found.select("visit_id", *[F.try_element_at("raw", F.lit(f)).alias(f) for f in PRODUCT_FIELDS])
 
 
+@query
+def selector_match(t: DerivedTables) -> DataFrame:
+    """``selector_extract`` as joins over stored elements."""
+    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "crawled_at", "html")
+    stored = t.registry().withColumn("selectors", _text_map(DESIGN_ONE))
+    found = matching.selector_match(registry.with_selectors(visits, stored).select("visit_id", "html", "selectors"))
+    fields = found.groupBy("visit_id").agg(*[F.max(F.when(F.col("field") == f, F.col("text"))).alias(f) for f in PRODUCT_FIELDS])
+    return visits.select("visit_id").join(fields, "visit_id", "left")
+
+
 # Selectors for the template the crawled pages share.
 SITE_SELECTORS = {
     "title": "article > h1",
@@ -583,6 +603,42 @@ def replay_stream(t: DerivedTables) -> DataFrame:
     return streams.read_table(t.spark, folder, "audit_log").select(*tables.AUDIT)
 
 
+@query
+def registry_change_log(t: DerivedTables) -> DataFrame:
+    """The registry that a stream's change log adds up to, with a base made on the way."""
+    folder = work_folder(t.spark)
+    visits, answers = t.shop_visits(), t.shop_responses()
+    arrived = visits.select("visit_id", "visit", "url", "schema_name", "crawled_at", "html", "visual_hash")
+    for low, high in ((1, 2), (3, 5), (6, t.VISITS)):
+        arrived.filter(F.col("visit").between(low, high)).write.mode("append").parquet(f"{folder}/in")
+        stream = snapshots.stream_snapshots(t.spark, f"{folder}/in", arrived.schema)
+        streams.replay_stream(stream, answers, folder, f"{folder}/state").awaitTermination()
+        if low == 3:
+            registry_log.compact(t.spark, folder, 1)
+    left = streams.current_registry(t.spark, folder)
+    return left.select(
+        "key", "url_pattern", "schema_name", F.to_json("selectors").alias("selectors"), "structural_hash",
+        F.size("structural_shingles").alias("n_shingles"), "visual_hash", "created_at", "last_validated_at",
+        "hit_count", "miss_count", "llm_tokens_spent", "ttl_seconds",
+    )
+
+
+@query
+def audit_sessions_stream(t: DerivedTables) -> DataFrame:
+    folder = work_folder(t.spark)
+    session = stateful_session(t.spark, t.table("events").rdd.getNumPartitions())
+    log = DerivedTables(session, t.folder).crawl_log().select("url", "crawled_at", "drift_detected")
+    log.write.parquet(f"{folder}/in")
+    # A row long after all others closes what is open; its own session stays so.
+    end = log.agg(F.max("crawled_at").alias("last")).select(F.lit("").alias("url"), (F.col("last") + F.expr("INTERVAL 30 DAYS")).alias("crawled_at"), F.lit(False).alias("drift_detected"))
+    stream = session.readStream.schema(log.schema).parquet(f"{folder}/in")
+    for more in (None, end):
+        if more is not None:
+            more.write.mode("append").parquet(f"{folder}/in")
+        windows.write_sessions(windows.audit_sessions_stream(stream, "12 hours"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return windows.read_sessions(t.spark, f"{folder}/out")
+
+
 @query
 def audit_windows_stream(t: DerivedTables) -> DataFrame:
     folder = work_folder(t.spark)

@@ -636,7 +636,19 @@ def oracle_sql() -> dict[str, str]:
                 FROM p LEFT JOIN o ON o.k = p.key LEFT JOIN p AS b ON b.visit_id = o.shown_origin)
         SELECT visit_id, has_drift, drift_severity, structural_similarity, visual_similarity
         FROM ({_report('SELECT * FROM c', 'visit_id')}) AS r"""
+    # The last version accepted before the visit, by DuckDB's own as-of join.
+    as_of = f"""
+        WITH p AS MATERIALIZED ({_printed(_usable(), "visit_id, visit, key, crawled_at, visual_hash")}),
+          b AS (SELECT key, structural_hash, shingles, visual_hash,
+                  crawled_at + CASE WHEN visit % 3 = 1 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS accepted_at
+                FROM p WHERE visit % 3 <> 0)
+        SELECT p.*, b.structural_hash AS b_hash, b.shingles AS b_shingles, b.visual_hash AS b_visual
+        FROM p ASOF LEFT JOIN b ON p.key = b.key AND p.crawled_at > b.accepted_at"""
+    checks["drift_as_of"] = _report(as_of, "visit_id, key")
+    checks["selector_match"] = checks["selector_extract"]
     # The streams must end where the batch jobs do.
+    checks["registry_change_log"] = checks["registry_after_replay"]
+    checks["audit_sessions_stream"] = checks["audit_sessions"]
     checks["replay_stream"] = checks["audit_log"]
     checks["audit_windows_stream"] = checks["audit_windows"]
     return checks

@@ -1,14 +1,14 @@
 """The visit state machine on a stream of snapshots.
 
-Every micro-batch is a replay of its own, from the registry that the one before left: rows are
-sorted by Spark and pass one by one, so a key may bring any number of visits, and hot keys are
-cut as in the batch job. Under ``folder`` a micro-batch writes its own partition of
+Every micro-batch is a replay of its own, from the entries that the one before left for the keys
+it visits: rows are sorted by Spark and pass one by one, so a key may bring any number of visits,
+and hot keys are cut as in the batch job. Under ``folder`` a micro-batch writes its own partition of
 
 * ``extractions`` and ``audit_log``,
 * ``late_visits``: visits older than the last one of their key, kept but not replayed,
-* ``registry`` and ``last_seen``: what the next micro-batch starts from.
+* ``changes``: the registry's change log (``sources.registry_log``), rows of its own keys only.
 
-A micro-batch that is run again reads the same versions and replaces its own partitions.
+A micro-batch that is run again starts from the same entries and replaces its own partitions.
 """
 
 from __future__ import annotations
@@ -19,36 +19,29 @@ from pyspark.sql import functions as F
 from driftloom.functions import keys
 from driftloom.functions.times import epoch_micros
 from driftloom.operators import drift as drifts
-from driftloom.operators.registry import SCHEMA
 from driftloom.operators.replay import registry_after, replay
 from driftloom.params import DriftParams, RegistryParams
-from driftloom.sources import snapshots, tables
+from driftloom.sources import registry_log, snapshots, tables
 from driftloom.storage import settle
 
-_SEEN = "key string, seen_us long, seen_id long"
-
-
-def _version(spark: SparkSession, folder: str, name: str, number: int, schema) -> DataFrame:  # noqa: ANN001
-    if number < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={number}")
-
 
 def replay_batch(
     visits: DataFrame, responses: DataFrame, folder: str, number: int, drift: DriftParams, registry: RegistryParams
 ) -> None:
-    """One micro-batch: outcomes, late visits, and the state for the next one."""
+    """One micro-batch: outcomes, late visits, and what changed in the registry."""
     spark = visits.sparkSession
 
     def save(rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-    stored = _version(spark, folder, "registry", number - 1, SCHEMA)
-    seen = _version(spark, folder, "last_seen", number - 1, _SEEN)
     key = keys.registry_key(F.col("url"), F.col("schema_name"))
-    narrow = visits.select("visit_id", key.alias("key"), epoch_micros(visits, "crawled_at").alias("at_us"))
+    # Pages are read twice, by the replay and for the fingerprints of new entries; all else reads this.
+    narrow = settle(visits.select("visit_id", key.alias("key"), epoch_micros(visits, "crawled_at").alias("at_us")))
+    state = settle(registry_log.latest(spark, folder, number, narrow.select("key").distinct()))
+    stored = registry_log.entries(state)
+    before = state.select("key", "seen_us", "seen_id")
     behind = (F.col("at_us") < F.col("seen_us")) | ((F.col("at_us") == F.col("seen_us")) & (F.col("visit_id") <= F.col("seen_id")))
-    late = settle(narrow.join(seen, "key").filter(behind).select("visit_id", "key", "at_us", "seen_us"))
+    late = settle(narrow.join(before, "key").filter(behind).select("visit_id", "key", "at_us", "seen_us"))
     save(late, "late_visits")
     # Late visits are few: Spark broadcasts their ids unless they exceed its limit.
     timely = visits.join(late.select("visit_id"), "visit_id", "left_anti")
@@ -57,11 +50,9 @@ def replay_batch(
     save(rows.select(*tables.EXTRACTIONS), "extractions")
     save(rows.select(*tables.AUDIT), "audit_log")
     prints = drifts.fingerprint(snapshots.usable(timely).select("visit_id", "html"), drift.shingle_size)
-    save(tables.whole_registry(registry_after(outcomes, prints, registry, stored)), "registry")
-    last = F.max_by(F.struct("at_us", "visit_id"), F.struct("at_us", "visit_id"))
-    newest = narrow.groupBy("key").agg(last.alias("n")).select("key", "n.at_us", "n.visit_id")
-    both = seen.unionAll(newest).groupBy("key").agg(F.max(F.struct("seen_us", "seen_id")).alias("s"))
-    save(both.select("key", "s.seen_us", "s.seen_id"), "last_seen")
+    newest = narrow.groupBy("key").agg(F.max(F.struct(F.col("at_us").alias("seen_us"), F.col("visit_id").alias("seen_id"))).alias("s"))
+    both = newest.unionAll(before.select("key", F.struct("seen_us", "seen_id").alias("s"))).groupBy("key").agg(F.max("s").alias("s"))
+    registry_log.write_changes(both.select("key", "s.seen_us", "s.seen_id"), registry_after(outcomes, prints, registry, stored), folder, number)
 
 
 def replay_stream(
@@ -81,5 +72,10 @@ def replay_stream(
     return job.trigger(availableNow=True).start()
 
 
+def current_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry as all finished micro-batches left it."""
+    return registry_log.entries(registry_log.latest(spark, folder))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("bigint"))
