@@ -11,9 +11,9 @@ Compatibility is tested on the two tokens' own merge trees: from the joined stat
 later merge is undone, and the pair then facing each other at the border must not merge before it.
 Tokens whose trees have equal or falling ranks are tested by merging their text instead.
 
-Texts are cut where no merge can pass (before a run of spaces, around characters that no longer
-piece has), and a piece of text that comes again is looked up. A model whose pieces have
-spaces inside is not cut.
+Texts are cut where no merge can pass (before a run of spaces, between characters that are in no
+piece together), and a part that comes again is looked up. A model whose pieces have spaces inside
+is not cut.
 
 Characters without a piece become byte ids, or the unknown id where the model has none. Null texts
 are empty ones and have the end id only; ids that are null decode to the empty text. Rows are
@@ -42,7 +42,7 @@ from driftloom.shipping import ship_package
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Remembered pieces of text per worker; beyond that the memory starts anew. Longer ones are not kept.
-MEMORY = 900_000
+MEMORY = 400_000
 LONGEST = 40
 
 
@@ -99,9 +99,15 @@ class Merges:
                 right, limit = halves[right][0], b + 1
 
 
+@lru_cache(maxsize=2)
+def library(name: str) -> SentencePieceProcessor:
+    """The library's own processor of a public model file (a name in its folder, or a path)."""
+    return SentencePieceProcessor(model_file=name if "/" in name else public_tokenizers.path(name))
+
+
 class Encoder:
     def __init__(self, path: str):
-        self.library = SentencePieceProcessor(model_file=path)
+        self.library = library(path)
         spec = model_pb2.ModelProto()
         spec.ParseFromString(self.library.serialized_model_proto())
         if spec.trainer_spec.model_type != model_pb2.TrainerSpec.BPE:
@@ -127,12 +133,23 @@ class Encoder:
         self.cut = self._cutter()
 
     def _cutter(self) -> re.Pattern[str] | None:
-        """Where texts may be cut: no piece goes from another character into a space, or over a lone one."""
+        """Where texts may be cut: no piece goes from another character into a space, or over a cut.
+
+        Characters that are neighbours in some piece stay together, with the spaces before them.
+        """
         longer = [p for p in self.ids if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             return None
-        inner = re.escape("".join(sorted(set("".join(longer)) - {SPACE})))
-        return re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{SPACE}{inner}]", re.S) if inner else re.compile(f"{SPACE}+|[^{SPACE}]", re.S)
+        kinds: dict[str, set[str]] = {}
+        for piece in longer:
+            own = set(piece) - {SPACE}
+            for other in {id(kinds[c]): kinds[c] for c in own if c in kinds}.values():
+                own |= other
+            kinds.update(dict.fromkeys(own, own))
+        different = {id(k): "".join(sorted(k)) for k in kinds.values()}
+        together = [f"[{re.escape(k)}]+" for k in sorted(different.values(), key=len, reverse=True)]
+        alone = f"[^{SPACE}{re.escape(''.join(sorted(kinds)))}]"
+        return re.compile("|".join([*([f"{SPACE}*(?:{'|'.join(together)})"] if together else []), f"{SPACE}+", alone]), re.S)
 
     def last_tokens(self, text: str) -> list[str | None]:
         """The last token of the encoding of every prefix, from that of one character on; none if no piece has it."""
@@ -196,8 +213,8 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    """The encoder of a public model file (a name in its folder, or a path)."""
-    return Encoder(name if "/" in name else public_tokenizers.path(name))
+    """The encoder of a public model file, once per worker."""
+    return Encoder(name)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: bool = True) -> DataFrame:
@@ -222,10 +239,11 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ship_package(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(vocabulary).library
+        known = library(vocabulary)
         for batch in batches:
-            texts = [known.decode(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            ids = batch.column("ids")
+            texts = pa.array((known.decode(row.values.to_pylist() if row.is_valid else []) for row in ids), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
