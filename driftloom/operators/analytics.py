@@ -127,11 +127,11 @@ def partial_sessions(audit: DataFrame, gap: str = "30 minutes", slice_seconds: i
 def merged_sessions(partial: DataFrame) -> DataFrame:
     """Whole sessions: parts of one URL that overlap, cut apart at the edge of a slice, are one.
 
-    A part ends one gap after its last visit, so it goes on in the next part if that starts
-    earlier. Parts are as many as sessions and slices, whatever the number of visits.
+    A part ends one gap after its last visit, so it goes on in the next part if that starts by
+    then, as in Spark's own session windows. Parts are as many as sessions and slices, whatever the number of visits.
     """
     along = Window.partitionBy("url").orderBy("session_start")
-    apart = F.coalesce(F.lag("session_end").over(along) <= F.col("session_start"), F.lit(True))
+    apart = F.coalesce(F.lag("session_end").over(along) < F.col("session_start"), F.lit(True))
     numbered = partial.withColumn("_new", apart.cast("int")).withColumn("_number", F.sum("_new").over(along))
     return (
         numbered.groupBy("url", "_number")

@@ -610,7 +610,7 @@ def oracle_sql() -> dict[str, str]:
               count(*) FILTER (WHERE drift_detected) AS drift_events, CAST(sum(llm_tokens_used) AS BIGINT) AS tokens
             FROM (SELECT *, unnest([0, 1]) AS back FROM ({log}) AS l) AS l GROUP BY 1, 2""",
         "audit_sessions": f"""
-            WITH l AS (SELECT url, crawled_at, drift_detected, id, coalesce(crawled_at - lag(crawled_at) OVER o >= INTERVAL 12 HOUR, true) AS starts
+            WITH l AS (SELECT url, crawled_at, drift_detected, id, coalesce(crawled_at - lag(crawled_at) OVER o > INTERVAL 12 HOUR, true) AS starts
                 FROM ({log}) AS l WINDOW o AS (PARTITION BY url ORDER BY crawled_at, id)),
               s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY url ORDER BY crawled_at, id) AS n FROM l)
             SELECT url, min(crawled_at)::TIMESTAMP AS session_start, max(crawled_at)::TIMESTAMP + INTERVAL 12 HOUR AS session_end,
