@@ -13,7 +13,8 @@ ERROR_CHARS = 500
 def unfence(text: Column) -> Column:
     """Strip white space, one leading code fence and one trailing code fence."""
     opened = F.regexp_replace(strip(text), r"^```(?:json)?\s*", "")
-    return F.regexp_replace(opened, r"\s*```\z", "")
+    bare = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))  # most: no pattern is run
+    return F.when(bare, text).otherwise(F.regexp_replace(opened, r"\s*```\z", ""))
 
 
 _TEXTS = "struct<extracted:map<string,string>,selectors:map<string,string>,confidence:double,notes:string>"
