@@ -1,7 +1,12 @@
 """Main texts of pages against a plain rule for the given ones, and pages of other makes."""
 
 import html
+import random
 import re
+import time
+from collections import defaultdict
+
+import pytest
 
 from driftloom.llm import templates
 from driftloom.llm.queries import op4_template_removal
@@ -14,7 +19,9 @@ def plain(page):
     return "\n\n".join(b for b in blocks if b)
 
 
-def test_given_pages(spark, folder):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_given_pages(spark, size):
+    folder = f"/root/testdata/{size}"
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = op4_template_removal(spark, folder).collect()
     assert len(rows) == len(pages)
@@ -87,3 +94,54 @@ def test_designs_of_a_host_and_small_hosts(spark):
     got = {r["page_id"]: r["text"] for r in templates.extract(frame).collect()}
     want = {i: f"Text {i} of page" for i in range(60)} | {100 + i: f"Text {i} of page" for i in range(5)}
     assert got == want | {200 + i: f"The article that is shown again\n\nby {i}" for i in range(10)}
+
+
+def test_nothing_of_an_article_goes_for_its_words(spark):
+    """Words, headings and paragraphs that all pages of a host share are text all the same."""
+    rows = []
+    for i in range(40):
+        body = f"<h2>Introduction</h2><p>Before use {i}, you must <em>not</em> open valve {i % 7}.</p><p>Mind the <b>pressure</b>.</p><div>Always the same</div><h2>References</h2><ul><li>One</li></ul><p>Seen {i * i}</p>"
+        rows.append((i, f"https://one.example/{i}", f"<body><nav><a href=/>Home</a></nav><article><h1>Page {i}</h1>{body}<div class=k9><p>Our shop is open</p><p>every day</p></div></article></body>"))
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {
+        i: f"Page {i}\n\nIntroduction\n\nBefore use {i}, you must not open valve {i % 7}.\n\nMind the pressure.\n\nAlways the same\n\nReferences\n\nSeen {i * i}" for i in range(40)
+    }
+
+
+def test_counting_against_plain_rules(spark):
+    rng = random.Random(11)
+    parts = [f"<div class=x{k}><p>Part {k}</p></div>" for k in range(6)] + ["<ul><li><a>a</a><li><a>b</a></ul>", "<p>Line</p>", "<section>S <b>x</b></section>"]
+    rows = []
+    for i in range(250):
+        host = rng.choice(["hot", "hot", "hot", "b", "c", "d"])
+        inside = "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
+        rows.append((i, f"https://{host}.example/{i % 90}", f"<body>{inside}<div><p>Own {i % 120}</p></div></body>"))
+    rows += [(900, "https://few.example/", rows[0][2]), (901, None, rows[1][2]), (902, None, None)]
+    pages, want = defaultdict(set), {}
+    for _, url, source in rows:
+        page = templates.parse(source or "")
+        pages[url.split("/")[2] if url else ""].add((page.design, "".join(p for p, _ in page.pieces), frozenset(templates.candidates(page))))
+    for host, own in pages.items():
+        groups = {templates.WHOLE: own}
+        for design in {d for d, *_ in own}:
+            members = {x for x in own if x[0] == design}
+            if len(members) >= templates.DESIGN_SHARE * len(own):
+                groups[design] = members
+        for design, members in groups.items():
+            for mark in set().union(*(x[2] for x in members)):
+                n = sum(mark in x[2] for x in members)
+                if n >= templates.LEAST_PAGES and 2 * n > len(members):
+                    want.setdefault(host, set()).add((design, mark))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["host"]: {(x["design"] % (1 << 64), x["hash"] % (1 << 64)) for x in r["templates"]} for r in templates.host_templates(frame).collect()}
+    assert got == want and len(want["hot.example"]) > 3
+
+
+def test_deep_nesting_is_read_in_one_pass():
+    def seconds(n):
+        start = time.process_time()
+        assert templates.main_text("<div><p>x" * n + "<p>last words") .endswith("last words")
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(20_000) < 40 * max(seconds(2_000), 0.02)
