@@ -36,6 +36,8 @@ SHINGLE_WORDS = 4
 SEED = 42
 HALF = 2
 BLOCKS = 10
+#: Rows that one task makes of the fingerprints it gets, about.
+TASK_ROWS = 1 << 20
 _FEW = 256
 _MANY = 4096
 
@@ -94,6 +96,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray
             yield every[low : low + size]
 
 
+def _spread(fps: DataFrame, rows: int) -> DataFrame:
+    """``fps`` (stored) dealt out for a step that makes ``rows`` rows of each; no task makes many more than others."""
+    tasks = -(-fps.count() * rows // TASK_ROWS)
+    return fps.repartition(max(tasks, fps.sparkSession.sparkContext.defaultParallelism))
+
+
 def with_partners(fps: DataFrame) -> DataFrame:
     """Those of the distinct ``fps`` that share a choice of blocks with another one."""
 
@@ -119,7 +127,7 @@ def with_partners(fps: DataFrame) -> DataFrame:
                 ["at", "fp", "sure"],
             )
 
-    keyed = fps.select("fp").mapInArrow(run, "at long, fp long, sure boolean")
+    keyed = _spread(fps.select("fp"), len(_block_masks())).mapInArrow(run, "at long, fp long, sure boolean")
     meet = Window.partitionBy("at").orderBy("fp")
     found = keyed.withColumn("left", F.lag("fp").over(meet)).withColumn("right", F.lead("fp").over(meet))
     return found.filter("sure OR left <> fp OR right <> fp").select("fp").distinct()
@@ -133,7 +141,7 @@ def _arrived(fps: DataFrame) -> DataFrame:
         for own in _chunks(batches, _FEW):
             yield pa.RecordBatch.from_arrays([pa.array(signed((own[:, None] ^ ball).reshape(-1))), pa.array(signed(np.repeat(own, len(ball))))], ["at", "fp"])
 
-    return fps.mapInArrow(run, "at long, fp long")
+    return _spread(fps, len(_ball())).mapInArrow(run, "at long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -183,6 +191,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     texts = shared.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     marks = fingerprints(texts.select(F.col("mark").alias("doc_id"), "text")).distinct().select(F.col("doc_id").alias("mark"), "fp")
     met = shared.select(own.alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).join(marks, "mark")
-    first = met.groupBy("id", "fp").agg(F.min("own").alias("own"))
+    # By their text, as columns may be of kinds that have no order.
+    first = met.groupBy("id", "fp").agg(F.min_by("own", F.to_json("own")).alias("own"))
     kept = first.join(chosen.withColumnRenamed("fp", "print"), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
     return once.unionAll(kept.select("own.*"))

@@ -86,6 +86,12 @@ def test_rows_without_ids_and_repeated_rows(spark, monkeypatch):
     assert sorted(map(tuple, simhash.first_of_each(frame).collect()), key=str) == sorted([(3, "c"), (None, "d"), (7, "e")], key=str)
 
 
+def test_columns_of_kinds_without_an_order(spark):
+    rows = [(1, "one two", {"a": 1}), (1, "one  two", {"a": 2}), (None, "one two", {}), (2, "else", None)]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"))
+    assert sorted((r["doc_id"], r["text"], r["more"]) for r in kept.collect()) == [(1, "one  two", {"a": 2}), (2, "else", None)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_links_connect_all_pairs_within_the_radius(spark, seed):
     rng = np.random.default_rng(seed)
