@@ -38,6 +38,7 @@ SAMPLE = 200_000
 THIRDS = 3
 PRIOR = 10.0
 DRIFT = 0.6
+REACH = 256
 THRESHOLD = 0.3
 HELD_OUT = 2
 _BINS, _LOW, _HIGH = 4000, -40.0, 160.0
@@ -101,12 +102,16 @@ def segments(steps: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _steps(buckets: np.ndarray, firsts: np.ndarray, model: Model) -> np.ndarray:
-    """Steps of all tokens; a token that its row has had before adds nothing but the drift."""
+    """Steps of all tokens; a token that its row has had within ``REACH`` tokens adds nothing but the drift.
+
+    So one word said over and over is no passage, and a passage that comes again later is one.
+    """
     steps = model.steps[buckets]
     row = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     own = (row << BITS) | buckets
     order = np.argsort(own, kind="stable")
-    again = order[1:][own[order[1:]] == own[order[:-1]]]
+    near = (own[order[1:]] == own[order[:-1]]) & (order[1:] - order[:-1] <= REACH)
+    again = order[1:][near]
     steps[again] = np.minimum(steps[again], -DRIFT)
     return steps
 

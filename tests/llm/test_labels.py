@@ -74,6 +74,23 @@ def test_toxicity_of_odd_rows(spark, odd, empty, folder):
     assert {r["score"] for r in toxicity.score(odd, without).collect()} == {0.0}
 
 
+def test_a_passage_that_comes_again_is_a_passage(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    words = sorted({w for r in docs.select("text").collect() for w in re.findall("[a-z]+", (r["text"] or "").lower())})
+    bucket = {w: int(toxicity.tokens(pa.array([w]))[0][0]) for w in words}
+    ranked = sorted(words, key=lambda w: model.steps[bucket[w]])
+    mild, bad = ranked[: len(ranked) // 3], ranked[-20:]
+    rng = random.Random(7)
+    text = [rng.choice(mild) for _ in range(1200)]
+    text[400:420] = text[820:840] = bad
+    found = toxicity.passages(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), model).collect()
+    assert any(r["first_token"] <= 405 and r["last_token"] >= 414 for r in found) and any(r["first_token"] <= 825 and r["last_token"] >= 834 for r in found)
+    # One word over and over is no more than that word once.
+    again = spark.createDataFrame([(1, " ".join([bad[-1]] * 500))], "doc_id long, text string")
+    assert all(r["first_token"] == r["last_token"] == 0 for r in toxicity.passages(again, model).collect())
+
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
