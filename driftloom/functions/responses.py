@@ -39,6 +39,11 @@ def _last_of_each(entries: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.transform(kept, lambda r: r["e"])))
 
 
+def _by_key(texts: Column) -> Column:
+    """The map in order of its keys, which are different."""
+    return F.map_from_entries(F.array_sort(F.map_entries(texts)))
+
+
 def _shown(texts: Column, kinds: Column) -> Column:
     """Entries of texts, in order; booleans read ``True`` and ``False``."""
 
@@ -78,7 +83,7 @@ def parse_responses(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     kinds = F.map_entries(F.from_json(F.when(ok, body), _KINDS)["extracted"])
     careful = _last_of_each(_shown(F.map_entries(texts), kinds))
     doubtful = F.exists(F.map_values(texts), lambda v: v.isin("true", "false"))
-    extracted = F.when(~ok, empty).when(plain & ~doubtful, texts).otherwise(careful)
+    extracted = F.when(~ok, empty).when(plain & ~doubtful, _by_key(texts)).otherwise(careful)
 
     def typed(field: str) -> Column:
         slow = F.element_at(F.filter(kinds, lambda e: e["key"] == field), -1)["value"]
@@ -90,7 +95,7 @@ def parse_responses(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     price_kind = F.schema_of_variant(price)
     columns = {
         "extracted": F.coalesce(extracted, empty),
-        "selectors": F.coalesce(F.when(plain, selectors).otherwise(_last_of_each(F.map_entries(selectors))), empty),
+        "selectors": F.coalesce(F.when(plain, _by_key(selectors)).otherwise(_last_of_each(F.map_entries(selectors))), empty),
         "confidence": F.when(ok, F.coalesce("_texts.confidence", F.lit(0.5))),
         "notes": F.when(ok, F.coalesce("_texts.notes", F.lit(""))),
         "price_number": F.when(

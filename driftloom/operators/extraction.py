@@ -7,6 +7,7 @@ small columns travel on. Which selectors a page gets is decided by a join before
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from driftloom.functions import markup, parsing, quality
 from driftloom.params import MAX_SECTION_CHARS, MIN_SECTION_CHARS
 from driftloom.shipping import ship_package
-from driftloom.storage import settle
+from driftloom.storage import read_or_empty, settle, work_folder
 
 TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -157,7 +158,10 @@ def run_extractor(
     raises becomes an answer that is no JSON, so it is recorded as an error of that visit.
     Calls may be paid for, so the answers are stored before anything reads them.
     """
+    return settle(_answers(queue, function))
 
+
+def _answers(queue: DataFrame, function: Callable[[str, str], tuple[dict, dict, int, int]]) -> DataFrame:
     def answer(html, url):
         try:
             fields, selectors, given, made = function(html, url)
@@ -167,7 +171,41 @@ def run_extractor(
 
     count = T.LongType()
     outputs = [("raw_text", T.StringType()), ("input_tokens", count), ("output_tokens", count)]
-    return settle(_per_row(queue, ["html", "url"], outputs, answer, ("html",)))
+    return _per_row(queue, ["html", "url"], outputs, answer, ("html",))
+
+
+ANSWER = "visit_id long, content string, raw_text string, input_tokens long, output_tokens long"
+
+
+def run_extractor_resumably(
+    queue: DataFrame, function: Callable[[str, str], tuple[dict, dict, int, int]], folder: str, group_rows: int = 10_000
+) -> DataFrame:
+    """``run_extractor`` over a queue (visit_id, url, html) whose answers survive a run that ends early.
+
+    Answers are kept in ``folder`` by visit and content. What is there already is taken off the
+    queue before any call; the rest is called in groups of about ``group_rows`` pages, each stored
+    when it is done. A run that is started again pays for the pages of the group that was under
+    way, at most. A page whose text has changed since is called again.
+    """
+    spark = queue.sparkSession
+    content = F.sha2(F.coalesce("html", F.lit("")), 256).alias("content")
+    wanted = settle(queue.select("visit_id", content).distinct())
+    known = read_or_empty(spark, f"{folder}/answers", ANSWER)
+    left = settle(wanted.join(known.select("visit_id", "content"), ["visit_id", "content"], "left_anti"))
+    groups = -(-left.count() // group_rows)
+    if groups:
+        # Pages are dealt into their groups once; a group reads its own files only.
+        pages = work_folder(spark)
+        group = F.pmod(F.xxhash64("visit_id", "content"), F.lit(groups)).alias("group")
+        asked = queue.select("visit_id", "url", "html", content).join(left, ["visit_id", "content"], "left_semi").dropDuplicates(["visit_id", "content"])
+        asked.select("*", group).repartition("group", F.pmod(F.xxhash64("visit_id"), F.lit(64))).write.partitionBy("group").parquet(pages)
+        dealt = spark.read.schema("visit_id long, content string, url string, html string, group long").parquet(pages)
+        run = uuid.uuid4().hex
+        for number in range(groups):
+            answers = _answers(dealt.filter(F.col("group") == number).drop("group"), function)
+            answers.select("visit_id", "content", "raw_text", "input_tokens", "output_tokens").write.parquet(f"{folder}/answers/run={run}-{number:06d}")
+    known = read_or_empty(spark, f"{folder}/answers", ANSWER).dropDuplicates(["visit_id", "content"])
+    return known.join(wanted, ["visit_id", "content"], "left_semi").drop("content", "run")
 
 
 # Rank of a candidate selector by how it starts: ids, then data attributes, then classes.

@@ -72,6 +72,15 @@ def extraction_queue(visits: DataFrame, registry: DataFrame) -> DataFrame:
     return visits.join(registry, _live_pairs(visits, registry), "left_anti")
 
 
+def queued_pages(visits: DataFrame, pages: DataFrame, registry: DataFrame, ident: str = "visit_id") -> DataFrame:
+    """The rows of ``pages`` (``ident``, html and more) that need an extractor.
+
+    ``visits`` are the narrow columns that decide it (``ident``, key, crawled_at); only the ids
+    that are wanted meet the pages.
+    """
+    return pages.join(extraction_queue(visits, registry).select(ident), ident, "left_semi")
+
+
 def with_selectors(visits: DataFrame, registry: DataFrame, at: str = "crawled_at") -> DataFrame:
     """Every visit with the ``selectors`` of its key's live entry, or NULL.
 

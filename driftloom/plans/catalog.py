@@ -372,8 +372,8 @@ def content_section(t: DerivedTables) -> DataFrame:
 @query
 def extraction_requests(t: DerivedTables) -> DataFrame:
     """Request texts for the visits of pages no live registry entry covers."""
-    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "url", "key", "crawled_at", "html")
-    queue = registry.extraction_queue(visits, t.registry())
+    visits = _keyed(snapshots.usable(t.shop_visits()))
+    queue = registry.queued_pages(visits.select("visit_id", "key", "crawled_at"), visits.select("visit_id", "url", "html"), t.registry())
     done = extraction.content_sections(queue.select("visit_id", "url", "html"))
     request = extraction.request_text(F.col("url"), F.col("section"))
     return done.select("visit_id", F.length(request).alias("n_chars"), F.md5(request).alias("digest"))
@@ -390,12 +390,23 @@ def _page_heading(html: str, url: str) -> tuple[dict, dict, int, int]:
 @query
 def extractor_run(t: DerivedTables) -> DataFrame:
     """A user's extractor over the work queue, its answers ingested like any others."""
-    visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "url", "key", "crawled_at", "html")
-    queue = registry.extraction_queue(visits, t.registry()).select("visit_id", "url", "html")
+    visits = _keyed(snapshots.usable(t.shop_visits()))
+    queue = registry.queued_pages(visits.select("visit_id", "key", "crawled_at"), visits.select("visit_id", "url", "html"), t.registry())
     parsed = responses.parse_responses(extraction.run_extractor(queue, _page_heading))
     return parsed.select("visit_id", "ok", F.try_element_at("extracted", F.lit("title")).alias("title"), "tokens")
 
 
+@query
+def extractor_resumed(t: DerivedTables) -> DataFrame:
+    """The same in groups whose answers are kept, after a run that only saw a part of the queue."""
+    visits = _keyed(snapshots.usable(t.shop_visits()))
+    queue = registry.queued_pages(visits.select("visit_id", "key", "crawled_at"), visits.select("visit_id", "url", "html"), t.registry())
+    folder = work_folder(t.spark)
+    extraction.run_extractor_resumably(queue.filter("visit_id % 3 = 0"), _page_heading, folder)
+    parsed = responses.parse_responses(extraction.run_extractor_resumably(queue, _page_heading, folder))
+    return parsed.select("visit_id", "ok", F.try_element_at("extracted", F.lit("title")).alias("title"), "tokens")
+
+
 @query
 def selector_induction(t: DerivedTables) -> DataFrame:
     known = {"title": F.col("title"), "price": F.concat(F.lit("$"), F.col("price")), "in_stock": F.col("stock"),
@@ -654,9 +665,9 @@ def audit_windows_stream(t: DerivedTables) -> DataFrame:
 
 @query
 def scan_html_files(t: DerivedTables) -> DataFrame:
-    """All pages of a site as one file per hundredth of the sites, read back as whole texts."""
+    """Pages as HTML files of a hundred pages each, read back as whole texts."""
     folder = work_folder(t.spark)
-    bucket = F.pmod(F.col("page_id"), F.lit(100)).alias("bucket")
+    bucket = F.floor(F.col("page_id") / 100).alias("bucket")
     pages = t.table("pages").select(bucket, "page_id", F.regexp_replace("html", "\\n", " ").alias("value"))
     dealt = pages.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "value")
     dealt.write.partitionBy("bucket").option("maxRecordsPerFile", 0).text(folder)

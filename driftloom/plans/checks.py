@@ -620,7 +620,7 @@ def oracle_sql() -> dict[str, str]:
             FROM ({log}) AS l GROUP BY 1, 2""",
         "scan_html_files": """
             SELECT bucket, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest
-            FROM (SELECT page_id % 100 AS bucket, string_agg(replace(html, chr(10), ' ') || chr(10), '' ORDER BY page_id) AS t
+            FROM (SELECT page_id // 100 AS bucket, string_agg(replace(html, chr(10), ' ') || chr(10), '' ORDER BY page_id) AS t
                   FROM pages GROUP BY 1) AS b""",
     }
     # A history in two parts ends where the whole one does.
@@ -646,6 +646,7 @@ def oracle_sql() -> dict[str, str]:
         FROM p ASOF LEFT JOIN b ON p.key = b.key AND p.crawled_at > b.accepted_at"""
     checks["drift_as_of"] = _report(as_of, "visit_id, key")
     checks["selector_match"] = checks["selector_extract"]
+    checks["extractor_resumed"] = checks["extractor_run"]
     # The streams must end where the batch jobs do.
     checks["registry_change_log"] = checks["registry_after_replay"]
     checks["audit_sessions_stream"] = checks["audit_sessions"]

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from driftloom.operators import registry
 from driftloom.operators.skew import latest_per_key
+from driftloom.storage import read_or_empty
 
 STATE = T.StructType(
     [
@@ -33,16 +34,6 @@ STATE = T.StructType(
 _BATCH = T.StructField("batch", T.LongType())
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table; one that is not there is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as problem:  # noqa: BLE001 - analysis errors differ by storage
-        if "PATH_NOT_FOUND" not in str(problem) and "does not exist" not in str(problem):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def _base_before(spark: SparkSession, folder: str, number: int) -> int | None:
     """The newest base made of batches before ``number``."""
     done = read_or_empty(spark, f"{folder}/compactions", T.StructType([T.StructField("upto", T.LongType())]))

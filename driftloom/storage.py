@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A stored table; one that is not there is empty, never an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as problem:  # noqa: BLE001 - analysis errors differ by storage
+        if "PATH_NOT_FOUND" not in str(problem) and "does not exist" not in str(problem):
+            raise
+        return spark.createDataFrame([], schema)
