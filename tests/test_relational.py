@@ -173,3 +173,77 @@ def test_no_python_once_pages_are_stored(spark, tmp_path):
     wanted = frame.select("n", F.explode("selectors").alias("field", "selector"))
     plan = matching.match_selectors(wanted, nodes, pieces, matching.compiled(wanted), "n")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan
+
+
+# ---------------------------------------------------------------- pages on the way
+
+
+def test_answers_survive_a_run_that_ends_early(spark, tmp_path, monkeypatch):
+    from driftloom.operators import extraction
+
+    calls = str(tmp_path / "calls")
+
+    def function(html, url):
+        with open(calls, "a") as log:
+            log.write(f"{url} {html}\n")
+        if "bad" in html:
+            raise ValueError("no")
+        return {"title": html}, {}, 1, 2
+
+    def called():
+        return sorted(open(calls).read().splitlines())
+
+    rows = [(i, f"u{i}", f"page {i}" + (" bad" if i == 5 else "")) for i in range(40)] + [(41, "none", None)]
+    queue = spark.createDataFrame(rows, "visit_id long, url string, html string").repartition(3)
+    own, groups = extraction._answers, []
+
+    def ending(frame, f):
+        groups.append(1)
+        if len(groups) == 3:
+            raise KeyboardInterrupt
+        return own(frame, f)
+
+    monkeypatch.setattr(extraction, "_answers", ending)
+    folder = str(tmp_path / "kept")
+    with pytest.raises(KeyboardInterrupt):
+        extraction.run_extractor_resumably(queue, function, folder, group_rows=10)
+    before = called()
+    assert 0 < len(before) < 41
+    monkeypatch.setattr(extraction, "_answers", own)
+    found = extraction.run_extractor_resumably(queue, function, folder, group_rows=10)
+    assert {r["visit_id"] for r in found.collect()} == {i for i, *_ in rows} and found.count() == 41
+    assert called() == sorted(f"{u} {h}" for _, u, h in rows)  # every page once
+    # A changed page is called again, an old answer of a page that is not asked for is not given.
+    changed = spark.createDataFrame([(1, "u1", "new text"), (2, "u2", "page 2")], "visit_id long, url string, html string")
+    answers = {r["visit_id"]: r["raw_text"] for r in extraction.run_extractor_resumably(changed, function, folder).collect()}
+    assert "new text" in answers[1] and "page 2" in answers[2] and len(answers) == 2
+    assert called().count("u1 new text") == 1 and len(called()) == 42
+    assert extraction.run_extractor_resumably(queue.limit(0), function, str(tmp_path / "empty")).count() == 0
+
+
+def exchanged(plan):
+    """Columns of every exchange in a physical plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        plan = plan.initialPlan()
+    out = []
+    if name.startswith("ShuffleExchange"):
+        columns = plan.output().iterator()
+        names = []
+        while columns.hasNext():
+            names.append(columns.next().name())
+        out.append(names)
+    children = plan.children().iterator()
+    while children.hasNext():
+        out += exchanged(children.next())
+    return out
+
+
+def test_a_page_travels_once_in_the_replay(spark, folder, tmp_path):
+    sibling = spark.newSession()
+    sibling.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = DerivedTables(sibling, folder)
+    t.shop_visits(4).write.parquet(str(tmp_path / "visits"))
+    visits = sibling.read.parquet(str(tmp_path / "visits"))
+    plan = replay(visits, t.shop_responses(4))._jdf.queryExecution().executedPlan()
+    assert sum("html" in names for names in exchanged(plan)) == 1
