@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -82,6 +83,37 @@ def apply_selectors(df: DataFrame, keep_html: bool = False) -> DataFrame:
     )
 
 
+def _nodes(page: markup.Page, texts: bool) -> list[dict]:
+    places: Counter = Counter()
+    nodes = []
+    for i, n in enumerate(page.nodes):
+        of_parent, of_type = (n.parent,), (n.parent, n.tag)
+        places[of_parent] += 1
+        places[of_type] += 1
+        nodes.append(
+            {
+                "pos": i,
+                "parent": n.parent,
+                "last": n.last,
+                "tag": n.tag,
+                "id": n.attrs.get("id"),
+                "classes": n.attrs.get("class", "").split(),
+                "attrs": list(n.attrs.items()),
+                "text": page.text(i) if texts else None,
+                "rank": places[of_parent],
+                "type_rank": places[of_type],
+                "first_piece": n.first_piece,
+                "end_piece": n.end_piece,
+            }
+        )
+    return nodes
+
+
+def tree_of(html: str | None) -> list[dict]:
+    """The elements of one page, with their texts."""
+    return _nodes(markup.read_page(html or ""), True)
+
+
 def page_trees(df: DataFrame, pieces: bool = False) -> DataFrame:
     """Replace ``html`` by ``nodes``: the page's elements in document order.
 
@@ -92,27 +124,7 @@ def page_trees(df: DataFrame, pieces: bool = False) -> DataFrame:
 
     def tree(html):
         page = markup.read_page(html or "")
-        places: dict = {}
-        nodes = []
-        for i, n in enumerate(page.nodes):
-            of_parent, of_type = (n.parent,), (n.parent, n.tag)
-            places[of_parent], places[of_type] = places.get(of_parent, 0) + 1, places.get(of_type, 0) + 1
-            nodes.append(
-                {
-                    "pos": i,
-                    "parent": n.parent,
-                    "last": n.last,
-                    "tag": n.tag,
-                    "id": n.attrs.get("id"),
-                    "classes": n.attrs.get("class", "").split(),
-                    "attrs": list(n.attrs.items()),
-                    "text": None if pieces else page.text(i),
-                    "rank": places[of_parent],
-                    "type_rank": places[of_type],
-                    "first_piece": n.first_piece,
-                    "end_piece": n.end_piece,
-                }
-            )
+        nodes = _nodes(page, not pieces)
         return (nodes, [{"kind": k, "text": t} for k, t in page.pieces]) if pieces else (nodes,)
 
     more = [("pieces", T.ArrayType(PIECE))] if pieces else []
@@ -126,6 +138,24 @@ def page_nodes(df: DataFrame) -> DataFrame:
     return trees.select(*others, F.inline("nodes"))
 
 
+@F.udtf(
+    returnType="pos int, parent int, last int, tag string, id string, classes array<string>, attrs map<string,string>, "
+    "text string, rank int, type_rank int, first_piece int, end_piece int"
+)
+class PageNodes:
+    """The elements of one page, as a table function."""
+
+    def eval(self, html: str):
+        for node in tree_of(html):
+            yield tuple({**node, "attrs": dict(node["attrs"])}.values())
+
+
+def register_page_nodes(spark: SparkSession, name: str = "page_nodes") -> None:
+    """Let SQL read pages as elements: ``SELECT ... FROM visits, LATERAL page_nodes(visits.html)``."""
+    ship_package(spark)
+    spark.udtf.register(name, PageNodes)
+
+
 def content_sections(
     df: DataFrame, max_chars: int = MAX_SECTION_CHARS, min_chars: int = MIN_SECTION_CHARS
 ) -> DataFrame:
@@ -212,24 +242,43 @@ def run_extractor_resumably(
 _PREFERENCE = (("#", 1), ("[", 2), (".", 3))
 
 
+_CANDIDATE = T.ArrayType(T.StructType().add("text", T.StringType()).add("pos", T.IntegerType()).add("token", T.StringType()))
+
+
+def _candidates(html: str | None, fields) -> tuple[list[dict]]:
+    """Selectors of one part that match one element alone, of elements whose text is a wanted value.
+
+    Lengths tell most elements apart, so few texts are put together.
+    """
+    page = markup.read_page(html or "")
+    wanted = {v for v in dict(fields or ()).values() if v}
+    sizes = {len(v) for v in wanted}
+    ends = [0]
+    for kind, text in page.pieces:
+        ends.append(ends[-1] + (len(text) + 1 if kind is None else 0))
+    tokens, found = [], []
+    for i, node in enumerate(page.nodes):
+        ident = node.attrs.get("id")
+        own = [f"#{ident}"] if ident else []
+        own += [f'[{name}="{value}"]' for name, value in node.attrs.items() if name.startswith("data-")]
+        own += [f".{c}" for c in dict.fromkeys(node.attrs.get("class", "").split())]
+        tokens.append(own)
+        if own and (node.tag in markup.RAW_TEXT or ends[node.end_piece] - ends[node.first_piece] - 1 in sizes):
+            text = page.text(i)
+            if text in wanted:
+                found.append((text, i))
+    times = Counter(t for own in tokens for t in own)
+    return ([{"text": text, "pos": i, "token": t} for text, i in found for t in tokens[i] if times[t] == 1],)
+
+
 def induce_selectors(df: DataFrame) -> DataFrame:
-    """Add ``selectors``: for each known value in ``fields``, the best selector that finds it.
+    """Replace ``html`` by ``selectors``: for each known value in ``fields``, the best selector that finds it.
 
     A candidate must match exactly one element of the page; ids come before data attributes
-    before classes, then the earliest element and the text decide. All within the row.
+    before classes, then the earliest element and the text decide. All within the row, and only
+    candidates leave the task that reads the page.
     """
-    trees = page_trees(df)
-
-    def tokens(node: Column) -> Column:
-        data = F.filter(F.map_entries(node["attrs"]), lambda e: F.startswith(e["key"], F.lit("data-")))
-        return F.concat(
-            F.when(node["id"].isNotNull() & (node["id"] != ""), F.array(F.concat(F.lit("#"), node["id"])))
-            .otherwise(F.array().cast("array<string>")),
-            F.transform(
-                data, lambda e: F.concat(F.lit("["), e["key"], F.lit('="'), e["value"], F.lit('"]'))
-            ),
-            F.transform(F.array_distinct(node["classes"]), lambda c: F.concat(F.lit("."), c)),
-        )
+    listed = _per_row(df, ["html", "fields"], [("_found", _CANDIDATE)], _candidates, ("html",))
 
     def rank(token: Column) -> Column:
         value = F.lit(9)
@@ -237,41 +286,12 @@ def induce_selectors(df: DataFrame) -> DataFrame:
             value = F.when(F.startswith(token, F.lit(start)), F.lit(number)).otherwise(value)
         return value
 
-    # (text, candidates) of every node, and how often each candidate occurs on the page.
-    listed = trees.withColumn(
-        "_nodes",
-        F.transform(
-            "nodes",
-            lambda n: F.struct(n["pos"].alias("pos"), n["text"].alias("text"), tokens(n).alias("tokens")),
-        ),
-    ).drop("nodes")
-    listed = listed.withColumn("_all", F.array_sort(F.flatten(F.transform("_nodes", lambda n: n["tokens"]))))
-    # In the sorted list a candidate is unique when neither neighbour equals it.
-    unique = F.filter(
-        F.col("_all"),
-        lambda t, i: ~F.coalesce(F.get(F.col("_all"), F.greatest(i - 1, F.lit(0))) == t, F.lit(False))
-        & ~F.coalesce(F.get(F.col("_all"), i + 1) == t, F.lit(False))
-        | (i == 0) & ~F.coalesce(F.get(F.col("_all"), i + 1) == t, F.lit(False)),
-    )
-    listed = listed.withColumn("_unique", unique).drop("_all")
-
     def best(value: Column) -> Column:
-        found = F.flatten(
-            F.transform(
-                F.filter(F.col("_nodes"), lambda n: n["text"] == value),
-                lambda n: F.transform(
-                    F.array_intersect(n["tokens"], F.col("_unique")),
-                    lambda t: F.struct(
-                        rank(t).alias("rank"), n["pos"].alias("pos"), t.alias("token")
-                    ),
-                ),
-            )
-        )
-        return F.array_min(found)["token"]
+        own = F.filter(F.col("_found"), lambda c: c["text"] == value)
+        ranked = F.transform(own, lambda c: F.struct(rank(c["token"]).alias("rank"), c["pos"].alias("pos"), c["token"].alias("token")))
+        return F.array_min(ranked)["token"]
 
-    return listed.withColumn(
-        "selectors", F.transform_values("fields", lambda k, v: F.when(v.isNotNull(), best(v)))
-    ).drop("_nodes", "_unique")
+    return listed.withColumn("selectors", F.transform_values("fields", lambda k, v: F.when(v.isNotNull(), best(v)))).drop("_found")
 
 
 def typed_product(df: DataFrame, raw: str = "raw") -> DataFrame:

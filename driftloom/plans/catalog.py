@@ -353,8 +353,12 @@ def hit_miss(t: DerivedTables) -> DataFrame:
 
 @query
 def page_nodes(t: DerivedTables) -> DataFrame:
-    nodes = extraction.page_nodes(snapshots.usable(t.shop_visits()).select("visit_id", "html"))
-    return nodes.groupBy("tag", "id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    """Every element of every page with all it is known by, through the table function."""
+    extraction.register_page_nodes(t.spark, "driftloom_page_nodes")
+    visits = snapshots.usable(t.shop_visits()).select("visit_id", "html")
+    nodes = t.spark.sql("SELECT v.visit_id, n.* FROM {visits} AS v, LATERAL driftloom_page_nodes(v.html) AS n", visits=visits)
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return nodes.select("visit_id", "pos", "parent", "last", "tag", "id", F.array_join("classes", " ").alias("classes"), attrs.alias("attrs"), "text", "rank", "type_rank")
 
 
 @query

@@ -217,6 +217,37 @@ def _missing() -> str:
     return " + ".join(f"({f} IS NULL)::INT" for f in _DESIGN_ONE_IDS)
 
 
+def _page_nodes() -> str:
+    """Elements by counting open tags: an element ends where as many are open as before it."""
+    source = "replace(regexp_replace(html, '<!--.*?-->', '', 'g'), 'var p = \"<div>\";', 'RAW')"
+    attribute = "[ ]([a-z-]+)=\"([^\"]*)\""
+    return f"""
+        WITH t AS MATERIALIZED (SELECT visit_id, unnest(k) AS t, unnest(range(1, len(k) + 1)) AS i
+                   FROM (SELECT visit_id, regexp_extract_all({source}, '<[^>]*>|[^<]+', 0) AS k FROM ({_usable()}) AS u) AS s),
+          o AS (SELECT *, sum(CASE WHEN t LIKE '</%' THEN -1 WHEN t LIKE '<%' AND t NOT LIKE '%/>' THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY visit_id ORDER BY i) AS open FROM t),
+          n AS MATERIALIZED (SELECT visit_id, i, t, CAST(open + (t LIKE '%/>')::INT AS INT) AS depth,
+                  CAST(row_number() OVER (PARTITION BY visit_id ORDER BY i) - 1 AS INT) AS pos,
+                  regexp_extract(t, '^<([a-z0-9]+)', 1) AS tag
+                FROM o WHERE t LIKE '<%' AND t NOT LIKE '</%'),
+          e AS (SELECT n.visit_id, n.i, CASE WHEN any_value(n.t) LIKE '%/>' THEN n.i ELSE min(o.i) END AS stop
+                FROM n LEFT JOIN o ON o.visit_id = n.visit_id AND o.i > n.i AND o.t LIKE '</%' AND o.open = n.depth - 1 GROUP BY 1, 2),
+          p AS (SELECT n.visit_id, n.i, max(b.pos) AS parent FROM n JOIN n AS b
+                  ON b.visit_id = n.visit_id AND b.i < n.i AND b.depth = n.depth - 1 GROUP BY 1, 2),
+          l AS (SELECT e.visit_id, e.i, max(b.pos) AS last FROM e JOIN n AS b ON b.visit_id = e.visit_id AND b.i >= e.i AND b.i <= e.stop GROUP BY 1, 2),
+          x AS (SELECT e.visit_id, e.i, string_agg(trim(o.t), ' ' ORDER BY o.i) FILTER (o.t <> 'RAW') AS text,
+                  count(*) FILTER (o.t = 'RAW') AS raw
+                FROM e JOIN o ON o.visit_id = e.visit_id AND o.i > e.i AND o.i < e.stop AND o.t NOT LIKE '<%' AND trim(o.t) <> '' GROUP BY 1, 2)
+        SELECT n.visit_id, n.pos, coalesce(p.parent, -1) AS parent, l.last, n.tag, nullif(regexp_extract(n.t, ' id="([^"]*)"', 1), '') AS id,
+          regexp_extract(n.t, ' class="([^"]*)"', 1) AS classes,
+          array_to_string(list_sort(list_transform(regexp_extract_all(n.t, '{attribute}', 0),
+            lambda a: replace(substr(a, 2), '"', ''))), '|') AS attrs,
+          CASE WHEN n.tag = 'script' THEN CASE WHEN x.raw > 0 THEN 'var p = "<div>";' END ELSE x.text END AS text,
+          CAST(row_number() OVER (PARTITION BY n.visit_id, p.parent ORDER BY n.i) AS INT) AS rank,
+          CAST(row_number() OVER (PARTITION BY n.visit_id, p.parent, n.tag ORDER BY n.i) AS INT) AS type_rank
+        FROM n JOIN e USING (visit_id, i) LEFT JOIN p USING (visit_id, i) JOIN l USING (visit_id, i) LEFT JOIN x USING (visit_id, i)"""
+
+
 def _cleaned() -> str:
     text = "regexp_replace(html, '(?is)<head>.*?</head>', '')"
     for _ in range(2):
@@ -480,10 +511,7 @@ def oracle_sql() -> dict[str, str]:
         ).join((f"WITH e AS MATERIALIZED ({_extracted()}) ", "")),
         "extract_null_rate": f"SELECT visit_id, ({_missing()})::DOUBLE / 9.0::DOUBLE AS null_rate FROM ({_extracted()}) AS e",
         "hit_miss": f"SELECT visit_id, {_missing()} AS null_count, ({_missing()}) = 0 AS hit FROM ({_extracted()}) AS e",
-        "page_nodes": f"""SELECT regexp_extract(t, '^<([a-z0-9]+)', 1) AS tag,
-              nullif(regexp_extract(t, ' id="([^"]*)"', 1), '') AS id, count(*) AS n_nodes
-            FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, 'var p = "<div>"', ''), '<[a-z][^>]*>', 0)) AS t
-                  FROM ({_usable()}) AS u) AS n GROUP BY 1, 2""",
+        "page_nodes": _page_nodes(),
         "clean_html": f"SELECT page_id, CAST(length(cleaned) AS INT) AS n_chars, md5(cleaned) AS digest FROM ({pages_cleaned}) AS p",
         "content_section": f"""
             SELECT page_id, CASE WHEN length(regexp_extract(cleaned, '(?s)<article.*?</article>', 0)) > 500
