@@ -148,20 +148,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """place, id for every ``place`` (a position in the whole stream); places beyond it are left out.
 
-    Places meet shards by equal stretch numbers: a shard is listed under each stretch it reaches into.
+    Places find their shard by equal stretch numbers in narrow columns: a shard is listed under each
+    stretch it reaches into. Then each shard that is asked for travels once, ahead of its places.
     """
     shards = read_shards(spark, path)
     low, high = F.floor(F.col("start") / SHARD_TOKENS), F.floor((F.col("start") + F.col("n") - 1) / SHARD_TOKENS)
-    listed = shards.select("start", "n", "chunks", "bitmaps", "ranks", F.explode(F.sequence(low, high)).alias("stretch"))
+    listed = shards.select("start", "n", F.explode(F.sequence(low, high)).alias("stretch"))
     wanted = places.select(F.col("place").cast("long").alias("place")).withColumn("stretch", F.floor(F.col("place") / SHARD_TOKENS))
     met = wanted.join(listed, "stretch").filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n")))
+    met = met.select("start", "place")
+    sent = shards.join(met.select("start").distinct(), "start", "left_semi").select("start", F.lit(None).cast("long").alias("place"), "chunks", "bitmaps", "ranks")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: tuple[list[bytes], ...] = ([], [], [])
         for batch in batches:
-            found = [access(r["chunks"], r["bitmaps"], r["ranks"], r["place"] - r["start"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(found, pa.int64())], ["place", "id"])
-
-    return met.select("place", "start", "chunks", "bitmaps", "ranks").mapInArrow(look, "place long, id long")
+            asked, found = [], []
+            for i, (start, place) in enumerate(zip(batch.column("start").to_pylist(), batch.column("place").to_pylist())):
+                if place is None:
+                    shard = tuple(batch.column(c)[i].as_py() for c in ("chunks", "bitmaps", "ranks"))
+                else:
+                    asked.append(place)
+                    found.append(access(*shard, place - start))
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64())], ["place", "id"])
+
+    rows = sent.unionByName(met, allowMissingColumns=True).repartition("start").sortWithinPartitions("start", F.col("place").asc_nulls_first())
+    return rows.mapInArrow(look, "place long, id long")
 
 
 def checksums(documents: DataFrame) -> DataFrame:
