@@ -28,6 +28,9 @@ from driftloom.streaming import windows
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
+# Lifetime of stored selectors where most visits are to find some.
+COVERING_TTL = 60 * 86_400
+
 # Selector maps of the two page designs of the derived shop pages.
 DESIGN_ONE = {
     "title": "#pd-title",
@@ -286,6 +289,11 @@ def known_fields(t: DerivedTables) -> DataFrame:
 # ------------------------------------------------------------------ extraction
 
 
+def _covering(t: DerivedTables) -> DataFrame:
+    """The derived registry with entries that outlive the visits: four fifths of them have selectors."""
+    return t.registry().withColumns({"selectors": _text_map(DESIGN_ONE), "ttl_seconds": F.lit(COVERING_TTL).cast("bigint")})
+
+
 def _extracted(t: DerivedTables) -> DataFrame:
     visits = snapshots.usable(t.shop_visits()).select("visit_id", "html")
     return extraction.apply_selectors(visits.withColumn("selectors", _text_map(DESIGN_ONE)))
@@ -298,8 +306,7 @@ def selector_extract(t: DerivedTables) -> DataFrame:
     Which selectors a visit has is decided on narrow columns.
     """
     visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "crawled_at", "html")
-    stored = t.registry().withColumn("selectors", _text_map(DESIGN_ONE))
-    found = extraction.apply_selectors(registry.with_selectors(visits, stored))
+    found = extraction.apply_selectors(registry.with_selectors(visits, _covering(t)))
     return found.select("visit_id", *[F.try_element_at("raw", F.lit(f)).alias(f) for f in PRODUCT_FIELDS])
 
 
@@ -307,8 +314,7 @@ def selector_extract(t: DerivedTables) -> DataFrame:
 def selector_match(t: DerivedTables) -> DataFrame:
     """``selector_extract`` as joins over stored elements."""
     visits = _keyed(snapshots.usable(t.shop_visits())).select("visit_id", "key", "crawled_at", "html")
-    stored = t.registry().withColumn("selectors", _text_map(DESIGN_ONE))
-    found = matching.selector_match(registry.with_selectors(visits, stored).select("visit_id", "html", "selectors"))
+    found = matching.selector_match(registry.with_selectors(visits, _covering(t)).select("visit_id", "html", "selectors"))
     fields = found.groupBy("visit_id").agg(*[F.max(F.when(F.col("field") == f, F.col("text"))).alias(f) for f in PRODUCT_FIELDS])
     return visits.select("visit_id").join(fields, "visit_id", "left")
 

@@ -499,7 +499,8 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN ok THEN array_to_string(list_sort(list_filter(json_keys(body, '$.extracted'),
                 lambda k: k <> 'colour')), ',') ELSE '' END AS fields FROM ({answers}) AS a""",
         "selector_extract": f"""SELECT e.visit_id, {', '.join(f"CASE WHEN NOT ({_expired('e.crawled_at')}) THEN {f} END AS {f}" for f in _DESIGN_ONE_IDS)}
-            FROM ({_extracted()}) AS e LEFT JOIN ({_registry()}) AS g ON g.key = e.key""",
+            FROM ({_extracted()}) AS e LEFT JOIN (SELECT * REPLACE (5184000::BIGINT AS ttl_seconds) FROM ({_registry()}) AS r) AS g
+              ON g.key = e.key""",
         "site_extract": f"""
             SELECT page_id, {_entities("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)")} AS title,
               {_entities("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS brand,
