@@ -6,11 +6,11 @@ of one hash for lines of many. Lines between have both, so two lines whose sets'
 link always have one kind in common. Bands of four minima send a line to ten buckets per kind
 (99.5 % of pairs at 0.8 share one, more above).
 
-In a bucket the least line is compared with all others; linked lines take one label, and lines with
-a bucket's rarest labels (sixteen, then 256, and so on) are compared with those of its other
-labels, as long as it has more than one among the lines that are left. So the links connect what
-all pairs of the bucket would connect, and a bucket of lines that are alike is done after one
-comparison for each. Batches of pairs are compared at once, on sorted hashes of their shingles.
+In a bucket the least line is compared with all others, and linked lines take one label. Buckets
+that have lines of two labels left go through tasks whole, where each line is compared with all
+lines of other labels at once, on sorted hashes of their shingles. So the links connect what all
+pairs of the bucket would connect, and a bucket of lines that are alike is done after one
+comparison for each. A large bucket is cut into blocks, and every two of them meet in a task of their own.
 
 A line is what stands between newlines; white space around it is no part of the comparison, and
 lines of white space alone always stay. Of each component the first line stays, by doc_id and
@@ -24,6 +24,8 @@ place of several stay in all. An empty table gives no rows. All columns of the i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ REMEMBERED = 500_000
 #: Lines of as many different shingles have bins; lines of fewer than SHORT / like have forty hashes.
 SHORT = 160
 
+#: Lines and characters of a block of a large bucket, about; a task has two blocks at once.
+BLOCK_LINES, BLOCK_CHARS = 512, 4 << 20
 #: Names of the columns that go with a table's own.
 _DOC, _ROW, _KEPT = "_line_dedup_doc", "_line_dedup_row", "_line_dedup_kept"
 _LAST = (1 << 63, 0, 0)
@@ -267,25 +271,11 @@ def line_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rest = settle(_shared(_banded(docs, like)))
     wanted = settle(rest.select("line").distinct())
     texts = _texts(docs, wanted)
-    done = _compared(rest.filter("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct(), texts, like)
-    links = done.filter(F.col("alike") >= like).select("a", "b")
-    done = done.select("a", "b")
+    first = _compared(rest.filter("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct(), texts, like)
+    links = first.filter(F.col("alike") >= like).select("a", "b")
     named = _relabelled(wanted.withColumn("component", F.col("line")), links)
-    rest, centres = _unfinished(rest.filter("line <> least").select("bucket", "line"), named), 16
-    while not rest.isEmpty():
-        # Lines of the rarest components of a bucket meet the lines of its other components.
-        size = F.count(F.lit(1)).over(Window.partitionBy("bucket", "component"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "line"))
-        ranked = settle(rest.withColumn("size", size).withColumn("rank", rank))
-        chosen = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("line").alias("a"), F.col("component").alias("own"), F.col("rank").alias("at"))
-        met = chosen.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("own")))
-        pairs = met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
-        new = _compared(pairs.join(done, ["a", "b"], "left_anti"), texts, like)
-        found = new.filter(F.col("alike") >= like).select("a", "b")
-        done, links = done.unionAll(new.select("a", "b")), links.unionAll(found)
-        named = _relabelled(named, found)
-        rest, centres = _unfinished(ranked.filter(F.col("rank") > centres).select("bucket", "line"), named), 16 * centres
-    whole = components(links).select(F.col("v").alias("line"), "component")
+    rest = _unfinished(rest.filter("line <> least").select("bucket", "line"), named)
+    whole = components(links.unionAll(settle(_linked(rest, texts, like)))).select(F.col("v").alias("line"), "component")
     return wanted.join(whole, "line", "left").select("line", F.coalesce("component", "line").alias("component"))
 
 
@@ -297,6 +287,70 @@ def _unfinished(left: DataFrame, named: DataFrame) -> DataFrame:
     return settle(several.select("bucket", "line", "component"))
 
 
+def found_links(lines: list[str], labels: np.ndarray, blocks: np.ndarray, like: float) -> list[tuple[int, int]]:
+    """Places in ``lines`` of links that connect what all pairs of different labels would connect.
+
+    If there are lines of two blocks, only pairs across them count.
+    """
+    hashes, n = _hashes(lines)
+    line = np.repeat(np.arange(len(lines)), n)
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))
+    hashes, sizes = hashes[first], np.bincount(line[first], minlength=len(lines))
+    starts = np.cumsum(sizes) - sizes
+    labels, across, out = labels.copy(), bool((blocks != blocks[0]).any()), []
+    for i in range(len(lines) - 1):
+        # Similarity is at most the smaller set's share of the larger one.
+        other = labels[i + 1 :] != labels[i]
+        other &= np.minimum(sizes[i + 1 :], sizes[i]) >= (like - 1e-9) * np.maximum(sizes[i + 1 :], sizes[i])
+        if across:
+            other &= blocks[i + 1 :] != blocks[i]
+        met = np.flatnonzero(other) + i + 1
+        if not len(met):
+            continue
+        own, counts = hashes[starts[i] : starts[i] + sizes[i]], sizes[met]
+        heads = np.cumsum(counts) - counts
+        theirs = hashes[np.repeat(starts[met] - heads, counts) + np.arange(int(counts.sum()))]
+        at = np.searchsorted(own, theirs)
+        at[at == len(own)] = 0
+        both = np.add.reduceat((own[at] == theirs).astype(np.int64), heads)
+        for j in met[both / (sizes[i] + counts - both) >= like].tolist():
+            if labels[j] != labels[i]:
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _linked(rest: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """a, b: links between lines of different components of a bucket."""
+    chars = texts.select("line", F.length("content").alias("chars"))
+    sizes = rest.join(chars, "line").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK_LINES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    large = settle(sizes.select("bucket", cuts.alias("cuts")).filter("cuts > 1"))
+    dealt = rest.join(large, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("line"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.select("line", "bucket", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = dealt.join(texts, "line").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "line")
+    names = ["bucket", "low", "high", "line", "component", "block", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names)))
+        a, b = [], []
+        for _, own in groupby(every, key=itemgetter(0, 1, 2)):
+            *_, lines, labels, blocks, contents = zip(*own)
+            if len(lines) > 1:
+                for i, j in found_links(list(contents), np.array(labels), np.array(blocks), like):
+                    a.append(lines[i])
+                    b.append(lines[j])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select(*names).mapInArrow(run, "a long, b long")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with doc and row: the id, or NO_ID and a number of the row's own."""
     known = docs.filter("doc_id IS NOT NULL").select("*", F.col("doc_id").cast("long").alias(_DOC), F.lit(0).cast("long").alias(_ROW))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from driftloom.llm import line_dedup
 from driftloom.llm.queries import op3_fuzzy_line_dedup
 from tests.llm.conftest import ODD_TEXTS
@@ -101,6 +103,36 @@ def test_similarities():
     assert line_dedup.similarities(left, right).tolist() == [len(a & b) / len(a | b) for a, b in sets]
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_large_buckets_in_blocks(spark, monkeypatch, block):
+    """Lines in one bucket that are linked in chains, whatever the blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+    lines = []
+    for _ in range(6):
+        line = [rng.choice(words) for _ in range(40)]
+        for _ in range(12):
+            lines.append(" ".join(line))
+            line[rng.randrange(40)] = rng.choice(words)
+            line[rng.randrange(40)] = rng.choice(words)
+    sets = [line_dedup.shingles(x) for x in lines]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    rest = spark.createDataFrame([(b, i, i) for b in (1, 2) for i in range(len(lines))], "bucket long, line long, component long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, content string")
+    links = [(r["a"], r["b"]) for r in line_dedup._linked(rest, texts, 0.8).collect()]
+    assert {frozenset(x) for x in links} <= {frozenset(x) for x in near}
+
+    def groups(pairs):
+        parent = list(range(len(lines)))
+        for a, b in pairs:
+            old, new = parent[a], parent[b]
+            parent = [new if p == old else p for p in parent]
+        return {frozenset(i for i, p in enumerate(parent) if p == q) for q in parent}
+
+    assert groups(links) == groups(near) and len(groups(near)) >= 6
+
+
 def test_rows_without_ids_and_versions_of_a_document(spark):
     same, other = "the quick brown fox jumps over the lazy dog", "something else entirely"
     rows = [(None, f"{same}\nx"), (None, f"{same}\ny"), (None, None), (3, f"{same}\n\n{other}"), (3, f"z\n{other}"), (5, f"{other}\n{other}")]
