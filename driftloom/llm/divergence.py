@@ -23,6 +23,7 @@ The vocabulary reaches the driver, which fits it: terms in ``min_df`` documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
@@ -39,39 +40,59 @@ SCALE = 1_000_000_000
 PRIOR = 5
 TOP = 50
 
-#: Runs of anything but the ASCII characters that are no letters.
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Characters beyond ASCII that lower() might change (unassigned ones too: it may know later ones).
-_OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^\x00-\x7F]]"
+#: What stands between terms, the ASCII characters that are no letters.
+_BETWEEN = "".join(chr(c) for c in range(0x80) if not chr(c).isalpha())
 #: Between language and term; no term holds it.
-_MARK = "\x00"
+_MARK = "\x01"
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text, in order; only A-Z are folded."""
-    folded = F.when(text.rlike(_OTHER_UPPER), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))
-    return F.regexp_extract_all(folded, F.lit(_TERM), F.lit(0))
+def folded(text: Column) -> Column:
+    """The text with A-Z as a-z and a space for whatever stands between terms."""
+    return F.translate(text, ascii_uppercase + _BETWEEN, ascii_lowercase + " " * len(_BETWEEN))
+
+
+def tagged(text: Column, tag: Column) -> Column:
+    """The terms of a folded text, in order, with ``tag`` before each.
+
+    Put there by one replacement and one split of the whole text: much cheaper than term by term.
+    """
+    spread = F.concat(tag, F.replace(text, F.lit(" "), F.concat(F.lit(" "), tag)))
+    return F.array_remove(F.split(spread, " "), tag)
+
+
+def _telling(values: DataFrame, column: str, code: Callable[[int], Column]) -> Column:
+    """The first of the codes that no two values of ``column`` share."""
+    n, attempt = values.select(column).distinct().count(), 0
+    while values.select(code(attempt).alias("code")).distinct().count() < n:
+        attempt += 1
+    return code(attempt)
 
 
 def counts(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The groups (lang, source), the kept terms (at, lang, term), and lang, source, at, n; all stored."""
     spark = docs.sparkSession
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    own = docs.select(text.alias("text"), lang.alias("lang"), source.alias("source"))
-    groups = settle(own.select("lang", "source").distinct())
-    tagged = F.transform(terms_of(F.col("text")), lambda t: F.concat("lang", F.lit(_MARK), t))
-    found = own.select("lang", "source", tagged.alias("terms"))
+    # Two steps read the texts; folding them costs as much as all that follows.
+    own = settle(docs.select(folded(text).alias("text"), lang.alias("lang"), source.alias("source")))
+    pairs = own.select("lang", "source").distinct().withColumn("pair", F.to_json(F.struct("lang", "source")))
+    groups = settle(pairs)
+    # Short codes for languages in terms, and numbers for groups in sums, are cheaper than texts.
+    code = _telling(groups, "lang", lambda i: F.left(F.md5(F.col("lang").cast("binary")), F.lit(i + 1)))
+    group = _telling(groups, "pair", lambda i: F.xxhash64("lang", "source", F.lit(i)))
+    found = own.select(group.alias("group"), tagged(F.col("text"), F.concat(code, F.lit(_MARK))).alias("terms"))
     # A model needs one term: that of these documents, which is in no other.
-    extra = spark.range(min_df).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
+    extra = spark.range(min_df).select(F.lit(0).cast("long").alias("group"), F.array(F.lit("")).alias("terms"))
     fitting = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCABULARY_SIZE)
     model = fitting.fit(found.unionAll(extra))
     terms = spark.createDataFrame(pa.table({"tagged": pa.array(model.vocabulary, pa.string()), "at": pa.array(range(len(model.vocabulary)), pa.int32())}))
-    term = F.substring_index("tagged", _MARK, -1)
-    kept = terms.filter("tagged <> ''").withColumn("term", term).selectExpr("at", "left(tagged, length(tagged) - length(term) - 1) AS lang", "term")
-    entries = model.transform(found).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    entries = entries.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.indices").alias("at")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
-    return groups, settle(kept), settle(sums)
+    known = groups.select("lang", code.alias("code")).distinct()
+    parts = terms.filter("tagged <> ''").select("at", F.substring_index("tagged", _MARK, 1).alias("code"), F.substring_index("tagged", _MARK, -1).alias("term"))
+    kept = settle(parts.join(known, "code").select("at", "lang", "term"))
+    entries = model.transform(found).select("group", F.unwrap_udt("vector").alias("v"))
+    entries = entries.select("group", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+    sums = entries.groupBy("group", F.col("e.indices").alias("at")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
+    named = sums.join(groups.withColumn("group", group), "group").select("lang", "source", "at", "n")
+    return groups.drop("pair"), kept, settle(named)
 
 
 def _p(n: Column, total: Column, size: Column) -> Column:
