@@ -99,11 +99,37 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Spaced(ByteLevel):
+    """Ids of texts with a space in front: their first word is one like those after spaces."""
+
+    def encode_spaced(self, texts: list[str]) -> list[bytes]:
+        if len(self.heads) + len(self.tails) > MEMORY:
+            self.heads.clear()
+            self.tails.clear()
+        rows = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        heads, tails = set(), set()
+        for first, *others in rows:
+            tails.update(first)
+            for words in others:
+                heads.add(words[0])
+                tails.update(words[1:])
+        self._learn(heads, self.heads, True)
+        self._learn(tails, self.tails, False)
+        head, tail = self.heads, self.tails.__getitem__
+        out = []
+        for text, (first, *others) in zip(texts, rows):
+            try:
+                out.append(self.newline.join([b"".join(map(tail, first)), *(head[w[0]] + b"".join(map(tail, w[1:])) for w in others)]))
+            except KeyError:  # white space that is not one space or newline between words
+                out.append(self.plain(f" {text}") if text else b"")
+        return out
+
+
 class Aligner:
     """Both encoders and their tokens' bytes."""
 
     def __init__(self, a: str, b: str):
-        self.a = ByteLevel(a if "/" in a else public_tokenizers.path(a))
+        self.a = Spaced(a if "/" in a else public_tokenizers.path(a))
         self.a.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
         self.a_tokens = Tokens({i: bytes(letters[c] for c in t) for t, i in self.a.tokenizer.get_vocab(with_added_tokens=False).items()})
@@ -115,13 +141,9 @@ class Aligner:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and their number per row, ids of B and theirs; rows whose bytes differ have none."""
-        if len(self.a.heads) + len(self.a.tails) > MEMORY:
-            self.a.heads.clear()
-            self.a.tails.clear()
-        spaced = [f" {t}" if t else "" for t in texts]
-        data = [t.encode() for t in spaced]
+        data = [f" {t}".encode() if t else b"" for t in texts]
         sizes = np.array([len(x) for x in data], np.int64)
-        own = [self.a.encode(spaced), [self.b.encode(t) for t in texts]]
+        own = [self.a.encode_spaced(texts), [self.b.encode(t) for t in texts]]
         good = np.ones(len(texts), bool)
         for ids, tokens in zip(own, (self.a_tokens, self.b_tokens)):
             flat, row = _flat(ids)
