@@ -23,3 +23,9 @@ def test_visits_are_never_broadcast(spark, tmp_path):
     left = registry_after(outcomes, drift.fingerprint(t.shop_visits(2).select("visit_id", "html")))
     again = replay(t.shop_visits(2), t.shop_responses(2), stored=left)
     assert "BroadcastExchange" not in joins_of(left) and "BroadcastExchange" not in joins_of(again)
+
+
+def test_tasks_that_make_pages_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "FAN_OUT_ROWS", 10)
+    parts_table(spark, 95).write.parquet(str(tmp_path / "part.parquet"))
+    assert DerivedTables(spark, str(tmp_path)).shop_visits(2).rdd.getNumPartitions() == 10
