@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,18 @@ NODE = (
 PIECE = T.StructType().add("kind", T.StringType()).add("text", T.StringType())
 
 
+#: Bytes of a batch that are Python objects at a time: they and the results take several times that.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``SLICE_BYTES``."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _per_row(
     df: DataFrame,
     inputs: list[str],
@@ -57,7 +69,7 @@ def _per_row(
 
     def run(batches):
         types = [to_arrow_type(t) for _, t in outputs]
-        for batch in batches:
+        for batch in _slices(batches):
             rows = zip(*(batch.column(name).to_pylist() for name in inputs))
             results = [function(*row) for row in rows]
             columns = zip(*results) if results else ([] for _ in outputs)

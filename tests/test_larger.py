@@ -29,3 +29,10 @@ def test_tasks_that_make_pages_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(derived, "FAN_OUT_ROWS", 10)
     parts_table(spark, 95).write.parquet(str(tmp_path / "part.parquet"))
     assert DerivedTables(spark, str(tmp_path)).shop_visits(2).rdd.getNumPartitions() == 10
+
+
+def test_parts_of_a_batch_are_small(monkeypatch):
+    monkeypatch.setattr(extraction, "SLICE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * 100] * 95 + [None]})
+    parts = list(extraction._slices([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
