@@ -36,3 +36,15 @@ def test_parts_of_a_batch_are_small(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"html": ["x" * 100] * 95 + [None]})
     parts = list(extraction._slices([batch, batch.slice(0, 0)]))
     assert max(p.num_rows for p in parts) <= 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_carried_values_are_sorted_in_tasks_of_some_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    rows = spark.range(95).select((F.col("id") % 20).alias("key"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("value"))
+    found = skew.last_over_key(rows, "key", ["id"], "value")
+    assert found.rdd.getNumPartitions() == 10
+    held, want = {}, []
+    for r in rows.orderBy("id").collect():
+        held[r.key] = r.value if r.value is not None else held.get(r.key)
+        want.append((r.key, r.id, held[r.key]))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
