@@ -1,7 +1,7 @@
 """Selectors matched against stored pages as joins, without reading the pages again.
 
-``store_pages`` keeps two tables: elements with their interval (``pos`` to ``last``, in document
-order) and parent, and pages with their text pieces. ``compiled`` turns selectors into a predicate
+``store_pages`` keeps a row per page, read as two tables: elements with their interval (``pos`` to
+``last``, in document order) and parent, and pages with their text pieces. ``compiled`` turns selectors into a predicate
 table, one row per step. ``match_selectors`` is then relational throughout: the rightmost step of
 each wanted selector meets the elements of its page, every further step meets the elements that
 contain what is found so far (for a child step the parent alone), and of each field the match with
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import markup
 from driftloom.operators.extraction import page_trees
+from driftloom.operators.skew import shuffled
 from driftloom.shipping import ship_package
 from driftloom.storage import settle, work_folder
 
@@ -70,19 +71,15 @@ def compiled(selectors: DataFrame) -> DataFrame:
 
 
 def store_pages(pages: DataFrame, page: str, folder: str) -> None:
-    """Write the elements and the text pieces of ``pages`` (a page id and html) below ``folder``.
-
-    Both are clustered by page, so joins on it skip what they do not need.
-    """
-    trees = settle(page_trees(pages.select(page, "html"), pieces=True))
-    nodes = trees.select(page, F.inline("nodes")).drop("text")
-    nodes.write.parquet(f"{folder}/nodes")
-    trees.select(page, "pieces").write.parquet(f"{folder}/pieces")
+    """Write the elements and the text pieces of ``pages`` (a page id and html) below ``folder``, a row per page."""
+    page_trees(pages.select(page, "html"), pieces=True).write.parquet(f"{folder}/trees")
 
 
 def stored_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Elements and text pieces that ``store_pages`` wrote."""
-    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/pieces")
+    trees = spark.read.parquet(f"{folder}/trees")
+    page = [c for c in trees.columns if c not in ("nodes", "pieces")]
+    return trees.select(*page, F.inline("nodes")).drop("text"), trees.select(*page, "pieces")
 
 
 def _passes() -> Column:
@@ -118,11 +115,14 @@ def match_selectors(wanted: DataFrame, nodes: DataFrame, pieces: DataFrame, pred
         F.when(F.col("id").isNotNull(), F.array(F.concat(F.lit("#"), "id"))).otherwise(F.array().cast("array<string>")),
         F.transform(F.array_distinct("classes"), lambda c: F.concat(F.lit("."), c)),
     )
-    hooked = nodes.withColumn("hook", F.explode(hooks))
+    # Elements that no step asks for stay where they are.
+    hooked = nodes.withColumn("hook", F.explode(hooks)).join(steps.select("hook").distinct(), "hook", "left_semi")
+    hooked = shuffled(hooked)
+    place = F.struct("pos", F.col("tag").alias("tag"), "first_piece", "end_piece")
     asked = wanted.filter("selector IS NOT NULL").select(page, "selector").distinct()
     own = ["selector", "alternative", "steps"]
     first = asked.join(steps.filter("step = 0"), "selector").join(hooked, [page, "hook"]).filter(_passes())
-    found = first.select(page, *own, F.col("pos").alias("match"), F.col("pos").alias("at"), F.col("parent").alias("up"))
+    found = first.select(page, *own, place.alias("match"), F.col("pos").alias("at"), F.col("parent").alias("up"))
     done = found.filter("steps = 1").select(page, "selector", "match")
     longest = predicates.agg(F.max("steps")).first()[0] or 1  # of the compiled selectors, a few
     for i in range(1, longest):
@@ -133,15 +133,15 @@ def match_selectors(wanted: DataFrame, nodes: DataFrame, pieces: DataFrame, pred
         kept = met.filter(around & _passes())
         found = kept.select(page, *own, "match", F.col("pos").alias("at"), F.col("parent").alias("up")).distinct()
         done = done.unionAll(found.filter(F.col("steps") == i + 1).select(page, "selector", "match"))
-    least = done.groupBy(page, "selector").agg(F.min("match").alias("pos"))
-    best = wanted.join(least, [page, "selector"], "left").groupBy(page, "field").agg(F.min("pos").alias("pos"))
-    places = best.join(nodes.select(page, "pos", "tag", "first_piece", "end_piece"), [page, "pos"], "left")
+    least = done.groupBy(page, "selector").agg(F.min("match").alias("match"))
+    best = wanted.join(shuffled(least), [page, "selector"], "left").groupBy(page, "field").agg(F.min("match").alias("match"))
+    places = best.select(page, "field", "match.*")
     # Pieces of scripts and styles belong to these elements alone.
     raw = F.when(F.col("tag").isin(*sorted(markup.RAW_TEXT)), F.col("tag"))
     within = F.slice("pieces", F.col("first_piece") + 1, F.col("end_piece") - F.col("first_piece"))
     texts = F.transform(F.filter(within, lambda p: p["kind"].eqNullSafe(raw)), lambda p: p["text"])
     text = F.when(F.col("pos").isNotNull() & (F.size(texts) > 0), F.array_join(texts, " "))
-    return places.join(pieces, page, "left").select(page, "field", text.alias("text"))
+    return places.join(shuffled(pieces), page, "left").select(page, "field", text.alias("text"))
 
 
 def selector_match(visits: DataFrame, page: str = "visit_id") -> DataFrame:

@@ -48,3 +48,9 @@ def test_carried_values_are_sorted_in_tasks_of_some_rows(spark, monkeypatch):
         held[r.key] = r.value if r.value is not None else held.get(r.key)
         want.append((r.key, r.id, held[r.key]))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_pages_are_stored_once(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "<body><b id='a'>x</b></body>")], "n long, html string")
+    matching.store_pages(frame, "n", str(tmp_path / "pages"))
+    assert [p.name for p in (tmp_path / "pages").iterdir()] == ["trees"]
