@@ -54,3 +54,9 @@ def test_pages_are_stored_once(spark, tmp_path):
     frame = spark.createDataFrame([(1, "<body><b id='a'>x</b></body>")], "n long, html string")
     matching.store_pages(frame, "n", str(tmp_path / "pages"))
     assert [p.name for p in (tmp_path / "pages").iterdir()] == ["trees"]
+
+
+def test_maps_read_flat_equal_those_read_row_by_row():
+    maps = pa.array([[("a", "b"), ("c", None)], None, [], [("x", "y")], None, [("k", "z")]], pa.map_(pa.string(), pa.string()))
+    for part in (maps, maps.slice(1, 3), maps.slice(3), maps.slice(0, 0)):
+        assert extraction._values(part) == part.to_pylist()
