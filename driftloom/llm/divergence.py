@@ -47,8 +47,9 @@ _MARK = "\x01"
 
 
 def folded(text: Column) -> Column:
-    """The text with A-Z as a-z and a space for whatever stands between terms."""
-    return F.translate(text, ascii_uppercase + _BETWEEN, ascii_lowercase + " " * len(_BETWEEN))
+    """The terms of a text, with A-Z as a-z, one space between two."""
+    spaced = F.translate(text, ascii_uppercase + _BETWEEN, ascii_lowercase + " " * len(_BETWEEN))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def tagged(text: Column, tag: Column) -> Column:
@@ -57,7 +58,7 @@ def tagged(text: Column, tag: Column) -> Column:
     Put there by one replacement and one split of the whole text: much cheaper than term by term.
     """
     spread = F.concat(tag, F.replace(text, F.lit(" "), F.concat(F.lit(" "), tag)))
-    return F.array_remove(F.split(spread, " "), tag)
+    return F.when(text != "", F.split(spread, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def _telling(values: DataFrame, column: str, code: Callable[[int], Column]) -> Column:
