@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,16 @@ def ids_and_texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+#: What lets go of things that operators remember in a worker from task to task.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Let go of what operators remembered: a worker that goes on to another one needs the room."""
+    for forget in MEMORIES:
+        forget()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

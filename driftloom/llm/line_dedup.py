@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh64_intdigest
 
-from driftloom.llm.common import ODD, Powers, ids_and_texts, mixed, signed, slices
+from driftloom.llm.common import ODD, Powers, ids_and_texts, mixed, release, signed, slices
 from driftloom.llm.components import components
 from driftloom.shipping import ship_package
 from driftloom.storage import settle
@@ -166,6 +166,7 @@ def _banded(docs: DataFrame, like: float) -> DataFrame:
     """bucket, line: every line, once per task, in its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sent: set[int] = set()
         for batch in slices(batches, limit=1 << 20):
             new = {mark_of(x): x for text in batch.column("text").to_pylist() for x in _lines(text) if x}
@@ -362,6 +363,7 @@ def _firsts(numbered: DataFrame) -> DataFrame:
     """line and its first doc, row and place; a task sends each line it meets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, tuple[int, int, int]] = {}
 
         def close() -> pa.RecordBatch:

@@ -15,6 +15,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from driftloom.llm.common import MEMORIES
+
 #: Remembered pieces per worker; beyond that the memory starts anew. About 200 bytes each.
 MEMORY = 900_000
 _PER_CALL = 400
@@ -128,3 +130,6 @@ def encoder(name: str) -> ByteLevel | WordLevel:
     path = name if "/" in name else public_tokenizers.path(name)
     dropped = Tokenizer.from_file(path).encode("a b", add_special_tokens=False).tokens[0].endswith("</w>")
     return WordLevel(path) if dropped else ByteLevel(path)
+
+
+MEMORIES.append(encoder.cache_clear)

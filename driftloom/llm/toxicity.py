@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import Powers, bytes_of, ids_and_texts, slices, toxic_split, word_bounds
+from driftloom.llm.common import Powers, bytes_of, ids_and_texts, release, slices, toxic_split, word_bounds
 from driftloom.shipping import ship_package
 
 BITS = 18
@@ -300,6 +300,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = known.value
         for batch in slices(batches):
             found = evidence(*tokens(pc.fill_null(batch.column("text"), "")), own)

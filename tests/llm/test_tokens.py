@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from driftloom.llm import codes, packing
+from driftloom.llm import codes, common, line_dedup, packing, tokens
 from driftloom.llm.queries import op2_token_codes, op9_packing
 from driftloom.storage import work_folder
 from tests.llm.conftest import ODD_TEXTS
@@ -92,3 +92,18 @@ def test_packing_of_odd_rows(spark, odd, empty):
     whole = sorted(packing.sequences(pieces).collect(), key=lambda r: r["sequence_id"])
     assert all(len(r["ids"]) == packing.WINDOW for r in whole[:-1])
     assert packing.pack(empty).count() == 0
+
+
+def test_released_words_are_forgotten():
+    held = tokens.encoder("byte_bpe_50k.json")
+    ids = held.encode(["some words\nhere"])
+    common.release()
+    assert tokens.encoder.cache_info().currsize == 0
+    assert tokens.encoder("byte_bpe_50k.json") is not held
+    assert tokens.encoder("byte_bpe_50k.json").encode(["some words\nhere"]) == ids
+
+
+def test_line_dedup_lets_go_of_words():
+    tokens.encoder("byte_bpe_50k.json")
+    line_dedup.release()
+    assert tokens.encoder.cache_info().currsize == 0
