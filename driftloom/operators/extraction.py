@@ -56,31 +56,44 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, rows)
 
 
-def _per_row(
+def _per_slice(
     df: DataFrame,
     inputs: list[str],
     outputs: list[tuple[str, T.DataType]],
-    function: Callable[..., tuple],
+    function: Callable[..., Iterable[pa.Array]],
     drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add columns computed row by row inside Arrow batches; ``drop`` leaves input columns out."""
+    """Add columns computed from lists of the inputs' values; ``drop`` leaves input columns out."""
     ship_package(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in outputs])
 
     def run(batches):
-        types = [to_arrow_type(t) for _, t in outputs]
         for batch in _slices(batches):
-            rows = zip(*(_values(batch.column(name)) for name in inputs))
-            results = [function(*row) for row in rows]
-            columns = zip(*results) if results else ([] for _ in outputs)
-            added = [pa.array(c, type=t) for c, t in zip(columns, types)]
+            added = function(*(_values(batch.column(name)) for name in inputs))
             same = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays(same + added, names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*same, *added], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
 
+def _per_row(
+    df: DataFrame,
+    inputs: list[str],
+    outputs: list[tuple[str, T.DataType]],
+    function: Callable[..., tuple],
+    drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """Add columns computed row by row inside Arrow batches; ``drop`` leaves input columns out."""
+
+    def rows(*values: list) -> list[pa.Array]:
+        results = [function(*row) for row in zip(*values)]
+        columns = zip(*results) if results else ([] for _ in outputs)
+        return [pa.array(c, type=to_arrow_type(t)) for c, (_, t) in zip(columns, outputs)]
+
+    return _per_slice(df, inputs, outputs, rows, drop)
+
+
 def apply_selectors(df: DataFrame, keep_html: bool = False) -> DataFrame:
     """Add ``raw`` (field -> text of the first match) from ``html`` and the map ``selectors``.
 
@@ -97,35 +110,59 @@ def apply_selectors(df: DataFrame, keep_html: bool = False) -> DataFrame:
     )
 
 
-def _nodes(page: markup.Page, texts: bool) -> list[dict]:
-    places: Counter = Counter()
+def _nodes(trees: list[markup.Page], texts: bool) -> pa.Array:
+    """The elements of each page, put together column by column."""
+    pages, classes, attrs = [0], [0], [0]  # where those of a page or an element end
+    own, names, values = [], [], []
+    ids, text, rank, type_rank = [], [], [], []
     nodes = []
-    for i, n in enumerate(page.nodes):
-        of_parent, of_type = (n.parent,), (n.parent, n.tag)
-        places[of_parent] += 1
-        places[of_type] += 1
-        nodes.append(
-            {
-                "pos": i,
-                "parent": n.parent,
-                "last": n.last,
-                "tag": n.tag,
-                "id": n.attrs.get("id"),
-                "classes": n.attrs.get("class", "").split(),
-                "attrs": list(n.attrs.items()),
-                "text": page.text(i) if texts else None,
-                "rank": places[of_parent],
-                "type_rank": places[of_type],
-                "first_piece": n.first_piece,
-                "end_piece": n.end_piece,
-            }
-        )
-    return nodes
-
-
-def tree_of(html: str | None) -> list[dict]:
-    """The elements of one page, with their texts."""
-    return _nodes(markup.read_page(html or ""), True)
+    for page in trees:
+        nodes += page.nodes
+        pages.append(len(nodes))
+        of_parent: dict = {}
+        of_type: dict = {}
+        for i, n in enumerate(page.nodes):
+            kin = n.parent, n.tag
+            of_parent[n.parent] = place = of_parent.get(n.parent, 0) + 1
+            rank.append(place)
+            of_type[kin] = place = of_type.get(kin, 0) + 1
+            type_rank.append(place)
+            if n.attrs:
+                names += n.attrs
+                values += n.attrs.values()
+                own += n.attrs.get("class", "").split()
+            ids.append(n.attrs.get("id"))
+            classes.append(len(own))
+            attrs.append(len(names))
+            if texts:
+                text.append(page.text(i))
+    whole, strings = pa.int32(), pa.string()
+    columns = [
+        pa.array([i for page in trees for i in range(len(page.nodes))], whole),
+        pa.array([n.parent for n in nodes], whole),
+        pa.array([n.last for n in nodes], whole),
+        pa.array([n.tag for n in nodes], strings),
+        pa.array(ids, strings),
+        pa.ListArray.from_arrays(pa.array(classes, whole), pa.array(own, strings)),
+        pa.MapArray.from_arrays(pa.array(attrs, whole), pa.array(names, strings), pa.array(values, strings)),
+        pa.array(text, strings) if texts else pa.nulls(len(nodes), strings),
+        pa.array(rank, whole),
+        pa.array(type_rank, whole),
+        pa.array([n.first_piece for n in nodes], whole),
+        pa.array([n.end_piece for n in nodes], whole),
+    ]
+    found = pa.StructArray.from_arrays(columns, fields=list(to_arrow_type(NODE)))
+    return pa.ListArray.from_arrays(pa.array(pages, whole), found)
+
+
+def _pieces(trees: list[markup.Page]) -> pa.Array:
+    """The text pieces of each page."""
+    ends = [0]
+    for page in trees:
+        ends.append(ends[-1] + len(page.pieces))
+    columns = [pa.array([p[i] for page in trees for p in page.pieces], pa.string()) for i in (0, 1)]
+    found = pa.StructArray.from_arrays(columns, fields=list(to_arrow_type(PIECE)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
 
 def page_trees(df: DataFrame, pieces: bool = False) -> DataFrame:
@@ -136,13 +173,12 @@ def page_trees(df: DataFrame, pieces: bool = False) -> DataFrame:
     a column of their own, and elements carry no text: nested ones would repeat it.
     """
 
-    def tree(html):
-        page = markup.read_page(html or "")
-        nodes = _nodes(page, not pieces)
-        return (nodes, [{"kind": k, "text": t} for k, t in page.pieces]) if pieces else (nodes,)
+    def trees(texts: list) -> list[pa.Array]:
+        read = [markup.read_page(html or "") for html in texts]
+        return [_nodes(read, not pieces), _pieces(read)] if pieces else [_nodes(read, True)]
 
     more = [("pieces", T.ArrayType(PIECE))] if pieces else []
-    return _per_row(df, ["html"], [("nodes", T.ArrayType(NODE)), *more], tree, ("html",))
+    return _per_slice(df, ["html"], [("nodes", T.ArrayType(NODE)), *more], trees, ("html",))
 
 
 def page_nodes(df: DataFrame) -> DataFrame:
@@ -152,22 +188,23 @@ def page_nodes(df: DataFrame) -> DataFrame:
     return trees.select(*others, F.inline("nodes"))
 
 
-@F.udtf(
-    returnType="pos int, parent int, last int, tag string, id string, classes array<string>, attrs map<string,string>, "
-    "text string, rank int, type_rank int, first_piece int, end_piece int"
-)
-class PageNodes:
-    """The elements of one page, as a table function."""
-
-    def eval(self, html: str):
-        for node in tree_of(html):
-            yield tuple({**node, "attrs": dict(node["attrs"])}.values())
+def _nodes_of(pages: pa.Array) -> pa.Array:
+    """The elements of a column of pages, with their texts."""
+    batch = pa.RecordBatch.from_arrays([pages], names=["html"])
+    parts = [_nodes([markup.read_page(html or "") for html in _values(part.column(0))], True) for part in _slices([batch])]
+    return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(T.ArrayType(NODE)))
 
 
 def register_page_nodes(spark: SparkSession, name: str = "page_nodes") -> None:
-    """Let SQL read pages as elements: ``SELECT ... FROM visits, LATERAL page_nodes(visits.html)``."""
+    """Let SQL read pages as elements: ``SELECT ... FROM visits, LATERAL page_nodes(visits.html)``.
+
+    Pages become lists of elements by Arrow batches; a Python table function would pass element by element.
+    """
     ship_package(spark)
-    spark.udtf.register(name, PageNodes)
+    spark.udf.register(f"{name}_of_page", F.arrow_udf(_nodes_of, T.ArrayType(NODE)))
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODE)
+    body = f"SELECT * FROM inline({name}_of_page(html))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(html STRING) RETURNS TABLE ({columns}) RETURN {body}")
 
 
 def content_sections(

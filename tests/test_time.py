@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftloom.functions import columns, markup, skeleton
-from driftloom.operators import drift
+from driftloom.operators import drift, extraction, matching
 from driftloom.operators.replay import fold_input
 from driftloom.params import DriftParams
 from tests import pages
@@ -68,3 +68,27 @@ def test_only_responses_to_the_visits_are_parsed(spark):
     answers = spark.createDataFrame([(1, "{}", 7, 5)], ANSWER)
     plan = fold_input(visits, answers, DriftParams()).filter(F.col("kind") == 0)._jdf.queryExecution().analyzed().toString()
     assert plan.index("try_parse_json") < plan.index("Join Inner")
+
+
+def test_pages_become_elements_by_arrow_batches(spark):
+    extraction.register_page_nodes(spark, "nodes_in_test")
+    frame = spark.createDataFrame([(1, "<b id='x' class='p q'>a<i>c</i></b><i/>"), (2, None), (3, "<script>1 < 2</script>")], "n int, html string")
+    found = spark.sql("SELECT v.n, e.* FROM {v} AS v, LATERAL nodes_in_test(v.html) AS e", v=frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "BatchEvalPythonUDTF" not in plan and "Exchange" not in plan
+    rows = [(r.n, r.pos, r.parent, r.last, r.tag, r.id, r.classes, r.attrs, r.text, r.rank, r.type_rank) for r in found.collect()]
+    assert sorted(rows, key=lambda r: r[:2]) == [
+        (1, 0, -1, 1, "b", "x", ["p", "q"], {"id": "x", "class": "p q"}, "a c", 1, 1),
+        (1, 1, 0, 1, "i", None, [], {}, "c", 1, 1),
+        (1, 2, -1, 2, "i", None, [], {}, None, 2, 1),
+        (3, 0, -1, 0, "script", None, [], {}, "1 < 2", 1, 1),
+    ]
+
+
+def test_elements_are_read_out_of_pages_once(spark):
+    selectors = F.create_map(F.lit("a"), F.lit("div > #x"), F.lit("b"), F.lit("i"))
+    frame = spark.createDataFrame([(1, "<div><b id='x'>t</b><i>u</i></div>")], "n int, html string").withColumn("selectors", selectors)
+    found = matching.selector_match(frame, "n")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "inline(nodes" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "t"), (1, "b", "u")]
