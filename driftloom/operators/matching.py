@@ -115,9 +115,9 @@ def match_selectors(wanted: DataFrame, nodes: DataFrame, pieces: DataFrame, pred
         F.when(F.col("id").isNotNull(), F.array(F.concat(F.lit("#"), "id"))).otherwise(F.array().cast("array<string>")),
         F.transform(F.array_distinct("classes"), lambda c: F.concat(F.lit("."), c)),
     )
-    # Elements that no step asks for stay where they are.
-    hooked = nodes.withColumn("hook", F.explode(hooks)).join(steps.select("hook").distinct(), "hook", "left_semi")
-    hooked = shuffled(hooked)
+    # Elements that no step asks for stay where they are; the others are read out of the pages once.
+    hooked = nodes.withColumn("hook", F.explode(hooks)).drop("id", "classes").join(steps.select("hook").distinct(), "hook", "left_semi")
+    hooked = shuffled(settle(hooked))
     place = F.struct("pos", F.col("tag").alias("tag"), "first_piece", "end_piece")
     asked = wanted.filter("selector IS NOT NULL").select(page, "selector").distinct()
     own = ["selector", "alternative", "steps"]
