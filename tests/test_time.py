@@ -1,6 +1,8 @@
 """What a page costs: read once, in one task, and by the short way where that gives the same."""
 
 import random
+import threading
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -92,3 +94,45 @@ def test_elements_are_read_out_of_pages_once(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "inline(nodes" not in plan
     assert sorted(map(tuple, found.collect())) == [(1, "a", "t"), (1, "b", "u")]
+
+
+def test_groups_of_pages_are_called_side_by_side(spark, tmp_path, monkeypatch):
+    own, lock, now, most = extraction._answers, threading.Lock(), [0], [0]
+
+    class Counted:
+        """Writes like the frame it holds, and counts how many do."""
+
+        def __init__(self, frame):
+            self.frame = frame
+
+        def select(self, *names):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.5)
+            with lock:
+                now[0] -= 1
+            return self.frame.select(*names)
+
+    monkeypatch.setattr(extraction, "_answers", lambda frame, function: Counted(own(frame, function)))
+    queue = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(60)], "visit_id long, url string, html string")
+    found = extraction.run_extractor_resumably(queue, lambda html, url: ({"title": html}, {}, 1, 1), str(tmp_path / "kept"), group_rows=10)
+    assert found.count() == 60 and 1 < most[0] <= extraction.GROUPS_AT_ONCE
+
+
+def test_pages_without_a_section_are_read_once(monkeypatch):
+    read, reads = markup.read_page, []
+    monkeypatch.setattr(markup, "read_page", lambda html: reads.append(html) or read(html))
+    assert markup.content_section("<script>x</script><p>a</p>", 100, 1) == ("<p>a</p>", None, "<p>a</p>")
+    assert len(reads) == 1
+    hidden = "<script>x</script><div id='&#112;dp'>abc</div>"
+    assert markup.content_section(hidden, 100, 1)[1] == "#pdp" and len(reads) == 3
+
+
+def test_every_section_has_its_sign():
+    for selector, sign in zip(markup.SECTION_SELECTORS, markup._SECTION_SIGNS, strict=True):
+        tag, name, value = "div", "x", "y"
+        for kind, first, second in markup.compile_selector(selector)[0][0][1]:
+            tag, name, value = (first, "x", "y") if kind == "tag" else ("div", first, second)
+        page = f"<{tag.upper()} {name.upper()}='{value}'>abc</{tag}>"
+        assert markup.content_section(page, 100, 1)[1] == selector and sign in page.lower()
